@@ -5,7 +5,8 @@ and, with probability the rest, once more.  These rests are the inclusion probab
 moves: in the flight phase three documents at a time move along a direction that keeps the sum of
 probabilities and the sum of probability times size, until one of them is in or out.  Blocks of documents fly
 apart from each other; the at most two undecided ones of each block meet in a further round, and so on, until
-one block for a source is left, and its last two documents are landed.
+one block for a source is left.  It holds back a few documents of all sizes from its flight; these and the last
+two undecided ones are the landing problem, solved by trying every way to have them in or out.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sources are names in a table of the driver's; more than this many are refused.
 MAX_SOURCES = 100_000
 _EDGE = 1e-9
+#: Documents of a source that wait for the landing, which tries 2**(HELD_BACK + 2) ways.
+HELD_BACK = 12
 
 
 def word_count(text: Column) -> Column:
@@ -56,8 +59,16 @@ def _step(p: list[float], u: tuple[float, ...], rng: np.random.Generator) -> Non
         p[k] += by * b
 
 
+def _land(out: np.ndarray, last: np.ndarray, size: np.ndarray) -> None:
+    """Of all ways to have the last documents in or out, the one whose sum of sizes, then number, comes nearest to what their probabilities give."""
+    ways = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
+    words = np.abs(ways @ size[last].astype(float) - out[last] @ size[last].astype(float))
+    number = np.abs(ways.sum(axis=1) - out[last].sum())
+    out[last] = ways[np.lexsort((number, words))[0]]
+
+
 def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Probabilities after the flight: all but at most two are 0 or 1, and with ``land`` all; sums of probability and of probability times size are kept but for the landing."""
+    """Probabilities after the flight: all but at most two are 0 or 1, and with ``land`` all; the sum of probability times size, and nearly that of probability, are kept as far as the landing can."""
     out = prob.astype(float).copy()
     active: list[int] = []
 
@@ -72,17 +83,23 @@ def fly(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
         out[members] = p
         settle_edges()
 
-    for k in np.flatnonzero((out > _EDGE) & (out < 1 - _EDGE)):
+    enter = np.flatnonzero((out > _EDGE) & (out < 1 - _EDGE))
+    held = np.zeros(0, np.int64)
+    if land:
+        by_size = enter[np.argsort(size[enter], kind="stable")]
+        held = by_size[np.unique(np.linspace(0, len(by_size) - 1, HELD_BACK).astype(int))] if len(by_size) else held
+        enter = enter[~np.isin(enter, held)]
+    for k in enter:
         active.append(int(k))
         while len(active) == 3:
             a, b, c = (float(size[j]) for j in active)
             scale = max(abs(b - c), abs(c - a), abs(a - b))
             move(list(active), ((b - c) / scale, (c - a) / scale, (a - b) / scale) if scale else (1.0, -1.0, 0.0))
     out[(out <= _EDGE) & (out > 0)], out[(out >= 1 - _EDGE) & (out < 1)] = 0.0, 1.0
-    while len(active) == 2 and (land or size[active[0]] == size[active[1]]):
+    while len(active) == 2 and size[active[0]] == size[active[1]]:
         move(list(active), (1.0, -1.0))
-    if land and active:
-        out[active[0]] = float(rng.random() < out[active[0]])
+    if land:
+        _land(out, np.concatenate((held, np.array(active, np.int64))), size)
     return out
 
 

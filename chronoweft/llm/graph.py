@@ -24,7 +24,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         told = settle(told, "told")
         heads = told.groupBy("label").agg(F.min("low").alias("_head")).withColumnRenamed("label", "_n")
         joined = told.join(heads, F.col("node") == F.col("_n"), "left").select("node", "label", F.least("low", F.coalesce("_head", "low")).alias("low"))
-        jump = joined.select(F.col("node").alias("_to"), F.col("low").alias("_jump"))
         joined = settle(joined, "joined")
         jump = joined.select(F.col("node").alias("_to"), F.col("low").alias("_jump"))
         new = settle(joined.join(jump, F.col("low") == F.col("_to")).select("node", F.col("label").alias("_old"), F.least("low", "_jump").alias("label")), "labels")

@@ -116,7 +116,7 @@ def _flight(seed: int, level: int, land: bool):
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_rows: int = 4096, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and the columns of ``docs`` named in ``carry``.
+    """One row per document: doc_id, size, source_size, target, taken; with ``carry`` also those columns of ``docs``, and times, how often it is taken.
 
     size is the number of words (null text: 0).  A null source is a source of its own, the last in order.
     taken is size times the number of times the document is taken; a document of size 0 has taken 0.  Repeated
@@ -124,7 +124,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     rows equal in doc_id, size and source may change places.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = settle(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").alias("_source"), *[F.col(c).alias(f"_c_{c}") for c in carry]), "mix-sizes")
+    held = settle(docs.select("doc_id", word_count(F.col("text")).alias("size"), F.col("source").alias("_source"), *[F.col(c).alias(f"_c_{c}") for c in carry]), "mix-sizes", numbered="_row")
+    rows = held.select("doc_id", "size", "_source", "_row")
     totals = rows.groupBy("_source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -151,5 +152,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    taken = F.col("size") * (F.col("_whole") + F.col("_p").cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_c_{c}").alias(c) for c in carry], *([(F.col("_whole") + F.col("_p").cast("int")).alias("times")] if carry else []))
+    out = out.withColumn("times", F.col("_whole") + F.col("_p").cast("int"))
+    columns = ["doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("long").alias("taken")]
+    if not carry:
+        return out.select(*columns)
+    texts = held.select(F.col("_row").alias("_r"), *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return out.join(texts, F.col("_row") == F.col("_r")).select(*columns, *carry, "times")

@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 from chronoweft.llm import lexical
 from chronoweft.llm.graph import components
+from chronoweft.llm.ranking import parts_for, ranked
 from chronoweft.llm.store import forget, settle
 
 U = lexical.U
+#: Sets of a block; a task compares two blocks at a time.
+BLOCK = 512
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +64,10 @@ def _subkeys(h: np.ndarray, first: np.ndarray, count: int, width: int, seed: int
     return out
 
 
-def sketch(docs: DataFrame, k: int, side: int, width: int, seed: int) -> DataFrame:
-    """doc_id, n_shingles, sig (of the set), keys (2 * side sub-keys); sig and keys are null for an empty set."""
+def sketch(docs: DataFrame, k: int, side: int, width: int, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, sig (of the set), keys (2 * side sub-keys), carried columns as _c_*; sig and keys are null for an empty set."""
+    held = docs.select("doc_id", "text", *[F.col(c).alias(f"_c_{c}") for c in carry])
+    carried = [f for f in held.schema.fields if f.name.startswith("_c_")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -78,11 +83,15 @@ def sketch(docs: DataFrame, k: int, side: int, width: int, seed: int) -> DataFra
                     for r, d in enumerate(has):
                         sig[d], keys[d] = s[r].tobytes(), q[r]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "sig", "keys"],
-                )
+                    [
+                        part.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sig, pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())), *[part.column(f.name).slice(lo, hi - lo) for f in carried],
+                    ],
+                    names=["doc_id", "n_shingles", "sig", "keys", *[f.name for f in carried]],
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, keys array<long>")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return held.mapInArrow(run, "doc_id long, n_shingles long, sig binary, keys array<long>" + more)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -106,39 +115,83 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def _joined(x: list[np.ndarray], y: list[np.ndarray], percent: int) -> np.ndarray:
+    """Smallest position that each set's links reach, in x and y together. With y, only links between the two count."""
+    sets = x + y
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    column, keep = np.cumsum(common) - 1, common[code]
+    row, column = of[keep], column[code[keep]]
+    left, right = (slice(0, len(x)), slice(len(x), None)) if y else (slice(None), slice(None))
+    both = np.zeros((len(sets[left]), len(sets[right])), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, int(common.sum()), 8192):
+        a, b = np.searchsorted(column, (lo, lo + 8192))
+        part = np.zeros((len(sets), 8192), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        both += part[left] @ part[right].T
+    both = both.astype(np.int64)
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[left, right] = 100 * both >= percent * (size[left, None] + size[None, right] - both)
+    near |= near.T
+    np.fill_diagonal(near, True)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label[None, :], len(sets)).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            keep = []
-            for x, y in zip(part.column("x"), part.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                small, large = sorted((len(x), len(y)))
-                both = 0
-                if 100 * small >= percent * large:
-                    both = small + large - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (small + large - both))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _blocks(percent: int):
+    """Links of a task's block pairs, as a link of each set to the smallest that it reaches there."""
 
+    def run(table: pa.Table) -> pa.Table:
+        pair, second, node = table["pair"].to_numpy(), table["second"].to_numpy(), table["node"].to_numpy()
+        order = np.lexsort((node, second, pair))
+        sets = table["shingles"].take(pa.array(order)).to_pylist()
+        pair, second, node = pair[order], second[order], node[order]
+        cut = [*np.flatnonzero(np.diff(pair, prepend=pair[0] - 1)), len(pair)]
+        a, b = [], []
+        for lo, hi in zip(cut, cut[1:], strict=False):
+            own = [np.frombuffer(v, U) for v in sets[lo:hi]]
+            split = int((~second[lo:hi]).sum())
+            label = _joined(own[:split], own[split:], percent)
+            linked = np.flatnonzero(label != np.arange(hi - lo))
+            a.append(node[lo:hi][linked])
+            b.append(node[lo:hi][label[linked]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-def _relabel(meets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The buckets with their nodes' components so far; a node without a link is its own."""
-    if labels is None:
-        return meets.withColumn("label", F.col("node"))
-    return meets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return run
 
 
-def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int) -> DataFrame | None:
-    """Component labels of the classes that link with another: node, label.
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever links join in each block pair. pairs: node, pair, second (the node is of the pair's second block)."""
+    tasks = max(parts_for(pairs), -(-pairs.count() // (4 * BLOCK)))
+    dealt = pairs.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("pair"), F.lit(tasks)))
+    return settle(dealt.groupBy("task").applyInArrow(_blocks(percent), "a long, b long"), "links")
 
-    In each round every bucket has one leader, and each member in another component than the leader's is compared with it.
-    The leader then leaves the bucket, as all its pairs there are known.  A bucket whose members are all in one
-    component is finished, so a group of copies takes a comparison or so for each member, not for each pair.
-    """
+
+def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the label of their node; a node without a link is its own."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _own_blocks(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Each component's nodes in blocks of BLOCK, in order: component, node, block and what else rows have."""
+    return settle(ranked(rows, ["component"], order, "_rank").withColumn("block", F.expr(f"_rank div {BLOCK}")).drop("_rank"), "blocks")
+
+
+def _inside(blocks: DataFrame) -> DataFrame:
+    """Every block with itself."""
+    return blocks.select("node", F.xxhash64("component", "block").alias("pair"), F.lit(False).alias("second"))
+
+
+def _meeting(classes: DataFrame, side: int) -> DataFrame | None:
+    """Classes that meet in tables, directly or through others: node, component."""
     sub = classes.select("node", F.posexplode("keys").alias("pos", "val"))
     shared = sub.groupBy("pos", "val").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     own = sub.join(shared, ["pos", "val"]).groupBy("node").agg(
@@ -146,60 +199,65 @@ def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int)
     )  # at most 2 * side sub-keys of a node
     keyed = own.select("node", F.explode("u").alias("u"), "v").select("node", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "node")
     keyed = settle(keyed, "tables")
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("who")).filter("n > 1")
-    # tables in which the same classes meet are one bucket
-    one = crowded.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-    meets = settle(keyed.join(one, "key"), "buckets")
+    first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    edges = settle(keyed.join(first, "key").filter("node <> first").select("node", "first").distinct(), "meets")
     forget(keyed)
-    if meets.isEmpty():
+    return None if edges.isEmpty() else components(edges, "node", "first").withColumnRenamed("label", "component")
+
+
+def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int) -> DataFrame | None:
+    """Component labels of the classes that link with another: node, label.
+
+    Classes that meet in tables form candidate components, and all pairs within one are compared, block by
+    block, as products of 0/1 matrices; no pair becomes a row.  Of a component of several blocks, first each
+    block is compared with itself and then one member of every label so far; block pairs that these have joined
+    to one label are left out.
+    """
+    met = _meeting(classes, side)
+    if met is None:
         return None
-    sets = settle(_sets(docs, classes.join(meets.select("node").distinct(), "node").select("node", "sig", "min_doc"), k), "sets")
-    links, labels, known = None, None, None
-    while True:
-        now = settle(_relabel(meets, labels), "members")
-        split = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        open_ = settle(now.join(split, "key"), "open")
-        forget(now)
-        if open_.isEmpty():
-            return labels
-        # the rarest component in a bucket leads: what is left of it after that is least
-        size = open_.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-        order = F.struct(F.col("n") if labels is not None else F.lit(0), "node")
-        leader = size.groupBy("key").agg(F.min_by(F.struct("node", "label"), order).alias("lead")).select("key", F.col("lead.node").alias("b"), F.col("lead.label").alias("_lb"))
-        led = settle(open_.join(leader, "key"), "led")
-        pairs = led.filter(F.col("label") != F.col("_lb")).select(F.col("node").alias("a"), "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = settle(pairs, "pairs")
-        new = settle(_linked(pairs, sets, percent), "links")
-        known = pairs if known is None else known.union(pairs)
-        links = new if links is None else links.union(new)
-        labels = components(links, "a", "b")
-        meets = led.filter("node <> b").select("key", "node")
-        forget(open_)
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int = 12, width: int = 2, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    met = settle(met, "candidates")
+    sets = settle(_sets(docs, classes.join(met, "node").select("node", "sig", "min_doc"), k), "sets")
+    blocks = _own_blocks(met, ["node"])
+    links = _compare(_inside(blocks), sets, percent)
+    large = settle(blocks.filter("block > 0").select("component").distinct().join(blocks, "component").select("component", "node"), "large")
+    if not large.isEmpty():
+        one = _relabel(large, components(links, "a", "b")).filter("node = label").select("component", "node")
+        links = links.union(_compare(_inside(_own_blocks(one, ["node"])), sets, percent))
+        blocks = _own_blocks(_relabel(large, components(links, "a", "b")), ["label", "node"])
+        pure = blocks.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        other = pure.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        todo = pure.join(other, "component").filter("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+        todo = settle(todo.select("component", "block", "block2", F.xxhash64("component", "block", "block2").alias("pair")), "block-pairs")
+        first = blocks.join(todo, ["component", "block"]).select("node", "pair", F.lit(False).alias("second"))
+        second = blocks.withColumnRenamed("block", "block2").join(todo.filter("block < block2"), ["component", "block2"]).select("node", "pair", F.lit(True).alias("second"))
+        links = links.union(_compare(first.union(second), sets, percent))
+    return None if links.isEmpty() else components(links, "a", "b")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int = 12, width: int = 2, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; with ``carry`` also those columns, and one, which is true for one row of each component.
 
     Documents link at 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
-    doc_id that links reach.  Two sets of similarity s miss each other with a probability of about
-    2 * (1 - s**width)**side, below 0.00001 at 0.8; every link that counts is confirmed on the full sets.
+    doc_id that links reach.  Two sets of similarity s miss each other in all tables with a probability of about
+    2 * (1 - s**width)**side, below 0.00001 at 0.8; every link is confirmed on the full sets.
     A text without words, or null, has an empty set and links with nothing, not even with its like.  Repeated
-    rows are documents of their own that link by their texts.  A null doc_id never names a component unless all
-    ids in it are null; such rows are kept only if their component has no other id.  An empty table gives an
-    empty result; other columns play no part.
+    rows are documents of their own that link by their texts; all that have the component's doc_id are kept, and
+    ``one`` tells one of them.  A null doc_id names a component, and is kept, only if all ids in it are null.
+    An empty table gives an empty result.
     """
-    rows = settle(sketch(docs, k, side, width, seed), "sketch")
-    classes = settle(rows.filter("n_shingles > 0").groupBy("sig", "n_shingles", "keys").agg(F.min("doc_id").alias("min_doc")), "classes", numbered="node")
+    rows = settle(sketch(docs, k, side, width, seed, carry), "sketch", numbered="_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    classes = settle(rows.filter("n_shingles > 0").groupBy("sig", "n_shingles", "keys").agg(F.min(order).alias("best")).withColumn("min_doc", F.col("best.doc_id")), "classes", numbered="node")
     labels = _links(classes, docs, k, percent, side)
-    named = classes.select("sig", "min_doc", F.col("node"))
-    if labels is None:
-        named = named.select("sig", F.col("min_doc").alias("first"))
-    else:
-        named = settle(named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
-        lowest = named.groupBy("label").agg(F.min("min_doc").alias("first"))
-        named = named.join(lowest, "label").select("sig", "first")
-    out = rows.join(named.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    named = classes.select("sig", "best", "node")
+    if labels is not None:
+        named = settle(_relabel(named, labels), "named")
+        named = named.drop("best").join(named.groupBy("label").agg(F.min("best").alias("best")), "label")
+    out = rows.join(named.select(F.col("sig").alias("_sig"), "best"), F.col("sig") == F.col("_sig"), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    columns = ["doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")]
+    if not carry:
+        return out.select(*columns)
+    one = (F.col("n_shingles") == 0) | (F.col("_row") == F.col("best.row"))
+    return out.select(*columns, one.alias("one"), *[F.col(f"_c_{c}").alias(c) for c in carry])

@@ -266,9 +266,9 @@ def _apply(with_text: bool):
                 for k, v in (("n_bytes", len(text)), ("n_removed", len(text) - len(left)), ("n_spans", len(start)), ("kept_sha256", hashlib.sha256(left).hexdigest())):
                     out[k].append(v)
                 if with_text:
-                    out["left"].append(left)
+                    out["left"].append(left.decode("utf-8", "ignore"))
             counts = [pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")]
-            more = [pa.array(out["left"], pa.binary())] if with_text else []
+            more = [pa.array(out["left"], pa.string())] if with_text else []
             rest = [n for n in part.schema.names if n not in ("num", "text", "spans")]
             yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], *counts, pa.array(out["kept_sha256"], pa.string()), *more], names=[*rest, *out])
 
@@ -285,7 +285,7 @@ def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, cut: Cut = Cut(), carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:  # noqa: B008
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``carry``'s columns, and with ``with_text`` the bytes that are left.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``carry``'s columns, and with ``with_text`` left, the text of the bytes that are left, without characters that a cut went through.
 
     A byte goes if any ``cut.length`` bytes over it also start earlier: in a document with a smaller doc_id, or
     earlier in its own.  A null text is empty; texts shorter than ``cut.length`` stay whole.  A null doc_id comes
@@ -306,5 +306,5 @@ def remove_repeats(docs: DataFrame, cut: Cut = Cut(), carry: tuple[str, ...] = (
     spans = spans.groupBy("num").agg(F.collect_list(F.struct("at", "bytes")).alias("spans"))
     kept = "".join(f"`_c_{c}` {docs.schema[c].dataType.simpleString()}, " for c in carry)
     out = rows.join(spans, "num", "left").select("doc_id", *[f"_c_{c}" for c in carry], "text", "spans")
-    schema = f"doc_id long, {kept}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", left binary" * with_text
+    schema = f"doc_id long, {kept}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", left string" * with_text
     return out.mapInArrow(_apply(with_text), schema).withColumnsRenamed({f"_c_{c}": c for c in carry})

@@ -1,11 +1,11 @@
 """WARC archives and a two-level capture index.
 
-Writing: pages are range-partitioned by reversed-host key, and each task writes gzip-compressed records, one
-gzip member each, to files of its own.  Index: capture lines sorted by key are compressed in blocks; a sparse
-directory has the first key, offset and length of every block and stands at the end of its index file, and
-the files' first keys make a top level of one row for each file.  Reading: a key's file is found by binary search
-in the top level, its block by binary search in the file's directory, its line by binary search in the block,
-and the record by one range read.
+Writing: each task writes its pages as gzip-compressed records, one gzip member each, to files of its own.
+Index: capture lines sorted by reversed-host key are compressed in blocks; a sparse directory has the first key,
+offset and length of every block and stands at the end of its index file, and the files' first keys make a top
+level of one row for each file.  Reading: a key's file is found by binary search in the top level, its block by
+binary search in the file's directory, its line by binary search in the block, and the record by one range
+read; wanted records of one archive are read in the order in which they stand there.
 """
 
 from __future__ import annotations
@@ -131,9 +131,8 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = 256 << 20) ->
     """Write a record per page to WARC files under ``path``. Returns the captures: key, page_id, record_type, file, offset, length."""
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = classify(pages).repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return settle(sorted_.mapInArrow(_archive(path, file_bytes), "key string, page_id long, record_type string, file string, offset long, length long"), "captures")
+    rows = classify(pages).mapInArrow(_archive(path, file_bytes), "key string, page_id long, record_type string, file string, offset long, length long")
+    return settle(rows, "captures")
 
 
 def _order(key: str, page: int | None) -> tuple:
@@ -210,26 +209,42 @@ class _Index:
         return out
 
 
-def _fetch(path: str, with_payload: bool):
+def _locate(path: str):
+    """Where the wanted captures stand: file, offset, length."""
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(path)
-        index, name, archive, open_ = None, None, "", None
-        fields = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] * with_payload)]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] * with_payload)]
+        index, name = None, None
         for part in parts:
-            out: list[dict] = []
+            out: list[tuple] = []
             for want in part.to_pylist():
                 if want["index_file"] != name:
                     name = want["index_file"]
                     index = _Index(fs, root, name)
-                for _, _, _, file, at, n in index.find(want["key"], want["page_id"]):
-                    if file != archive:
-                        archive, open_ = file, fs.open_input_file(f"{root}/{file}")
-                    out.append(parse(open_.read_at(n, at)))
-                if len(out) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], k) for f, k in zip(fields, kinds, strict=True)], names=fields)
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], k) for f, k in zip(fields, kinds, strict=True)], names=fields)
+                out += [(file, at, n) for _, _, _, file, at, n in index.find(want["key"], want["page_id"])]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["file", "offset", "length"])
+
+    return run
+
+
+def _fetch(path: str, with_payload: bool):
+    """The records at the places given."""
+    fields = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *(["payload"] * with_payload)]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] * with_payload)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(path)
+        name, archive = None, None
+        for part in parts:
+            places = part.to_pylist()
+            for lo in range(0, len(places), 500):
+                out = []
+                for place in places[lo : lo + 500]:
+                    if place["file"] != name:
+                        name, archive = place["file"], fs.open_input_file(f"{root}/{place['file']}")
+                    out.append(parse(archive.read_at(place["length"], place["offset"])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], k) for f, k in zip(fields, kinds, strict=True)], names=fields)
 
     return run
 
@@ -258,8 +273,9 @@ def lookup(spark: SparkSession, wanted: DataFrame, top: DataFrame, path: str, wi
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     routed = wanted.select("key", "page_id").distinct().mapInArrow(route, "key string, page_id long, index_file string")
     routed = routed.repartitionByRange(n, "index_file", "key", "page_id").sortWithinPartitions("index_file", "key", "page_id")
+    places = routed.mapInArrow(_locate(path), "file string, offset long, length long").repartition(n, "file").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    return routed.mapInArrow(_fetch(path, with_payload), schema)
+    return places.mapInArrow(_fetch(path, with_payload), schema)
 
 
 def round_trip(pages: DataFrame, file_bytes: int = 256 << 20, block_lines: int = 3000) -> DataFrame:

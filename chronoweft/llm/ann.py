@@ -179,12 +179,19 @@ def _score(dimension: int, keep: int):
                     a, b = np.nonzero(s >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
                 else:
                     a, b = (k.ravel() for k in np.indices(s.shape))
-                found.append((some[a], of[b]))
+                found.append((some[a], of[b], s[a, b]))
         if not found:
             return empty
-        q, v = (np.concatenate(k) for k in zip(*found, strict=True))
+        q, v, near = (np.concatenate(k) for k in zip(*found, strict=True))
         _, one = np.unique(q * np.int64(1 << 32) + np.unique(node, return_inverse=True)[1][v], return_index=True)
-        q, v = q[one], v[one]
+        one = one[np.lexsort((-near[one], q[one]))]
+        q, v, near = q[one], v[one], near[one]
+        # what can be among the nearest by the products, is scored exactly
+        head = np.flatnonzero(np.diff(q, prepend=-1))
+        count = np.diff(np.append(head, len(q)))
+        least = np.repeat(near[head + np.minimum(count, keep) - 1], count)
+        some = near >= least - 1e-9 * np.maximum(1.0, np.abs(least))
+        q, v = q[some], v[some]
         score = (y[q] * x[v]).sum(axis=1)
         first = np.array([k[0] for k in vectors["ids"].to_pylist()])
         order = np.lexsort((first[v], -score, q))

@@ -227,6 +227,9 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
     vectors = vectors.join(crowd, "task", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
     near = vectors.groupBy("task", "part").cogroup(queries.groupBy("task", "part")).applyInArrow(_score(tables.dimension, k + 1), "q long, query_id long, node long, score double, ids array<long>")
     near = near.repartition("q").groupBy("q", "query_id", "node").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
+    # of vectors with one score those with the smallest ids; the query itself may be one of them
+    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.get("ids", F.lit(0)))
+    near = near.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
     near = near.select("q", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q", "query_id", "rank", "vec_id", "score")

@@ -23,7 +23,7 @@ from chronoweft.llm import lexical
 from chronoweft.llm.store import forget, settle
 
 #: Vectors of a bucket that one cell holds, and vectors and queries of a task.
-CELL, TASK_VECTORS, TASK_QUERIES = 4096, 40_000, 8192
+CELL, TASK_VECTORS, TASK_QUERIES = 4096, 8192, 8192
 
 
 @dataclass(frozen=True)
@@ -206,7 +206,6 @@ def _score(dimension: int, keep: int):
 
 def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) -> DataFrame:
     """The nearest found of each query: q, query_id, rank, vec_id, score."""
-    spark = classes.sparkSession
 
     def bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -217,7 +216,7 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
     # a row for each bucket, whose number the tables fix
     sizes = classes.select("embedding").mapInArrow(bucket, "code long").groupBy("code").count().collect()
     split = {r["code"]: -(-r["count"] // CELL) for r in sizes}
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(r["count"] for r in sizes) // TASK_VECTORS))
+    tasks = max(1, -(-sum(r["count"] for r in sizes) // TASK_VECTORS))
     vectors = classes.select("node", "embedding", "ids").mapInArrow(_cells(tables, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
     queries = asked.select("q", "query_id", "embedding").mapInArrow(_probes(tables, split, tasks), "task int, cells array<long>, q long, query_id long, embedding array<float>")
     queries = settle(queries, "probes")

@@ -85,6 +85,10 @@ class Tables:
         return np.take_along_axis(code, take, 2) + np.arange(self.tables)[:, None, None] * self.buckets
 
 
+#: A row for each query and task.
+_FOUND = [("q", pa.int64()), ("query_id", pa.int64()), ("node", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("ids", pa.list_(pa.list_(pa.int64())))]
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The orthonormal Walsh-Hadamard transform of each row, whose length is a power of two, in log2 of it passes."""
     rows, n = x.shape
@@ -154,7 +158,7 @@ def _score(dimension: int, keep: int):
     """Of a task's vectors, the ``keep`` nearest of each of its queries, with exact scores."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "ids": pa.array([], pa.list_(pa.int64()))})
+        empty = pa.table({n: pa.array([], k) for n, k in _FOUND})
         if not len(vectors) or not len(queries):
             return empty
         x, y = _matrix(vectors["embedding"], dimension), _matrix(queries["embedding"], dimension)
@@ -199,7 +203,43 @@ def _score(dimension: int, keep: int):
         head = np.flatnonzero(np.diff(q, prepend=-1))
         rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
         q, v, score = (k[rank < keep] for k in (q, v, score))
-        return pa.table({"q": queries["q"].take(pa.array(q)), "query_id": queries["query_id"].take(pa.array(q)), "node": pa.array(node[v]), "score": pa.array(score), "ids": vectors["ids"].take(pa.array(v))})
+        head = np.flatnonzero(np.diff(q, prepend=-1))
+        cut = pa.array(np.append(head, len(q)), pa.int32())
+        lists = [pa.array(node[v]), pa.array(score), vectors["ids"].combine_chunks().take(pa.array(v))]
+        return pa.table([queries["q"].take(pa.array(q[head])), queries["query_id"].take(pa.array(q[head])), *[pa.ListArray.from_arrays(cut, x) for x in lists]], names=[n for n, _ in _FOUND])
+
+    return run
+
+
+def _merge(k: int):
+    """The k nearest of each query, from rows of one query in a row."""
+
+    def best(q: int, query_id: int, rows: list[dict]) -> list[tuple]:
+        node = np.concatenate([r["node"] for r in rows])
+        score = np.concatenate([r["score"] for r in rows])
+        ids = [x for r in rows for x in r["ids"]]
+        _, one = np.unique(node, return_index=True)
+        one = one[np.lexsort(([ids[j][0] for j in one], -score[one]))][: k + 1]
+        found = sorted((-score[j], i) for j in one for i in ids[j] if i != query_id)[:k]
+        return [(q, query_id, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q", "query_id", "rank", "vec_id", "score"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for part in parts:
+            out: list[tuple] = []
+            for row in part.to_pylist():
+                if held and held[0]["q"] != row["q"]:
+                    out += best(held[0]["q"], held[0]["query_id"], held)
+                    held = []
+                held.append(row)
+            yield batch(out)
+        if held:
+            yield batch(best(held[0]["q"], held[0]["query_id"], held))
 
     return run
 
@@ -224,14 +264,9 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
     crowd = queries.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("parts")).filter("parts > 1")
     queries = queries.join(crowd, "task", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("q"), F.col("parts"))).cast("int")).drop("parts")
     vectors = vectors.join(crowd, "task", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-    near = vectors.groupBy("task", "part").cogroup(queries.groupBy("task", "part")).applyInArrow(_score(tables.dimension, k + 1), "q long, query_id long, node long, score double, ids array<long>")
-    near = near.repartition("q").groupBy("q", "query_id", "node").agg(F.max("score").alias("score"), F.max("ids").alias("ids"))
-    # of vectors with one score those with the smallest ids; the query itself may be one of them
-    best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.get("ids", F.lit(0)))
-    near = near.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
-    near = near.select("q", "query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("q", "query_id", "rank", "vec_id", "score")
+    near = vectors.groupBy("task", "part").cogroup(queries.groupBy("task", "part")).applyInArrow(_score(tables.dimension, k + 1), "q long, query_id long, node array<long>, score array<double>, ids array<array<long>>")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return near.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_merge(k), "q long, query_id long, rank int, vec_id long, score double")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataFrame:

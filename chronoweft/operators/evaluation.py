@@ -89,3 +89,16 @@ def lines_present(words: list[str], lines: list[list[str]], share: float = 0.6)
 
     kept = list(dict.fromkeys(words))
     return [sum(any(word_likeness(w, k) >= 0.6 for k in kept) for w in line) >= share * len(line) for line in lines]
+
+
+def placed_windows(edit: list[str], source: list[str], size: int = 6, least: int = 4) -> list[tuple[int, int]]:
+    """Where each window of the edit's words stands in the source: the place with the longest common subsequence of at least ``least`` words, ties to the later."""
+    from chronoweft.operators.takes import common
+
+    out = []
+    for e in range(0, max(0, len(edit) - size + 1)):
+        own = edit[e : e + size]
+        scores = [common(own, source[s : s + size]) for s in range(max(0, len(source) - size + 1))]
+        if scores and max(scores) >= least:
+            out.append((e, len(scores) - 1 - int(np.argmax(scores[::-1]))))
+    return out

@@ -136,3 +136,27 @@ def retime(items: DataFrame, old: DataFrame, new: DataFrame, id: str = "ord") ->
     stay = at.filter(F.col("piece").isNull()).drop("piece", "media_start", "media_end")
     moved = at.filter(F.col("piece").isNotNull()).drop("piece").withColumn("start", F.col("media_start")).withColumn("end", F.col("media_end")).drop("media_start", "media_end")
     return media_to_timeline(moved, new).drop("piece", "whole").unionByName(stay)
+
+
+def place_lines(lines: DataFrame, words: DataFrame, pieces: DataFrame, min_length: float = 0.05) -> DataFrame:
+    """Lines on the pieces that play them, with the words whose middle a piece plays: rec_id, ord, piece, start, end, text. A line whose words a piece doesn't play goes; one without words gets the share of its tokens that lies in the piece.
+
+    lines, words: rec_id, ord, start, end, text.
+    """
+    placed = media_to_timeline(lines.withColumn("_la", F.col("start")).withColumn("_lb", F.col("end")), pieces, min_length)
+    middle = words.filter(F.trim("text") != "").select(KEY, F.col("ord").alias("_w"), ((F.col("start") + F.col("end")) / 2).alias("t"), F.trim("text").alias("_t"))
+    owned = nearest_line(middle, lines)
+    total = owned.groupBy(KEY, F.col("line").alias("ord")).agg(F.count(F.lit(1)).alias("_all"))
+    spans = pieces.select(KEY, "piece", F.col("in_point").alias("_i"), F.col("out_point").alias("_o"))
+    played = within(owned, spans, "t", (F.col("_i"), F.col("_o")), ("_i", "_o"), 0)
+    said = played.groupBy(KEY, F.col("line").alias("ord"), "piece").agg(F.array_sort(F.collect_list(F.struct("t", "_w", "_t"))).alias("_said"))
+    both = placed.join(total, [KEY, "ord"], "left").join(said, [KEY, "ord", "piece"], "left").join(spans, [KEY, "piece"])
+    tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    size = F.aggregate(tokens, F.lit(0), lambda a, x: a + F.length(x) + 1)
+    upto = lambda k: F.aggregate(F.slice(tokens, 1, k), F.lit(0), lambda a, x: a + F.length(x) + 1)
+    low, high = ((F.greatest("_la", "_i") - F.col("_la")) / F.greatest(F.lit(1e-6), F.col("_lb") - F.col("_la")), (F.least("_lb", "_o") - F.col("_la")) / F.greatest(F.lit(1e-6), F.col("_lb") - F.col("_la")))
+    share = F.filter(tokens, lambda x, k: ((upto(k) + (F.length(x) + 1) / 2) / size >= low) & ((upto(k) + (F.length(x) + 1) / 2) / size < high))
+    heard = F.array_join(F.transform("_said", lambda x: x["_t"]), " ")
+    text = F.when(F.col("_all").isNotNull(), F.when((F.size("_said") == F.col("_all")) & F.col("whole"), F.col("text")).otherwise(heard)).when(F.col("whole"), F.col("text")).otherwise(F.array_join(share, " "))
+    out = both.withColumn("text", F.coalesce(text, F.lit(""))).filter("text <> ''")
+    return out.select(KEY, "ord", "piece", "start", "end", "text")

@@ -353,3 +353,128 @@ def assign(pairs: DataFrame, least: float = 0.05) -> DataFrame:
                 yield str(p.mic), str(p.person)
 
     return per_recording(pairs, kernel, "mic string, person string")
+
+
+def listener_bursts_of(regions: list[tuple[int, float, float]], least: float = 0.15, most: float = 1.5, around: float = 2.5) -> list[tuple[int, float, float, int]]:
+    """Short regions inside another's talk: angle, start, end and who talks; the same one must be heard within ``around`` on both sides."""
+
+    def near(t: float, own: int, way: int) -> int | None:
+        for d in np.arange(0.05, around + 1e-6, 0.1):
+            found = sorted(a for a, s, e in regions if a != own and s - 1e-6 <= t + way * d < e - 1e-6)
+            if found:
+                return found[0]
+        return None
+
+    out = []
+    for a, s, e in sorted(regions, key=lambda r: (r[1], r[0])):
+        if least - 1e-6 <= e - s <= most + 1e-6:
+            before, after = near(s, a, -1), near(e, a, 1)
+            if before is not None and before == after:
+                out.append((a, s, e, before))
+    return out
+
+
+def listener_bursts(regions: DataFrame, **options) -> DataFrame:
+    """rec_id, angle, start, end, over. regions: rec_id, angle, start, end."""
+    return per_recording(regions, lambda f: listener_bursts_of(list(f[["angle", "start", "end"]].itertuples(index=False, name=None)), **options), "angle long, start double, end double, over long")
+
+
+def reaction_shots(plan: DataFrame, bursts: DataFrame, every: float, **options) -> DataFrame:
+    """rec_id, start, end, angle, reaction. plan: rec_id, start, end, angle, cutaway; bursts: rec_id, angle, start, end, over."""
+    kind = plan.schema[KEY].dataType.simpleString()
+
+    def run(p: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = reactions_of(p.sort_values("start").to_dict("records"), b.to_dict("records"), every, **options)
+        out = pd.DataFrame([(s["start"], s["end"], s["angle"], bool(s.get("reaction"))) for s in found], columns=["start", "end", "angle", "reaction"])
+        out.insert(0, KEY, (p if len(p) else b)[KEY].iloc[0])
+        return out
+
+    return plan.groupBy(KEY).cogroup(bursts.groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, start double, end double, angle long, reaction boolean")
+
+
+def short_pieces(keeps: list[tuple[float, float]], plan: list[tuple[float, float, int]], least: float = 0.7, fallback: int = 0) -> list[tuple[float, float, int]]:
+    """Kept ranges cut by a plan of shots: holes go to the shot before, and pieces that touch the one before join it if they show the same or are shorter than ``least``."""
+    out: list[list] = []
+    for s, e in keeps:
+        shots = sorted(p for p in plan if p[1] > s + 1e-3 and p[0] < e - 1e-3)
+        at, own = s, []
+        for k, (a, b, angle) in enumerate(shots):
+            if a > at + 1e-6:
+                own.append([at, min(a, e), shots[max(0, k - 1)][2]])
+            own.append([max(a, at), min(b, e), angle])
+            at = max(at, min(b, e))
+        if at < e - 1e-6:
+            own.append([at, e, shots[-1][2] if shots else fallback])
+        for p in own:
+            if p[1] - p[0] <= 1e-6:
+                continue
+            if out and abs(out[-1][1] - p[0]) < 1e-3 and (p[2] == out[-1][2] or p[1] - p[0] < least):
+                out[-1][1] = p[1]
+            else:
+                out.append(p)
+    if len(out) > 1 and out[0][1] - out[0][0] < least and abs(out[0][1] - out[1][0]) < 1e-3:
+        out[1][0] = out[0][0]
+        out.pop(0)
+    return [tuple(p) for p in out]
+
+
+def talker(levels: DataFrame, spans: DataFrame) -> DataFrame:
+    """Who is loud most of each span: rec_id, ord, talker (a microphone, ``both`` when two are over a third of it, null when nobody is). levels: rec_id, mic, i, db; spans: rec_id, ord, first, last."""
+    top = levels.groupBy(KEY, "mic").agg(F.max("db").alias("_top"))
+    loud = levels.join(top, [KEY, "mic"]).withColumn("_on", ((F.col("db") > F.col("_top") - 18) & (F.col("db") > -50)).cast("int"))
+    cells = spans.select(KEY, "ord", F.explode(F.sequence("first", "last")).alias("i"))
+    share = loud.join(cells, [KEY, "i"]).groupBy(KEY, "ord", "mic").agg(F.avg("_on").alias("s"))
+    ranked = share.withColumn("_k", F.row_number().over(Window.partitionBy(KEY, "ord").orderBy(F.desc("s"), "mic"))).filter("_k <= 2")
+    per = ranked.groupBy(KEY, "ord").agg(F.max(F.when(F.col("_k") == 1, F.struct("s", "mic"))).alias("a"), F.max(F.when(F.col("_k") == 2, F.col("s"))).alias("b"))
+    who = F.when(F.col("a.s") < 0.15, F.lit(None)).when((F.col("a.s") > 0.33) & (F.col("b") > 0.33), F.lit("both")).otherwise(F.col("a.mic").cast("string"))
+    return per.select(KEY, "ord", who.alias("talker"))
+
+
+def cameras_of(labels: list[str], angles: int, names: list[str | None] = ()) -> dict[str, int]:
+    """A camera for each speaker label in order of appearance: by its name, by its number, then the first that is free; -1 if none is."""
+    import re
+
+    out: dict[str, int] = {}
+    order = list(dict.fromkeys(x for x in labels if x))
+    free = lambda a: a not in out.values()
+    for x in order:
+        a = next((k for k, n in enumerate(names[:angles]) if n and n.strip().lower() == x.lower() and free(k)), None)
+        if a is not None:
+            out[x] = a
+    for x in order:
+        m = re.fullmatch(r"speaker\s*(\d+)", x, re.IGNORECASE)
+        if x not in out and m and 1 <= int(m[1]) <= angles and free(int(m[1]) - 1):
+            out[x] = int(m[1]) - 1
+    for x in order:
+        if x not in out:
+            out[x] = next((a for a in range(angles) if free(a)), -1)
+    return out
+
+
+def movement(frames: DataFrame) -> DataFrame:
+    """Mean absolute change of each frame's pixels from the one before: rec_id, i, v. frames: rec_id, i, pixels array<double>."""
+    before = F.lag("pixels").over(Window.partitionBy(KEY).orderBy("i"))
+    change = F.aggregate(F.zip_with("pixels", before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
+    return frames.select(KEY, "i", F.coalesce(change, F.lit(0.0)).alias("v"))
+
+
+def face_tracks(detections: DataFrame, frames: int) -> DataFrame:
+    """Faces followed over frames, each to the nearest track of a like size; tracks seen in a fifth of the frames: rec_id, track, cx, cy, s, seen. detections: rec_id, i, cx, cy, s (shares of the frame)."""
+
+    def kernel(frame: pd.DataFrame):
+        tracks: list[dict] = []
+        for d in frame.sort_values(["i", "s"], ascending=[True, False]).itertuples():
+            far = lambda t, d=d: abs(d.cx - t["cx"]) + 0.5 * abs(d.cy - t["cy"])
+            fit = [t for t in tracks if t["last"] != d.i and 0.6 < d.s / t["s"] < 1.6 and far(t) < max(1.2 * t["s"], 0.06)]
+            t = min(fit, key=far, default=None)
+            if t is None:
+                t = {"cx": d.cx, "cy": d.cy, "s": d.s, "rows": []}
+                tracks.append(t)
+            t["rows"].append((d.cx, d.cy, d.s))
+            t["last"] = d.i
+            t["cx"], t["cy"], t["s"] = np.mean(t["rows"], axis=0)
+        kept = [np.sort(np.array(t["rows"]), axis=0) for t in tracks if len(t["rows"]) >= max(1, math.floor(0.2 * frames + 0.5))]
+        middle = sorted((tuple(float(x) for x in r[len(r) // 2]) + (len(r) / max(1, frames),) for r in kept), key=lambda m: m[0])
+        return [(k, *m) for k, m in enumerate(middle)]
+
+    return per_recording(detections, kernel, "track long, cx double, cy double, s double, seen double")

@@ -196,3 +196,16 @@ def error_kind(status: Column, curl: Column, raw: Column) -> Column:
         .when(code(415) | says("unsupported (media|format)|invalid (audio|file|format)|could not decode"), "bad_audio")
         .otherwise("unknown")
     )
+
+
+def pieces_of(clips: DataFrame) -> DataFrame:
+    """Clips that can be mixed as they are: media, not muted, disabled or reversed, at normal speed: rec_id, track, media, from, dur, at."""
+    flag = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    plain = clips.filter(F.col("media").isNotNull() & flag("muted") & flag("disabled") & flag("reversed") & (F.abs(F.coalesce("speed", F.lit(1.0)) - 1) <= 0.001))
+    return plain.select("rec_id", "track", "media", F.col("in_point").alias("from"), (F.col("end") - F.col("start")).alias("dur"), F.col("start").alias("at"))
+
+
+def families(names: DataFrame, query: str) -> DataFrame:
+    """Names that contain the query, whatever the case; all for an empty one."""
+    q = (query or "").strip().lower()
+    return names.filter(F.lower("name").contains(q)) if q else names

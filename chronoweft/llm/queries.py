@@ -72,4 +72,4 @@ QUERIES = {
         op10_temporal_url_lists,
     )
 }
-ORACLES = {"op10_temporal_url_lists": urlfilter.ORACLE}
+ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE}

@@ -291,3 +291,11 @@ def round_trip(pages: DataFrame, file_bytes: int = 256 << 20, block_lines: int =
     top = build_index(captures, path, block_lines)
     wanted = pages.select(url_key(F.col("url")).alias("key"), "page_id")
     return lookup(spark, wanted, top, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {REVISIT_BYTES} AND response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {REVISIT_BYTES} AND response <> page_id THEN response END AS refers_to, url FROM r
+"""

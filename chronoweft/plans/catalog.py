@@ -410,3 +410,69 @@ def chapter_titles(spark, d):
 @_query()
 def subtitles(spark, d):
     return captions.native_subtitles(A.seconds(A.cues(spark, d)), 25.0)
+
+
+# ---- speakers and shots --------------------------------------------------------------------
+
+
+@_query(f"""WITH s AS (SELECT rec_id, (row_number() OVER (PARTITION BY rec_id ORDER BY start, "end") - 1) % 3 AS angle, count(*) OVER (PARTITION BY rec_id) AS n FROM ({_merged()}))
+ SELECT rec_id, CAST(angle AS BIGINT) AS angle, count(*) AS segments, CAST(max(n) - 1 AS BIGINT) AS switches FROM s GROUP BY rec_id, angle""")
+def plan_stats(spark, d):
+    from chronoweft.operators import speakers
+
+    return speakers.plan_stats(speakers.rotate(intervals.merge(A.ranges(spark, d)), 3))
+
+
+@_query(f"""WITH g AS ({A.SQL['grid']}), m AS (SELECT mic, avg(db) FILTER (db > -99) AS mean FROM g GROUP BY mic),
+ c AS (SELECT g.mic, w, CASE WHEN db > -99 THEN db - mean ELSE 0.0 END AS v FROM g JOIN m USING (mic)),
+ s AS (SELECT lag, avg(x.v * y.v) AS score, count(*) AS n FROM (SELECT unnest(range(-12, 13)) AS lag) l CROSS JOIN (SELECT * FROM c WHERE mic = 'click') x JOIN (SELECT * FROM c WHERE mic = 'view') y ON y.w = x.w + lag GROUP BY lag)
+ SELECT CAST(0 AS BIGINT) AS rec_id, CAST(lag AS INTEGER) AS lag FROM s WHERE n > 12 ORDER BY round(score, 9) DESC, lag LIMIT 1""")
+def xcorr_offset(spark, d):
+    return signal.estimate_offset(A.grid(spark, d), "click", "view", 1.0, 12.0).select("rec_id", "lag")
+
+
+def _turns(spark, d):
+    """Turns of a conversation as regions in seconds, a camera for each role."""
+    roles = F.create_map(*[x for k, r in enumerate(("user", "assistant", "system")) for x in (F.lit(r), F.lit(k).cast("long"))])
+    return A.seconds(A.cues(spark, d)).select("rec_id", F.coalesce(F.element_at(roles, F.col("speaker")), F.lit(0)).alias("angle"), "start", "end")
+
+
+@_query()
+def director_plan(spark, d):
+    from chronoweft.operators import speakers
+
+    r = _turns(spark, d)
+    return speakers.director(r, r.groupBy("rec_id").agg(F.max("end").alias("total")), 3, max_shot=20.0)
+
+
+@_query()
+def layout_plan(spark, d):
+    from chronoweft.operators import speakers
+
+    r = _turns(spark, d)
+    return speakers.layouts(r, r.groupBy("rec_id").agg(F.max("end").alias("total")))
+
+
+@_query()
+def script_align(spark, d):
+    from chronoweft.operators import script
+
+    cues = A.seconds(A.cues(spark, d))
+    scripts = cues.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.upper(x["text"])), "\n").alias("script"))
+    return script.align_to_script(cues, scripts)
+
+
+@_query()
+def speaker_activity(spark, d):
+    from chronoweft.operators import speakers
+
+    return speakers.speaker_activity(A.grid(spark, d), 1.0)
+
+
+@_query()
+def parse_srt(spark, d):
+    """Turns written as subtitle files and read again."""
+    from chronoweft.sources import readers, sinks
+
+    cues = A.seconds(A.cues(spark, d)).withColumnRenamed("ord", "i")
+    return readers.subtitles(sinks.to_srt(cues))

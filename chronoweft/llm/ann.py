@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Vectors become unit vectors (largest inner product turns into smallest angle by one added coordinate, as for
-maximum inner product search).  A pseudo-rotation of three rounds of random signs and a fast Hadamard transform
+maximum inner product search).  Beside one long vector all others would point along that coordinate, so vectors
+are parted into narrow ranges of norm, each scaled by its own largest norm, with buckets of its own; a query looks
+into all ranges, and into one of few vectors as a whole.  A pseudo-rotation of three rounds of random signs and a fast Hadamard transform
 precedes every hash, which is the nearest signed axis.  Each of several tables joins a few hashes to a bucket;
 a query looks into its nearest buckets in every table, and all candidates are ranked by their exact score.
 """
@@ -24,14 +26,20 @@ from chronoweft.llm.store import forget, settle
 
 #: Vectors of a bucket that one cell holds, and vectors and queries of a task.
 CELL, TASK_VECTORS, TASK_QUERIES = 4096, 8192, 8192
+#: Ranges of norm in a factor of two; 32-bit floats have norms of fewer than 300 such factors.
+RANGES = 8
 
 
 @dataclass(frozen=True)
 class Tables:
-    """tables * (2 * size) ** hashes buckets; more hashes suit larger collections, more probes a higher recall."""
+    """tables * (2 * size) ** hashes buckets for each range of norm; more hashes suit larger collections, more probes a higher recall.
+
+    counts: the vectors of each range; norms: the largest norm in each.
+    """
 
     dimension: int
-    norm: float
+    counts: tuple[int, ...]
+    norms: tuple[float, ...]
     tables: int = 4
     hashes: int = 1
     probes: int = 64
@@ -46,13 +54,23 @@ class Tables:
     def buckets(self) -> int:
         return (2 * self.size) ** self.hashes
 
-    def axes(self, x: np.ndarray, query: bool) -> np.ndarray:
-        """Nearness of every vector to every signed axis: table, hash, row, axis."""
+    @property
+    def whole(self) -> np.ndarray:
+        """Whether a range has no more vectors than a query has probes; such a range is one bucket, and every query looks into it."""
+        return np.array(self.counts) <= self.tables * self.probes
+
+    @property
+    def base(self) -> np.ndarray:
+        """The first bucket of each range."""
+        return np.arange(len(self.counts)) * (self.tables * self.buckets)
+
+    def axes(self, x: np.ndarray, norm: np.ndarray | None) -> np.ndarray:
+        """Nearness of every vector, or without ``norm`` every query, to every signed axis: table, hash, row, axis."""
         scaled = np.zeros((len(x), self.size))
-        if query:
+        if norm is None:
             scaled[:, : self.dimension] = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         else:
-            scaled[:, : self.dimension] = x / self.norm
+            scaled[:, : self.dimension] = x / norm[:, None]
             scaled[:, self.dimension] = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
         draw = np.random.Generator(np.random.PCG64(self.seed))
         out = np.empty((self.tables, self.hashes, len(x), 2 * self.size))
@@ -63,17 +81,28 @@ class Tables:
             out[t, h, :, : self.size], out[t, h, :, self.size :] = y, -y
         return out
 
-    def bucket(self, x: np.ndarray) -> np.ndarray:
-        """Bucket of each vector in each table."""
-        best = self.axes(x, False).argmax(axis=3)
+    def bucket(self, x: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and bucket of each vector of the ranges ``band`` in each table, once where the range is one bucket."""
+        best = self.axes(x, np.array(self.norms)[band]).argmax(axis=3)
         code = np.zeros(best.shape[::2], np.int64)
         for h in range(self.hashes):
             code = code * (2 * self.size) + best[:, h]
-        return code + np.arange(self.tables)[:, None] * self.buckets
-
-    def probe(self, x: np.ndarray) -> np.ndarray:
-        """The nearest buckets of each query in each table: of those made of its nearest axes, the ones with the least sum of shortfalls."""
-        near = self.axes(x, True)
+        code += np.arange(self.tables)[:, None] * self.buckets
+        whole = self.whole[band]
+        code[0, whole] = 0
+        keep = np.ones(code.shape, bool)
+        keep[1:, whole] = False
+        return np.nonzero(keep)[1], (code + self.base[band])[keep]
+
+    def probe(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """The buckets of each query: in each range and table the nearest, and those that are a range."""
+        base, whole = self.base, self.whole
+        for near in np.moveaxis(self.nearest(x), 1, 0):
+            yield np.concatenate(((base[~whole][:, None] + near.ravel()).ravel(), base[whole]))
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The nearest buckets of each query in each table of a range: of those made of its nearest axes, the ones with the least sum of shortfalls."""
+        near = self.axes(x, None)
         wide = 2 * self.size if self.probes >= self.buckets else min(2 * self.size, math.ceil(min(self.probes, self.buckets) ** (1 / self.hashes)) + 2 * (self.hashes > 1))
         order = np.argsort(-near, axis=3, kind="stable")[..., :wide]
         short = near.max(axis=3, keepdims=True) - np.take_along_axis(near, order, 3)
@@ -113,38 +142,43 @@ def valid(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0))
 
 
-def _cells(tables: Tables, split: dict[int, int], tasks: int):
+def _parts(code: np.ndarray, known: np.ndarray, split: np.ndarray) -> np.ndarray:
+    """The number of cells of each bucket, from those of the ``known`` ones in order; 0 for all others."""
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return np.where(known[at] == code, split[at], 0)
+
+
+def _cells(tables: Tables, known: np.ndarray, split: np.ndarray, tasks: int):
     """A row for each vector and table: task, cell."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, len(part), 2048):
                 own = part.slice(lo, 2048)
-                code = tables.bucket(_matrix(own.column("embedding"), tables.dimension)).ravel()
-                own = own.take(pa.array(np.tile(np.arange(len(own)), tables.tables)))
-                parts_of = np.array([split.get(c, 1) for c in code.tolist()])
-                cell = code * 65536 + own.column("node").to_numpy() % parts_of
+                row, code = tables.bucket(_matrix(own.column("embedding"), tables.dimension), own.column("band").to_numpy())
+                own = own.select(["node", "embedding", "ids"]).take(pa.array(row))
+                cell = code * 65536 + own.column("node").to_numpy() % _parts(code, known, split)
                 task = (lexical.mix(cell) % lexical.U(tasks)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(cell), *own.columns], names=["task", "cell", *own.schema.names])
 
     return run
 
 
-def _probes(tables: Tables, split: dict[int, int], tasks: int):
+def _probes(tables: Tables, known: np.ndarray, split: np.ndarray, tasks: int):
     """A row for each query and task in which it looks into cells."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, len(part), 256):
                 own = part.slice(lo, 256)
-                code = np.moveaxis(tables.probe(_matrix(own.column("embedding"), tables.dimension)), 1, 0).reshape(len(own), -1)
                 row, task, cells = [], [], []
-                for r in range(len(own)):
-                    cell = np.concatenate([c * 65536 + np.arange(split[c]) for c in code[r].tolist() if c in split] or [np.zeros(0, np.int64)])
+                for r, code in enumerate(tables.probe(_matrix(own.column("embedding"), tables.dimension))):
+                    parts_of = _parts(code, known, split)
+                    cell = np.repeat(code * 65536 - np.cumsum(parts_of) + parts_of, parts_of) + np.arange(parts_of.sum())
                     to = (lexical.mix(cell) % lexical.U(tasks)).astype(np.int32)
                     by = np.argsort(to, kind="stable")
                     heads = np.flatnonzero(np.diff(to[by], prepend=-1))
-                    for a, b in zip(heads, [*heads[1:], len(by)], strict=True):
+                    for a, b in zip(heads, np.append(heads, len(by))[1:], strict=True):
                         row.append(r)
                         task.append(to[by[a]])
                         cells.append(cell[by[a:b]])
@@ -250,15 +284,16 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
     def bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, len(part), 2048):
-                code = tables.bucket(_matrix(part.column("embedding").slice(lo, 2048), tables.dimension)).ravel()
+                own = part.slice(lo, 2048)
+                _, code = tables.bucket(_matrix(own.column("embedding"), tables.dimension), own.column("band").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(code)], names=["code"])
 
-    # a row for each bucket, whose number the tables fix
-    sizes = classes.select("embedding").mapInArrow(bucket, "code long").groupBy("code").count().collect()
-    split = {r["code"]: -(-r["count"] // CELL) for r in sizes}
+    # a row for each bucket, whose number the tables and ranges fix
+    sizes = sorted(classes.select("embedding", "band").mapInArrow(bucket, "code long").groupBy("code").count().collect())
+    known, split = np.array([r["code"] for r in sizes], np.int64), np.array([-(-r["count"] // CELL) for r in sizes], np.int64)
     tasks = max(1, -(-sum(r["count"] for r in sizes) // TASK_VECTORS))
-    vectors = classes.select("node", "embedding", "ids").mapInArrow(_cells(tables, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
-    queries = asked.select("q", "query_id", "embedding").mapInArrow(_probes(tables, split, tasks), "task int, cells array<long>, q long, query_id long, embedding array<float>")
+    vectors = classes.select("node", "embedding", "ids", "band").mapInArrow(_cells(tables, known, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
+    queries = asked.select("q", "query_id", "embedding").mapInArrow(_probes(tables, known, split, tasks), "task int, cells array<long>, q long, query_id long, embedding array<float>")
     queries = settle(queries, "probes")
     # a row for each task
     crowd = queries.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("parts")).filter("parts > 1")
@@ -279,15 +314,22 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     are answered each; an empty table gives an empty result.
     """
     rows, queries = valid(rows), valid(queries)
-    usual = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).orderBy(F.desc("c"), "n").first()
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    usual = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max(square).alias("m")).orderBy(F.desc("c"), "n").first()
     if usual is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id"), F.lit(0.0).alias("score")).filter("false")
     rows, queries = (t.filter(F.size("embedding") == usual["n"]) for t in (rows, queries))
     each = Window.partitionBy("embedding").orderBy("vec_id")
     few = rows.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= k + 1)
-    classes = settle(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "vectors", numbered="node")
+    grouped = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # the range of norm, counted from the largest
+    classes = settle(grouped.withColumn("band", F.round(F.log2(F.lit(usual["m"]) / square) * (RANGES / 2)).cast("int")), "vectors", numbered="node")
+    bands = classes.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.max(square).alias("m")).collect()
+    counts, norms = [0] * (max(r["band"] for r in bands) + 1), [1.0] * (max(r["band"] for r in bands) + 1)
+    for r in bands:
+        counts[r["band"]], norms[r["band"]] = r["c"], math.sqrt(r["m"]) * (1 + 1e-12)
     asked = settle(queries.select(F.col("vec_id").alias("query_id"), "embedding"), "queries", numbered="q")
-    tables = Tables(usual["n"], math.sqrt(usual["m"]) * (1 + 1e-12), **options)
+    tables = Tables(usual["n"], tuple(counts), tuple(norms), **options)
     found = settle(_candidates(classes, asked, tables, k), "near")
     all_ = classes.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("c"))
@@ -295,7 +337,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     if short.isEmpty():
         forget(short)
     else:
-        everywhere = Tables(tables.dimension, tables.norm, 1, 1, 2 * tables.size, tables.seed)
+        everywhere = Tables(tables.dimension, tables.counts, tables.norms, 1, 1, 2 * tables.size, tables.seed)
         more = settle(_candidates(classes, short, everywhere, k), "more")
         found = found.join(short.select("q"), "q", "left_anti").unionByName(more)
     return found.select("query_id", "rank", "vec_id", "score")

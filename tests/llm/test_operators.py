@@ -125,6 +125,31 @@ def test_search_recall(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def test_search_recall_with_unequal_norms(spark):
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(4000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    longer = np.ones((4000, 1))
+    longer[3] = 10
+    for by in (longer, np.exp(rng.normal(size=(4000, 1)) / 2)):
+        rows = [(i, v) for i, v in enumerate((unit * by).tolist())]
+        want = brute_search(rows, [r for r in rows if r[0] % 20 == 0], 20)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = defaultdict(set)
+        for r in ann.search(df, df.filter("vec_id % 20 = 0"), 20).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_search_without_any_bucket(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v) for i, v in enumerate((np.eye(1, 16) + rng.normal(size=(400, 16)) / 1000).tolist())]
+    far = [(1000, [-1.0] + [0.0] * 15)]
+    df, asked = (spark.createDataFrame(x, "vec_id long, embedding array<float>") for x in (rows, far))
+    got = sorted(ann.search(df, asked, 5).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == [i for i, _ in brute_search(rows, far, 5)[1000]]
+
+
 def test_search_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.integers(1, 4)]) for i in range(12)] + [(i, [1.0] * 8) for i in range(20, 60)]

@@ -188,8 +188,13 @@ def _probes(tables: Tables, known: np.ndarray, split: np.ndarray, tasks: int):
     return run
 
 
+def _stands(ids: list[list[int]]) -> np.ndarray:
+    """For each class its least id, and the least of its others, which is the same where it has one id only."""
+    return np.array([(k[0], next((i for i in k if i != k[0]), k[0])) for k in ids], np.int64).reshape(-1, 2).T
+
+
 def _score(dimension: int, keep: int):
-    """Of a task's vectors, the ``keep`` nearest of each of its queries, with exact scores."""
+    """Of a task's vectors, the ``keep`` nearest of each of its queries that not only the query's own id has, with exact scores."""
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         empty = pa.table({n: pa.array([], k) for n, k in _FOUND})
@@ -197,6 +202,8 @@ def _score(dimension: int, keep: int):
             return empty
         x, y = _matrix(vectors["embedding"], dimension), _matrix(queries["embedding"], dimension)
         node, cell = vectors["node"].to_numpy(), vectors["cell"].to_numpy()
+        first, other = _stands(vectors["ids"].to_pylist())
+        self_ = queries["query_id"].to_numpy()
         order = np.argsort(cell, kind="stable")
         heads = np.flatnonzero(np.diff(cell[order], prepend=-1))
         members = {int(cell[order[a]]): order[a:b] for a, b in zip(heads, [*heads[1:], len(order)], strict=True)}
@@ -211,12 +218,16 @@ def _score(dimension: int, keep: int):
             for lo in range(0, len(who), 1024):
                 some = who[lo : lo + 1024]
                 s = y[some] @ x[of].T
+                own = np.flatnonzero((first[of] == other[of]) & np.isin(first[of], self_[some]))
+                s[:, own] = np.where(self_[some][:, None] == first[of[own]], -np.inf, s[:, own])
                 if len(of) > keep:
                     # products differ in their last bits from the exact scores below
                     least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
                     a, b = np.nonzero(s >= least - 1e-9 * np.maximum(1.0, np.abs(least)))
                 else:
                     a, b = (k.ravel() for k in np.indices(s.shape))
+                sound = s[a, b] > -np.inf
+                a, b = a[sound], b[sound]
                 found.append((some[a], of[b], s[a, b]))
         if not found:
             return empty
@@ -231,8 +242,7 @@ def _score(dimension: int, keep: int):
         some = near >= least - 1e-9 * np.maximum(1.0, np.abs(least))
         q, v = q[some], v[some]
         score = (y[q] * x[v]).sum(axis=1)
-        first = np.array([k[0] for k in vectors["ids"].to_pylist()])
-        order = np.lexsort((first[v], -score, q))
+        order = np.lexsort((np.where(first[v] == self_[q], other[v], first[v]), -score, q))
         q, v, score = q[order], v[order], score[order]
         head = np.flatnonzero(np.diff(q, prepend=-1))
         rank = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
@@ -253,7 +263,8 @@ def _merge(k: int):
         score = np.concatenate([r["score"] for r in rows])
         ids = [x for r in rows for x in r["ids"]]
         _, one = np.unique(node, return_index=True)
-        one = one[np.lexsort(([ids[j][0] for j in one], -score[one]))][: k + 1]
+        first, other = _stands([ids[j] for j in one])
+        one = one[np.lexsort((np.where(first == query_id, other, first), -score[one]))][:k]
         found = sorted((-score[j], i) for j in one for i in ids[j] if i != query_id)[:k]
         return [(q, query_id, n + 1, i, -s) for n, (s, i) in enumerate(found)]
 
@@ -299,7 +310,7 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
     crowd = queries.groupBy("task").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("parts")).filter("parts > 1")
     queries = queries.join(crowd, "task", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("q"), F.col("parts"))).cast("int")).drop("parts")
     vectors = vectors.join(crowd, "task", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-    near = vectors.groupBy("task", "part").cogroup(queries.groupBy("task", "part")).applyInArrow(_score(tables.dimension, k + 1), "q long, query_id long, node array<long>, score array<double>, ids array<array<long>>")
+    near = vectors.groupBy("task", "part").cogroup(queries.groupBy("task", "part")).applyInArrow(_score(tables.dimension, k), "q long, query_id long, node array<long>, score array<double>, ids array<array<long>>")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return near.repartition(parts, "q").sortWithinPartitions("q").mapInArrow(_merge(k), "q long, query_id long, rank int, vec_id long, score double")
 
@@ -309,8 +320,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
 
     rows and queries: vec_id, embedding.  A query's own vec_id is no candidate of its.  Rows without vec_id and
     vectors that are null, empty, zero or hold a null, NaN or infinity take no part, nor do those of another
-    length than most have.  Equal vectors are one candidate that stands for its k + 1 smallest ids, which loses
-    none of the k nearest.  A query that finds fewer than k in its buckets looks into all.  Repeated query rows
+    length than most have.  Equal vectors are one candidate that stands for its 2 * k smallest ids, of each id at
+    most k rows; a query's own id has at most k of them, so that this loses none of the k nearest.  A query that finds fewer than k in its buckets looks into all.  Repeated query rows
     are answered each; an empty table gives an empty result.
     """
     rows, queries = valid(rows), valid(queries)
@@ -319,8 +330,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     if usual is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id"), F.lit(0.0).alias("score")).filter("false")
     rows, queries = (t.filter(F.size("embedding") == usual["n"]) for t in (rows, queries))
-    each = Window.partitionBy("embedding").orderBy("vec_id")
-    few = rows.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= k + 1)
+    few = rows
+    for key, most in ((["embedding", "vec_id"], k), (["embedding"], 2 * k)):
+        each = Window.partitionBy(*key).orderBy("vec_id")
+        few = few.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= most)
     grouped = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     # the range of norm, counted from the largest
     classes = settle(grouped.withColumn("band", F.round(F.log2(F.lit(usual["m"]) / square) * (RANGES / 2)).cast("int")), "vectors", numbered="node")
@@ -333,7 +346,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     found = settle(_candidates(classes, asked, tables, k), "near")
     all_ = classes.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("c"))
-    short = settle(asked.join(counts, "q", "left").filter(F.coalesce("c", F.lit(0)) < min(k, all_ - 1)).select("q", "query_id", "embedding"), "short")
+    short = settle(asked.join(counts, "q", "left").filter(F.coalesce("c", F.lit(0)) < min(k, all_)).select("q", "query_id", "embedding"), "short")
     if short.isEmpty():
         forget(short)
     else:

@@ -150,6 +150,20 @@ def test_search_without_any_bucket(spark):
     assert [r["vec_id"] for r in got] == [i for i, _ in brute_search(rows, far, 5)[1000]]
 
 
+def test_search_with_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    turned = [[1.0 + j / 8, 1.0, j / 8, 0.0] for j in range(9)]
+    rows = [(0, v)] * 9 + [(i, v) for i in (5, 6, 7, 8, 9)] + [(1, x) for x in turned] + [(2, w)] * 2 + [(3, [0.5, 0.0, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0])] + [(4, turned[8])]
+    asked = [(0, v), (1, turned[8]), (3, w), (77, v)]
+    df, queries_ = (spark.createDataFrame(x, "vec_id long, embedding array<float>") for x in (rows, asked))
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, queries_, 4).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == brute_search(rows, asked, 4)
+    few = df.filter("vec_id > 1")
+    assert len(ann.search(few, queries_.filter("vec_id = 77"), 20).collect()) == few.count()
+
+
 def test_search_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.integers(1, 4)]) for i in range(12)] + [(i, [1.0] * 8) for i in range(20, 60)]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from chronoweft.llm.ranking import parts_for, ranked
 from chronoweft.llm.store import forget, settle
 
 U = lexical.U
-#: A place is document number * 2**PLACE_BITS + byte.
+#: A place is document number * 2**bits + byte, with at least so many bits, and as many as the longest text needs.
 PLACE_BITS = 28
 #: Bytes of text whose blocks meet in one task.
 BUCKET_BYTES = 24 << 20
@@ -40,6 +40,7 @@ BUCKET_BYTES = 24 << 20
 class Cut:
     length: int = 100
     gram: int = 32
+    bits: int = PLACE_BITS
 
     @property
     def grams(self) -> int:
@@ -106,8 +107,10 @@ def _extract(cut: Cut, buckets: int):
             num = part.column("num").to_numpy()
             got: list[list[np.ndarray]] = [[] for _ in range(5)]
             for lo, _, buf, offsets in lexical.batches(part.column("text")):
+                if (np.diff(offsets) >= 1 << cut.bits).any():
+                    raise ValueError(f"a text of 2**{cut.bits} bytes or more")
                 ah, ch, text, first, windows, shift = blocks(buf, offsets, cut)
-                for k, x in enumerate((ah, ch, (num[lo + text] << PLACE_BITS) + first, windows, shift)):
+                for k, x in enumerate((ah, ch, (num[lo + text] << cut.bits) + first, windows, shift)):
                     got[k].append(x)
             ah, ch, place, windows, shift = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in got)
             order = np.lexsort((place, ch, ah))
@@ -156,8 +159,8 @@ def _resolve(cut: Cut):
         n, m = len(start), int(pick.sum())
         return pa.table(
             {
-                "num": pa.array(np.concatenate((start >> PLACE_BITS, place[pick] >> PLACE_BITS))),
-                "at": pa.array(np.concatenate((start, place[pick])) & ((1 << PLACE_BITS) - 1)),
+                "num": pa.array(np.concatenate((start >> cut.bits, place[pick] >> cut.bits))),
+                "at": pa.array(np.concatenate((start, place[pick])) & ((1 << cut.bits) - 1)),
                 "bytes": pa.array(np.concatenate((end - start, windows[pick].astype(np.int64) + cut.length - 1))),
                 "shift": pa.array(np.concatenate((np.zeros(n, np.int64), shift[pick].astype(np.int64)))),
                 "ah": pa.array(np.concatenate((np.zeros(n, np.int64), ah[pick].view(np.int64))), mask=np.arange(n + m) < n),
@@ -219,7 +222,7 @@ def _columns(cut: Cut):
             starts.append(at[at > earliest])
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         start, end = merge_spans(at, at + cut.length)
-        return pa.table({"num": pa.array(start >> PLACE_BITS), "at": pa.array(start & ((1 << PLACE_BITS) - 1)), "bytes": pa.array(end - start)})
+        return pa.table({"num": pa.array(start >> cut.bits), "at": pa.array(start & ((1 << cut.bits) - 1)), "bytes": pa.array(end - start)})
 
     return run
 
@@ -234,7 +237,7 @@ def _content(cut: Cut):
             for num, text, wanted in zip(part.column("num").to_pylist(), texts, part.column("wanted").to_pylist(), strict=True):
                 text = text.as_buffer().to_pybytes()
                 for w in wanted:
-                    out.append((w["ah"], (num << PLACE_BITS) + w["at"], w["shift"], text[w["at"] : w["at"] + w["bytes"]]))
+                    out.append((w["ah"], (num << cut.bits) + w["at"], w["shift"], text[w["at"] : w["at"] + w["bytes"]]))
                     if len(out) >= 50_000:
                         yield _rows(out)
                         out = []
@@ -275,11 +278,11 @@ def _apply(with_text: bool):
     return run
 
 
-def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
+def _numbered(docs: DataFrame, carry: list[str], bits: int) -> DataFrame:
     """num, doc_id, text and the carried columns; num follows doc_id (nulls last), then the text, and differs for every row."""
     held = docs.select("doc_id", "text", *[F.col(c).alias(f"_c_{c}") for c in carry])
     seen = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    if seen["n"] is None or (seen["n"] == 1 and not seen["nulls"] and seen["lo"] >= 0 and seen["hi"] < 1 << (62 - PLACE_BITS)):
+    if seen["n"] is None or (seen["n"] == 1 and not seen["nulls"] and seen["lo"] >= 0 and seen["hi"] < 1 << (62 - bits)):
         return held.withColumn("num", F.col("doc_id").cast("long"))
     return ranked(held.withColumn("_none", F.col("doc_id").isNull()), [], ["_none", "doc_id", "text"], "num", "numbered").drop("_none")
 
@@ -290,12 +293,15 @@ def remove_repeats(docs: DataFrame, cut: Cut = Cut(), carry: tuple[str, ...] = (
     A byte goes if any ``cut.length`` bytes over it also start earlier: in a document with a smaller doc_id, or
     earlier in its own.  A null text is empty; texts shorter than ``cut.length`` stay whole.  A null doc_id comes
     after all others, and rows that share one are ordered by their texts, so that of repeated rows one stays.
-    Texts are of less than 2**28 bytes, documents fewer than 2**34.  An empty table gives an empty result.
+    Documents are at most 2**35, or 2**32 if a text comes near the 2**31 bytes of Spark's longest strings.  An empty table gives an empty result.
     """
     carry = list(carry)
-    rows = _numbered(docs, carry)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(parts_for(docs), -(-total // BUCKET_BYTES))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("total"), F.max(F.octet_length("text")).alias("longest")).first()
+    cut = replace(cut, bits=max(PLACE_BITS, (size["longest"] or 0).bit_length()))
+    if size["n"] > 1 << (63 - cut.bits):
+        raise ValueError(f"more than 2**{63 - cut.bits} documents with texts of up to {size['longest']} bytes")
+    rows = _numbered(docs, carry, cut.bits)
+    buckets = max(parts_for(docs), -(-(size["total"] or 0) // BUCKET_BYTES))
     packed = rows.select("num", F.col("text")).mapInArrow(_extract(cut, buckets), "bucket int, ah binary, ch binary, place binary, windows binary, shift binary, start binary, end binary")
     first = settle(packed.groupBy("bucket").applyInArrow(_resolve(cut), "num long, at long, bytes long, shift long, ah long"), "blocks")
     wanted = first.filter(F.col("ah").isNotNull()).groupBy("num").agg(F.collect_list(F.struct("ah", "at", "shift", "bytes")).alias("wanted"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +259,17 @@ def test_repeats_with_missing_and_shared_ids(hostile):
     assert Counter((r["doc_id"], r["n_removed"]) for r in got) == want
 
 
+def test_places_hold_any_offset(monkeypatch, hostile):
+    want = Counter(tuple(r) for r in substring_dup.remove_repeats(hostile[1]).collect())
+    monkeypatch.setattr(substring_dup, "PLACE_BITS", 4)
+    assert Counter(tuple(r) for r in substring_dup.remove_repeats(hostile[1]).collect()) == want
+    run = substring_dup._extract(substring_dup.Cut(bits=8), 1)
+    part = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(["x" * 255, "y" * 256])], names=["num", "text"])
+    assert len(list(run(iter([part[:1]])))) == 1
+    with pytest.raises(ValueError, match="bytes or more"):
+        list(run(iter([part])))
+
+
 def test_column_order_is_that_of_sorted_suffixes():
     rng = np.random.default_rng(5)
     m = rng.integers(0, 3, (40, 12)).astype(np.int16)

@@ -19,10 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweft.llm.ranking import ranked
 from chronoweft.llm.store import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources are names in a table of the driver's; more than this many are refused.
+#: Up to this many sources are names in a table of the driver's; more stay distributed.
 MAX_SOURCES = 100_000
 _EDGE = 1e-9
 #: Documents of a source that wait for the landing, which tries 2**(HELD_BACK + 2) ways.
@@ -50,6 +51,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (3, 1, 2)
     return out
 
 
+def _quotas(totals: DataFrame, weights: tuple[float, ...], share: float, most: float, block_rows: int) -> DataFrame:
+    """The quotas of any number of sources; all that lie above ``most`` at one level of the open ones' share give to the others at once."""
+    named = totals.withColumn("_none", F.col("_source").isNull())
+    order = settle(ranked(named, [], ["_none", "_source"], "_k", "mix-ranks"), "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_k") % len(weights) + 1).cast("int"))
+    all_ = order.agg(F.sum("s")).first()[0]
+    level, open_ = 0.0, -1
+    while True:
+        # the level only grows, so what is full stays full
+        full = weight * F.lit(level) > F.lit(most) * F.col("s")
+        now = order.agg(F.count(F.when(~full, 1)).alias("n"), F.sum(F.when(full, F.col("s"))).alias("s"), F.sum(F.when(~full, weight)).alias("w")).first()
+        if now["n"] in (open_, 0):
+            break
+        open_, level = now["n"], (share * all_ - most * (now["s"] or 0)) / now["w"]
+    wanted = F.when(full, F.lit(most) * F.col("s")).otherwise(weight * F.lit(level))
+    rate = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0)
+    out = order.withColumn("target", wanted.cast("double")).withColumn("_whole", F.floor(rate).cast("int"))
+    return out.select(F.col("_source").alias("_qs"), "_k", F.col("s").alias("source_size"), "target", "_whole", (rate - F.col("_whole")).alias("_p"), F.ceil(F.col("n") / block_rows).cast("int").alias("_blocks"))
+
+
 def _step(p: list[float], u: tuple[float, ...], rng: np.random.Generator) -> None:
     """Move p along u or against it, as far as the unit cube goes, so that its expectation stays."""
     up = min(((1 - a) / b if b > 0 else a / -b) for a, b in zip(p, u, strict=True) if b)
@@ -128,17 +149,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     rows = held.select("doc_id", "size", "_source", "_row")
     totals = rows.groupBy("_source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = targets({r["_source"]: r["s"] for r in totals}, weights, share, most)
-    quota = []
-    for k, r in enumerate(sorted(totals, key=lambda r: (r["_source"] is None, r["_source"] or ""))):
-        rate = wanted[r["_source"]] / r["s"] if r["s"] else 0.0
-        quota.append((r["_source"], k, r["s"], wanted[r["_source"]], int(rate), rate - int(rate), math.ceil(r["n"] / block_rows)))
-    quotas = spark.createDataFrame(quota, "_qs string, _k int, source_size long, target double, _whole int, _p double, _blocks int")
-    # a row for each of at most MAX_SOURCES sources
-    now = rows.join(F.broadcast(quotas), rows["_source"].eqNullSafe(quotas["_qs"])).drop("_qs", "_source")
+        quotas = settle(_quotas(rows.groupBy("_source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), weights, share, most, block_rows), "mix-quotas")
+        blocks = quotas.agg(F.max("_blocks")).first()[0]
+    else:
+        wanted = targets({r["_source"]: r["s"] for r in totals}, weights, share, most)
+        quota = []
+        for k, r in enumerate(sorted(totals, key=lambda r: (r["_source"] is None, r["_source"] or ""))):
+            rate = wanted[r["_source"]] / r["s"] if r["s"] else 0.0
+            quota.append((r["_source"], k, r["s"], wanted[r["_source"]], int(rate), rate - int(rate), math.ceil(r["n"] / block_rows)))
+        # a row for each of at most MAX_SOURCES sources
+        quotas = F.broadcast(spark.createDataFrame(quota, "_qs string, _k int, source_size long, target double, _whole int, _p double, _blocks int"))
+        blocks = max([q[6] for q in quota], default=1)
+    now = rows.join(quotas, rows["_source"].eqNullSafe(quotas["_qs"])).drop("_qs", "_source")
     now = now.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("_blocks")).cast("int"))
-    blocks, level, done = max([q[6] for q in quota], default=1), 0, []
+    level, done = 0, []
     while True:
         last = blocks <= 1
         flown = settle(now.groupBy("_k", "_block").applyInArrow(_flight(seed, level, last), now.schema), "mix-flight")

@@ -382,6 +382,19 @@ def test_mixing(documents, hostile, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_mixing_of_more_sources_than_the_driver_holds(spark, hostile, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(rng.integers(0, 4) ** 4), f"host{i % 150}") for i in range(600)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    empty = many.withColumn("text", F.lit(""))
+    frames = (many, hostile[1], empty)
+    want = [sorted((r["doc_id"] or -1, r["size"], r["source_size"], r["taken"], r["target"]) for r in mixing.mix_sources(df).collect()) for df in frames]
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    for df, rows_ in zip(frames, want, strict=True):
+        got = sorted((r["doc_id"] or -1, r["size"], r["source_size"], r["taken"], r["target"]) for r in mixing.mix_sources(df).collect())
+        assert [r[:4] for r in got] == [r[:4] for r in rows_] and [r[4] for r in got] == pytest.approx([r[4] for r in rows_])
+
+
 def test_flight_keeps_the_sums():
     rng = np.random.default_rng(8)
     size = rng.integers(1, 500, 400)

@@ -193,11 +193,21 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_plan_opens_as_many_sequences_as_best_fit():
+def test_plan_opens_as_many_sequences_as_best_fit(spark):
     rng = np.random.default_rng(4)
-    for capacity in (5, 16, 64):
+    for capacity, width in ((5, 512), (16, 4), (64, 16)):
         lengths = rng.integers(1, capacity + 1, 200).tolist()
-        assert packing.plan(Counter(lengths), capacity)[1] == best_fit(lengths, capacity)
+        counts = spark.createDataFrame(sorted(Counter(lengths).items()), "length int, n long")
+        held, placed = defaultdict(dict), defaultdict(set)
+        for r in packing.plan(counts, capacity, width).collect():
+            for k in range(r["n"]):
+                placed[r["length"]].add(r["rank"] + k)
+                held[r["sequence"] + k // r["each"]][r["offset"] + k % r["each"] * r["length"]] = r["length"]
+        assert placed == {n: set(range(c)) for n, c in Counter(lengths).items()}
+        for parts in held.values():
+            ends = [o + n for o, n in sorted(parts.items())]
+            assert sorted(parts) == [0, *ends[:-1]] and ends[-1] <= capacity
+        assert len(held) == best_fit(lengths, capacity)
 
 
 def test_packing(documents, hostile, nothing):

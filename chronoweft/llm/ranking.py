@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,3 +40,28 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, label:
     for c in group:
         on = on & kept[c].eqNullSafe(sums[f"_g_{c}"])
     return kept.join(sums, on).withColumn(rank, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_p", "_shift", *[f"_g_{c}" for c in group])
+
+
+def running(df: DataFrame, order: list[str], weight: str, total: str, label: str = "running") -> DataFrame:
+    """Add ``total``: the sum of ``weight`` (long) over all rows before, in ``order`` (nulls first). ``df``: settled, as its rows are read twice.
+
+    Rows are range-partitioned and summed up in their partitions; a table with a row for each partition gives
+    what the partitions before sum to.
+    """
+    spread = df.repartitionByRange(parts_for(df), *[F.col(c) for c in order]).sortWithinPartitions(*order)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, so_far = TaskContext.get().partitionId(), 0
+        for part in parts:
+            own = part.column(weight).to_numpy()
+            after = so_far + np.cumsum(own)
+            so_far = int(after[-1]) if len(after) else so_far
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(own), task, np.int32)), pa.array(after - own)], names=[*part.schema.names, "_part", "_sum"])
+
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    kept = settle(spread.mapInArrow(run, names + ", _part int, _sum long"), label)
+    sums = kept.groupBy(F.col("_part").alias("_p")).agg(F.max(F.col("_sum") + F.col(weight)).alias("_all"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each partition
+    sums = sums.select("_p", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
+    return kept.join(F.broadcast(sums), F.col("_part") == F.col("_p")).withColumn(total, F.col("_sum") + F.col("_base")).drop("_part", "_p", "_sum", "_base")

@@ -37,6 +37,16 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     return _LOADED[path]
 
 
+def vocabulary(path: str) -> int:
+    """One more than the largest id that ``encoder`` can give."""
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+    with open(path, "rb") as lines:
+        return max([int(line.split()[1]) for line in lines] + list(END_OF_TEXT.values())) + 1
+
+
 def ids_of(column: pa.Array, path: str, end: int) -> list[np.ndarray]:
     """Ids of each text and then ``end``; of a null only ``end``."""
     encode, last = encoder(path), np.array([end], np.uint32)

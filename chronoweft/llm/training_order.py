@@ -1,11 +1,11 @@
 """Training-order materialisation by a keyed permutation.
 
-Every sequence has an index, its document's number times the most sequences that any document can have plus its
-place in the document.  A keyed Feistel network over the next power of four, walked along its cycle until it
-lands inside the range of indices, permutes these.  Equal ranges of the permuted index are shards; a task
-sorts a shard by permuted index and writes it as records of one fixed size.  A sequence's slot is its shard's
-first slot plus its place in it; byte offsets follow by multiplication, so that training reads straight on and
-resumes at any slot.
+Sequences are counted first: a document's first index is the number of sequences of all documents before it, in
+order of doc_id, and its sequences follow each other.  A keyed Feistel network over the next power of four,
+walked along its cycle until it lands below the number of sequences, permutes the indices, and a permuted index
+is the sequence's slot.  Equal ranges of slots are shards; a task gets one range, sorts it and writes it as
+records of one fixed size.  Shard and byte offset of a slot follow by division and multiplication, so that
+training reads straight on and resumes at any slot.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft.llm import lexical
-from chronoweft.llm.ranking import ranked
+from chronoweft.llm.ranking import parts_for, running
 from chronoweft.llm.store import filesystem, fresh, settle
-from chronoweft.llm.tokens import ids_of
+from chronoweft.llm.tokens import ids_of, vocabulary
 
 U = np.uint64
-#: Document number, place in it and number of ids, before the ids of a record.
-HEAD = "<qii"
+#: doc_id, whether there is one, place in the document and number of ids, before the ids of a record.
+HEAD = "<q?3xii"
 
 
 @dataclass(frozen=True)
@@ -72,20 +72,23 @@ class Permutation:
 
 @dataclass(frozen=True)
 class Layout:
-    """Everything that reads and writes must agree on."""
+    """Everything that reads and writes must agree on. size: the number of sequences; width: bytes of an id."""
 
     path: str
     shards: int
     length: int
-    per_document: int
     size: int
     key: int
-    width: int = 2
+    width: int
 
     @property
     def stride(self) -> int:
         return struct.calcsize(HEAD) + self.length * self.width
 
+    @property
+    def per_shard(self) -> int:
+        return max(1, -(-self.size // self.shards))
+
     @property
     def ids(self) -> np.dtype:
         return np.dtype(f"<u{self.width}")
@@ -95,24 +98,35 @@ class Layout:
         return Permutation(self.size, self.key)
 
 
+def _count(tokenizer: str, end: int, length: int):
+    """The number of sequences of each document."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo in range(0, len(part), 512):
+                own = part.slice(lo, 512)
+                n = [-(-len(ids) // length) for ids in ids_of(own.column("text"), tokenizer, end)]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("_h"), pa.array(n, pa.int64())], names=["doc_id", "_h", "n"])
+
+    return run
+
+
 def _sequences(layout: Layout, tokenizer: str, end: int):
-    """Each sequence's permuted index, shard and record."""
+    """Each sequence's shard, slot and record."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            numbers = part.column("num").to_numpy()
             for lo in range(0, len(part), 512):
-                index, records = [], []
-                for num, ids in zip(numbers[lo : lo + 512].tolist(), ids_of(part.column("text").slice(lo, 512), tokenizer, end), strict=True):
+                own, index, records = part.slice(lo, 512), [], []
+                for doc_id, first, ids in zip(own.column("doc_id").to_pylist(), own.column("first").to_pylist(), ids_of(own.column("text"), tokenizer, end), strict=True):
                     raw = ids.astype(layout.ids)
                     for k, a in enumerate(range(0, len(ids), layout.length)):
-                        index.append(num * layout.per_document + k)
-                        own = raw[a : a + layout.length].tobytes()
-                        records.append(struct.pack(HEAD, num, k, len(own) // layout.width) + own)
-                place = layout.permutation.forward(np.array(index, np.int64))
-                # place * shards needs more than 64 bits for large tables
-                shard = (place // -(-layout.size // layout.shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(place), pa.array(records, pa.binary())], names=["shard", "place", "record"])
+                        index.append(first + k)
+                        ids_there = raw[a : a + layout.length]
+                        records.append(struct.pack(HEAD, doc_id or 0, doc_id is not None, k, len(ids_there)) + ids_there.tobytes())
+                slot = layout.permutation.forward(np.array(index, np.int64))
+                shard = (slot // layout.per_shard).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
     return run
 
@@ -146,7 +160,7 @@ def _write(layout: Layout):
 
 
 def _read(layout: Layout):
-    """Every record of the shards: slot, byte offset, document number, place, ids."""
+    """Every record of the shards from a slot on."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(layout.path)
@@ -161,75 +175,82 @@ def _read(layout: Layout):
                         chunk = data.read(n * layout.stride)
                         heads = [struct.unpack_from(HEAD, chunk, j * layout.stride) for j in range(n)]
                         at = np.arange(k, k + n)
-                        ids = [chunk[j * layout.stride + struct.calcsize(HEAD) :][: h[2] * layout.width] for j, h in enumerate(heads)]
+                        ids = [chunk[j * layout.stride + struct.calcsize(HEAD) :][: h[3] * layout.width] for j, h in enumerate(heads)]
                         wide = [np.frombuffer(x, layout.ids).astype("<u4").tobytes() for x in ids]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(at + row["first_slot"]),
                                 pa.array(np.full(n, row["shard"], np.int32)),
                                 pa.array(at * layout.stride),
-                                pa.array([h[0] for h in heads], pa.int64()),
-                                pa.array([h[1] for h in heads], pa.int32()),
-                                pa.array([h[2] for h in heads], pa.int64()),
+                                pa.array([h[0] if h[1] else None for h in heads], pa.int64()),
+                                pa.array([h[2] for h in heads], pa.int32()),
+                                pa.array([h[3] for h in heads], pa.int64()),
                                 pa.array([zlib.crc32(x) for x in wide], pa.int64()),
                                 pa.array(ids, pa.binary()),
                             ],
-                            names=["slot", "shard", "byte_offset", "num", "piece", "length", "ids_crc32", "ids"],
+                            names=["slot", "shard", "byte_offset", "doc_id", "piece", "length", "ids_crc32", "ids"],
                         )
 
     return run
 
 
-_READ = "slot long, shard int, byte_offset long, num long, piece int, length long, ids_crc32 long, ids binary"
+_READ = "slot long, shard int, byte_offset long, doc_id long, piece int, length long, ids_crc32 long, ids binary"
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, int, bool]:
-    """num, doc_id, text; the numbers' bound; and whether num is the doc_id itself, as it is if ids differ, are not negative and not sparse."""
-    seen = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("rows"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    rows = seen["rows"] or 0
-    if not rows or (seen["n"] == 1 and not seen["nulls"] and seen["lo"] >= 0 and seen["hi"] < 64 * rows + 1024):
-        return docs.select(F.col("doc_id").cast("long").alias("num"), "doc_id", "text"), (seen["hi"] if rows else 0) + 1, True
-    return ranked(docs.select("doc_id", "text"), [], ["doc_id", "text"], "num", "numbered").select(F.col("num").cast("long").alias("num"), "doc_id", "text"), rows, False
+def _indexed(docs: DataFrame, tokenizer: str, length: int, end: int) -> tuple[DataFrame, int]:
+    """doc_id, text and first, the index of the document's first sequence; and the number of all sequences."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
+    each = keyed.mapInArrow(_count(tokenizer, end, length), "doc_id long, _h long, n long")
+    same = each.groupBy("doc_id", "_h").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    same = settle(same.select(F.col("doc_id").isNull().alias("_none"), "doc_id", "_h", "n", "copies", (F.col("n") * F.col("copies")).alias("_all")), "counts")
+    found = same.agg(F.sum("_all").alias("size"), F.max("copies").alias("copies")).first()
+    index = running(same, ["_none", "doc_id", "_h"], "_all", "first").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_i"), "n", "copies", "first")
+    index = settle(index, "first-index")
+    # a small index goes to every task; beside a large one the texts are shuffled once more
+    placed = keyed.join(index, keyed["doc_id"].eqNullSafe(index["_d"]) & (keyed["_h"] == index["_i"])).drop("_d", "_i")
+    if (found["copies"] or 1) == 1:
+        return placed.select("doc_id", "text", "first"), found["size"] or 0
+    apart = placed.filter("copies > 1").dropDuplicates(["doc_id", "_h"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    apart = apart.select("doc_id", "text", (F.col("first") + F.col("_copy") * F.col("n")).alias("first")).repartition(parts_for(docs))
+    return placed.filter("copies = 1").select("doc_id", "text", "first").union(apart), found["size"]
 
 
-def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 20240229, end: int = 2, shard_bytes: int = 32 << 20) -> tuple[Layout, DataFrame, DataFrame]:
-    """Write all sequences in training order. Returns the layout, the manifest and the documents' numbers.
+def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 20240229, end: int = 2, shard_bytes: int = 32 << 20) -> tuple[Layout, DataFrame]:
+    """Write all sequences in training order. Returns the layout and the manifest: shard, file, records, first_slot.
 
     A document is its ids and then ``end`` (a null or empty text is ``end`` alone), cut into sequences of
-    ``length``; the last may be shorter and is padded in its record.  Manifest: shard, file, records,
-    first_slot.  Numbers: num, doc_id; a null doc_id and rows that share one are documents of their own.  An
-    empty table has no shard.  Files of tasks that were repeated are left over and not in the manifest.
+    ``length``; the last may be shorter and is padded in its record.  Documents are numbered by doc_id (null
+    last), those that share one by a hash of the text; repeated rows are documents of their own.  An id takes
+    two bytes, or four if the vocabulary needs them.  An empty table has no shard.  The slot of a sequence
+    depends on the table, ``length`` and ``key`` alone.  Files of tasks that were repeated are left over and not
+    in the manifest.
     """
     spark = docs.sparkSession
-    rows, bound, same = _numbered(docs)
-    sizes = rows.agg(F.max(F.octet_length("text")).alias("most"), F.sum(F.octet_length("text")).alias("all")).first()
-    # an id stands for a byte at least
-    per_document = ((sizes["most"] or 0) + 1 + length - 1) // length
-    shards = max(1, round((sizes["all"] or 0) / shard_bytes))
+    rows, size = _indexed(docs, tokenizer, length, end)
+    width = 2 if max(vocabulary(tokenizer) - 1, end) < 1 << 16 else 4
     path = fresh(spark, "training-order")
-    layout = Layout(path, shards, length, per_document, bound * per_document, key)
+    shards = max(1, round(size * (struct.calcsize(HEAD) + length * width) / shard_bytes))
+    layout = Layout(path, shards, length, size, key, width)
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
-    cut = rows.select("num", "text").mapInArrow(_sequences(layout, tokenizer, end), "shard int, place long, record binary")
-    files = settle(cut.repartition(shards, "shard").sortWithinPartitions("shard", "place").mapInArrow(_write(layout), "shard int, file string, records long"), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each shard, whose number is the corpus over shard_bytes
-    manifest = files.withColumn("first_slot", F.coalesce(F.sum("records").over(before), F.lit(0)))
-    numbers = None if same else rows.select("num", "doc_id")
+    cut = rows.mapInArrow(_sequences(layout, tokenizer, end), "shard int, slot long, record binary")
+    # slots are ranges of shards already: no sample is needed to part them
+    ranges = cut.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    files = settle(ranges.mapInArrow(_write(layout), "shard int, file string, records long"), "manifest")
+    manifest = files.withColumn("first_slot", F.col("shard") * F.lit(layout.per_shard).cast("long"))
     with fs.open_output_stream(f"{root}/layout.json") as out:
         out.write(json.dumps(asdict(layout)).encode())
-    return layout, manifest, numbers
+    return layout, manifest
 
 
 def read_from(spark: SparkSession, layout: Layout, manifest: DataFrame, slot: int = 0) -> DataFrame:
-    """Records from a slot on: slot, shard, byte_offset, num, piece, length, ids_crc32, ids. Each task reads its shards from front to back."""
+    """Records from a slot on: slot, shard, byte_offset, doc_id, piece, length, ids_crc32, ids. Each task reads its shards from front to back."""
     tail = manifest.filter(F.col("first_slot") + F.col("records") > slot).withColumn("from_slot", F.lit(slot).cast("long"))
     return tail.repartition(layout.shards).mapInArrow(_read(layout), _READ)
 
 
 def training_order(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Materialise, then read all records back: doc_id, piece, length, ids_crc32, slot, shard, byte_offset."""
-    layout, manifest, numbers = materialise(docs, tokenizer, **options)
-    back = read_from(docs.sparkSession, layout, manifest).drop("ids")
-    back = back.withColumn("doc_id", F.col("num")) if numbers is None else back.join(numbers, "num")
+    layout, manifest = materialise(docs, tokenizer, **options)
+    back = read_from(docs.sparkSession, layout, manifest)
     return back.select("doc_id", "piece", "length", "ids_crc32", "slot", "shard", "byte_offset")

@@ -71,9 +71,38 @@ def test_training_order(spark, documents, hostile, nothing):
         assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == want
         assert sorted(r["slot"] for r in got) == list(range(len(got)))
     assert training_order.training_order(nothing, queries.TOKENIZER).count() == 0
-    layout, manifest, _ = training_order.materialise(documents[1], queries.TOKENIZER, length=64, shard_bytes=1 << 16)
+    layout, manifest = training_order.materialise(documents[1], queries.TOKENIZER, length=64, shard_bytes=1 << 16)
     slots = sorted(r["slot"] for r in training_order.read_from(spark, layout, manifest, 777).collect())
-    assert slots[0] == 777 and slots == list(range(777, slots[-1] + 1))
+    assert slots[0] == 777 and slots == list(range(777, layout.size)) and layout.width == 2
+    sizes = [r["records"] for r in manifest.orderBy("shard").collect()]
+    assert len(sizes) > 3 and set(sizes[:-1]) == {layout.per_shard} and sum(sizes) == layout.size
+
+
+def feistel(index, size, key):
+    """The permutation in plain whole numbers."""
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % 2**64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
+    while True:
+        a, b = divmod(index, 2**half)
+        for k in range(1, 7):
+            a, b = b, a ^ mix(b ^ mix((k * 0x9E3779B97F4A7C15 + key) % 2**64)) % 2**half
+        index = a * 2**half + b
+        if index < size:
+            return index
+
+
+def test_slot_is_the_permuted_index(documents):
+    encode = tokens.encoder(queries.TOKENIZER)
+    got = training_order.training_order(documents[1].repartition(3), queries.TOKENIZER, length=64, shard_bytes=1 << 16, key=5).collect()
+    order = [(d, k) for d, t, *_ in sorted(documents[0], key=lambda r: r[0]) for k in range(len(encode(t or "")) // 64 + 1)]
+    want = {sequence: feistel(i, len(order), 5) for i, sequence in enumerate(order)}
+    assert {(r["doc_id"], r["piece"]): r["slot"] for r in got} == want and all(r["byte_offset"] % (20 + 128) == 0 for r in got)
 
 
 def test_ranks_give_the_ids_of_the_vocabulary_file(documents):
@@ -370,45 +399,80 @@ def test_large_candidate_components(spark, monkeypatch):
 # ---- 8 ------------------------------------------------------------------------------
 
 
+def targets(sizes):
+    """Targets by the rule, one source after the other."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), list(order), {}
+    while open_:
+        each = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if weight[s] * each > 2 * sizes[s]]
+        if not full:
+            return out | {s: weight[s] * each for s in open_}
+        for s in full:
+            out[s] = 2 * sizes[s]
+            left -= out[s]
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def sums(rows):
+    size = Counter()
+    for _, t, *_, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    return size
+
+
 def test_mixing(documents, hostile, nothing):
     for rows, df in (documents, hostile):
-        size = Counter()
-        for _, t, _, s in rows:
-            size[s] += len(WORD.findall(t or ""))
-        goal = mixing.targets(size)
+        goal, size, source = targets(sums(rows)), sums(rows), {d: s for d, _, _, s in rows}
         got = mixing.mix_sources(df).collect()
         assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len(WORD.findall(t or ""))) for d, t, *_ in rows)
         assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
         assert sum(goal.values()) == pytest.approx(1.5 * sum(size.values())) and all(goal[s] <= 2 * size[s] + 1e-9 for s in size)
         again = mixing.mix_sources(df.repartition(3)).collect()
         assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
-    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(documents[1]).collect()}
-    per, size, goal = Counter(), Counter(), None
-    for d, t, _, s in documents[0]:
-        per[s] += taken[d]
-        size[s] += len(WORD.findall(t or ""))
-    goal = mixing.targets(size)
-    assert all(abs(per[s] - goal[s]) <= max(30, 0.05 * goal[s]) for s in size)
+        if rows is documents[0]:
+            per = Counter()
+            for r in got:
+                per[source[r["doc_id"]]] += r["taken"]
+                assert r["target"] == pytest.approx(goal[source[r["doc_id"]]]) and r["source_size"] == size[source[r["doc_id"]]]
+            assert all(abs(per[s] - goal[s]) <= max(30, 0.05 * goal[s]) for s in size)
     assert mixing.mix_sources(nothing).count() == 0
 
 
-def test_mixing_of_more_sources_than_the_driver_holds(spark, hostile, monkeypatch):
+def test_targets_of_many_sources(spark):
     rng = np.random.default_rng(9)
-    rows = [(i, "w " * int(rng.integers(0, 4) ** 4), f"host{i % 150}") for i in range(600)]
-    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    empty = many.withColumn("text", F.lit(""))
-    frames = (many, hostile[1], empty)
-    want = [sorted((r["doc_id"] or -1, r["size"], r["source_size"], r["taken"], r["target"]) for r in mixing.mix_sources(df).collect()) for df in frames]
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    for df, rows_ in zip(frames, want, strict=True):
-        got = sorted((r["doc_id"] or -1, r["size"], r["source_size"], r["taken"], r["target"]) for r in mixing.mix_sources(df).collect())
-        assert [r[:4] for r in got] == [r[:4] for r in rows_] and [r[4] for r in got] == pytest.approx([r[4] for r in rows_])
+    rows = [(i, "w " * int(rng.integers(0, 4) ** 4), "en", f"host{i % 150}" if i % 150 else None) for i in range(600)]
+    want, got = targets(sums(rows)), defaultdict(set)
+    for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        got[rows[r["doc_id"]][3]].add(r["target"])
+    assert {s: pytest.approx(min(t)) for s, t in got.items() if len(t) == 1} == want
+    empty = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("text", F.lit(""))
+    assert {(r["target"], r["taken"]) for r in mixing.mix_sources(empty).collect()} == {(0.0, 0)}
+
+
+def test_every_source_lands_near_its_target(spark):
+    """Twenty sources of one to twenty blocks, with repeated rows; the rates are fractional."""
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.lognormal(3, 1)), f"s{s:02d}") for s in range(20) for i in range(50 * (s + 1))]
+    rows += [(7, "w " * 9, "s19")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    per, goal = Counter(), {}
+    got = mixing.mix_sources(df.select("doc_id", "text", "source"), weights=(3, 1, 2, 7), block_rows=50, carry=("source",)).collect()
+    for r in got:
+        per[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+    assert len(got) == len(rows) and all(abs(per[s] - goal[s]) <= np.median([r["size"] for r in got if r["source"] == s]) for s in goal)
+    again = mixing.mix_sources(df.repartition(7), weights=(3, 1, 2, 7), block_rows=50, carry=("source",)).collect()
+    assert Counter((r["doc_id"], r["source"], r["taken"]) for r in got) == Counter((r["doc_id"], r["source"], r["taken"]) for r in again)
 
 
 def test_flight_keeps_the_sums():
     rng = np.random.default_rng(8)
     size = rng.integers(1, 500, 400)
-    out = mixing.fly(np.full(400, 0.3), size, np.random.default_rng(1), False)
+    none = np.zeros(400, bool)
+    out = mixing.fly(np.full(400, 0.3), size, np.random.default_rng(1), none, False)
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert out.sum() == pytest.approx(120) and (out * size).sum() == pytest.approx(0.3 * size.sum())
 

@@ -19,11 +19,13 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft.llm import lexical
-from chronoweft.llm.ranking import parts_for, running
+from chronoweft.llm.ranking import running
 from chronoweft.llm.store import filesystem, fresh, settle
 from chronoweft.llm.tokens import ids_of, vocabulary
 
@@ -106,20 +108,37 @@ def _count(tokenizer: str, end: int, length: int):
             for lo in range(0, len(part), 512):
                 own = part.slice(lo, 512)
                 n = [-(-len(ids) // length) for ids in ids_of(own.column("text"), tokenizer, end)]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("_h"), pa.array(n, pa.int64())], names=["doc_id", "_h", "n"])
+                yield pa.RecordBatch.from_arrays([own.column("_part_of"), own.column("doc_id"), own.column("_h"), pa.array(n, pa.int64())], names=["part_of", "doc_id", "h", "n"])
 
     return run
 
 
-def _sequences(layout: Layout, tokenizer: str, end: int):
+def _first(path: str, part_of: int) -> dict[tuple, list[int]]:
+    """The first index of each document of one partition."""
+    fs, root = filesystem(f"{path}/part_of={part_of}")
+    found: dict[tuple, list[int]] = {}
+    for file in fs.get_file_info(pafs.FileSelector(root)):
+        if file.base_name.endswith(".parquet"):
+            rows = pq.read_table(file.path, filesystem=fs, columns=["doc_id", "h", "first"], partitioning=None)
+            for doc_id, h, first in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                found.setdefault((doc_id, h), []).append(first)
+    return found
+
+
+def _sequences(layout: Layout, index_path: str, tokenizer: str, end: int):
     """Each sequence's shard, slot and record."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts: dict[tuple, list[int]] | None = None
         for part in parts:
+            if firsts is None and len(part):
+                firsts = _first(index_path, part.column("_part_of")[0].as_py())
             for lo in range(0, len(part), 512):
                 own, index, records = part.slice(lo, 512), [], []
-                for doc_id, first, ids in zip(own.column("doc_id").to_pylist(), own.column("first").to_pylist(), ids_of(own.column("text"), tokenizer, end), strict=True):
-                    raw = ids.astype(layout.ids)
+                for doc_id, h, ids in zip(own.column("doc_id").to_pylist(), own.column("_h").to_pylist(), ids_of(own.column("text"), tokenizer, end), strict=True):
+                    if not firsts.get((doc_id, h)):
+                        raise RuntimeError("the documents came in other partitions than when they were counted; settle them before")
+                    first, raw = firsts[doc_id, h].pop(), ids.astype(layout.ids)
                     for k, a in enumerate(range(0, len(ids), layout.length)):
                         index.append(first + k)
                         ids_there = raw[a : a + layout.length]
@@ -197,22 +216,18 @@ def _read(layout: Layout):
 _READ = "slot long, shard int, byte_offset long, doc_id long, piece int, length long, ids_crc32 long, ids binary"
 
 
-def _indexed(docs: DataFrame, tokenizer: str, length: int, end: int) -> tuple[DataFrame, int]:
-    """doc_id, text and first, the index of the document's first sequence; and the number of all sequences."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "text")
-    each = keyed.mapInArrow(_count(tokenizer, end, length), "doc_id long, _h long, n long")
-    same = each.groupBy("doc_id", "_h").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    same = settle(same.select(F.col("doc_id").isNull().alias("_none"), "doc_id", "_h", "n", "copies", (F.col("n") * F.col("copies")).alias("_all")), "counts")
-    found = same.agg(F.sum("_all").alias("size"), F.max("copies").alias("copies")).first()
-    index = running(same, ["_none", "doc_id", "_h"], "_all", "first").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_i"), "n", "copies", "first")
-    index = settle(index, "first-index")
-    # a small index goes to every task; beside a large one the texts are shuffled once more
-    placed = keyed.join(index, keyed["doc_id"].eqNullSafe(index["_d"]) & (keyed["_h"] == index["_i"])).drop("_d", "_i")
-    if (found["copies"] or 1) == 1:
-        return placed.select("doc_id", "text", "first"), found["size"] or 0
-    apart = placed.filter("copies > 1").dropDuplicates(["doc_id", "_h"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    apart = apart.select("doc_id", "text", (F.col("first") + F.col("_copy") * F.col("n")).alias("first")).repartition(parts_for(docs))
-    return placed.filter("copies = 1").select("doc_id", "text", "first").union(apart), found["size"]
+def _indexed(docs: DataFrame, tokenizer: str, length: int, end: int) -> tuple[DataFrame, str, int]:
+    """The documents with a hash of their text and their partition's number, the table of their first indices, and the number of all sequences.
+
+    The table is parted like the documents are, so that every task reads the rows of its own partition and no text is
+    shuffled for them.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.spark_partition_id().alias("_part_of"), "text")
+    each = settle(keyed.mapInArrow(_count(tokenizer, end, length), "part_of int, doc_id long, h long, n long").withColumn("none", F.col("doc_id").isNull()), "counts")
+    size = each.agg(F.sum("n").alias("size")).first()["size"] or 0
+    path = fresh(docs.sparkSession, "first-index")
+    running(each, ["none", "doc_id", "h", "part_of"], "n", "first").select("part_of", "doc_id", "h", "first").repartition("part_of").write.partitionBy("part_of").parquet(path)
+    return keyed, path, size
 
 
 def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 20240229, end: int = 2, shard_bytes: int = 32 << 20) -> tuple[Layout, DataFrame]:
@@ -220,20 +235,21 @@ def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 2
 
     A document is its ids and then ``end`` (a null or empty text is ``end`` alone), cut into sequences of
     ``length``; the last may be shorter and is padded in its record.  Documents are numbered by doc_id (null
-    last), those that share one by a hash of the text; repeated rows are documents of their own.  An id takes
+    last), those that share one by a hash of the text; repeated rows are documents of their own.  ``docs`` is
+    read twice, and each time its rows must come in the same partitions, as those of files and tables do.  An id takes
     two bytes, or four if the vocabulary needs them.  An empty table has no shard.  The slot of a sequence
     depends on the table, ``length`` and ``key`` alone.  Files of tasks that were repeated are left over and not
     in the manifest.
     """
     spark = docs.sparkSession
-    rows, size = _indexed(docs, tokenizer, length, end)
+    rows, index_path, size = _indexed(docs, tokenizer, length, end)
     width = 2 if max(vocabulary(tokenizer) - 1, end) < 1 << 16 else 4
     path = fresh(spark, "training-order")
     shards = max(1, round(size * (struct.calcsize(HEAD) + length * width) / shard_bytes))
     layout = Layout(path, shards, length, size, key, width)
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
-    cut = rows.mapInArrow(_sequences(layout, tokenizer, end), "shard int, slot long, record binary")
+    cut = rows.mapInArrow(_sequences(layout, index_path, tokenizer, end), "shard int, slot long, record binary")
     # slots are ranges of shards already: no sample is needed to part them
     ranges = cut.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     files = settle(ranges.mapInArrow(_write(layout), "shard int, file string, records long"), "manifest")

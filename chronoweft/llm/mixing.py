@@ -162,6 +162,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         drawn = now.filter("_p > 0").select("_k", "size", "_draw").withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(order))).filter(F.col("_r") <= most_)
         drawn = drawn.groupBy(F.col("_k").alias("_w")).agg(last.alias(name))
         waits = drawn if waits is None else waits.join(drawn, "_w")
+    waits = settle(waits, "mix-waits")
     now = now.join(waits, F.col("_k") == F.col("_w"), "left").withColumn("_held", F.coalesce((big >= F.col("_big")) | (any_ <= F.col("_any")), F.lit(False)))
     now = settle(now.drop("_w", "_big", "_any", "_draw"), "mix-start")
     blocks, level, done = known["blocks"] or 1, 0, []

@@ -3,9 +3,12 @@
 Vectors become unit vectors (largest inner product turns into smallest angle by one added coordinate, as for
 maximum inner product search).  Beside one long vector all others would point along that coordinate, so vectors
 are parted into narrow ranges of norm, each scaled by its own largest norm, with buckets of its own; a query looks
-into all ranges, and into one of few vectors as a whole.  A pseudo-rotation of three rounds of random signs and a fast Hadamard transform
-precedes every hash, which is the nearest signed axis.  Each of several tables joins a few hashes to a bucket;
-a query looks into its nearest buckets in every table, and all candidates are ranked by their exact score.
+into all ranges, and into one of few vectors as a whole.  A pseudo-rotation of three rounds of random signs and a
+fast Hadamard transform precedes every hash, which is the nearest signed axis.  Each of several tables joins a few
+hashes to a bucket, as many and over as many axes as leave ``LOAD`` vectors in a bucket at any number of vectors; a
+query looks into its nearest buckets in every table, together at about ``REACH`` times the 0.65th power of the
+vectors, so that the share of all vectors that it looks at falls as they grow.  Candidates are ranked by their exact
+score.
 """
 
 from __future__ import annotations
@@ -24,6 +27,11 @@ from pyspark.sql import functions as F
 from chronoweft.llm import lexical
 from chronoweft.llm.store import forget, settle
 
+#: Vectors of a bucket on average, up to a factor of two.
+LOAD = 24
+#: A query looks at REACH * n**0.65 of n vectors, those seen in several tables counted each time; measured on random
+#: directions in 64 dimensions, which have no close neighbours.
+REACH = 13.0
 #: Vectors of a bucket that one cell holds, and vectors and queries of a task.
 CELL, TASK_VECTORS, TASK_QUERIES = 4096, 8192, 8192
 #: Ranges of norm in a factor of two; 32-bit floats have norms of fewer than 300 such factors.
@@ -32,86 +40,102 @@ RANGES = 8
 
 @dataclass(frozen=True)
 class Tables:
-    """tables * (2 * size) ** hashes buckets for each range of norm; more hashes suit larger collections, more probes a higher recall.
-
-    counts: the vectors of each range; norms: the largest norm in each.
-    """
+    """Buckets for each range of norm. counts: the vectors of each range; norms: the largest norm in each; exact: every range is one bucket."""
 
     dimension: int
     counts: tuple[int, ...]
     norms: tuple[float, ...]
-    tables: int = 4
-    hashes: int = 1
-    probes: int = 64
+    tables: int = 8
+    reach: float = REACH
     seed: int = 11
+    exact: bool = False
 
     @property
     def size(self) -> int:
         """The power of two that holds the dimension and one more coordinate."""
         return 1 << self.dimension.bit_length()
 
-    @property
-    def buckets(self) -> int:
-        return (2 * self.size) ** self.hashes
+    def looks(self, count: int) -> float:
+        """Vectors of a range that a query looks at."""
+        return self.reach * count**0.65
+
+    def axes_of(self, count: int) -> tuple[int, ...]:
+        """Axes of each hash in a range of so many vectors, both signs of each; none where the range is one bucket."""
+        if self.exact or self.looks(count) >= count:
+            return ()
+        bits, full = max(1, (count // LOAD).bit_length() - 1), self.size.bit_length()
+        return tuple([self.size] * (bits // full) + ([1 << bits % full - 1] if bits % full else []))
+
+    def probes(self, count: int) -> int:
+        """Buckets of each table that a query looks into."""
+        return max(1, math.ceil(self.looks(count) / count * math.prod(2 * n for n in self.axes_of(count)) / self.tables))
 
     @property
     def whole(self) -> np.ndarray:
-        """Whether a range has no more vectors than a query has probes; such a range is one bucket, and every query looks into it."""
-        return np.array(self.counts) <= self.tables * self.probes
+        """Whether a range is one bucket, into which every query looks."""
+        return np.array([not self.axes_of(n) for n in self.counts])
 
     @property
     def base(self) -> np.ndarray:
         """The first bucket of each range."""
-        return np.arange(len(self.counts)) * (self.tables * self.buckets)
+        own = [self.tables * math.prod(2 * n for n in self.axes_of(count)) for count in self.counts]
+        return np.concatenate(([0], np.cumsum(own, dtype=np.int64)[:-1]))
 
-    def axes(self, x: np.ndarray, norm: np.ndarray | None) -> np.ndarray:
-        """Nearness of every vector, or without ``norm`` every query, to every signed axis: table, hash, row, axis."""
+    def rotations(self, x: np.ndarray, norm: np.ndarray | None, hashes: int) -> np.ndarray:
+        """Every vector, or without ``norm`` every query, rotated: table, hash, row, coordinate."""
         scaled = np.zeros((len(x), self.size))
         if norm is None:
             scaled[:, : self.dimension] = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         else:
             scaled[:, : self.dimension] = x / norm[:, None]
             scaled[:, self.dimension] = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
-        draw = np.random.Generator(np.random.PCG64(self.seed))
-        out = np.empty((self.tables, self.hashes, len(x), 2 * self.size))
-        for t, h in itertools.product(range(self.tables), range(self.hashes)):
+        out = np.empty((self.tables, hashes, len(x), self.size))
+        for t, h in itertools.product(range(self.tables), range(hashes)):
+            draw = np.random.Generator(np.random.PCG64([self.seed, t, h]))
             y = scaled
             for _ in range(3):
                 y = hadamard(y * draw.choice([-1.0, 1.0], self.size))
-            out[t, h, :, : self.size], out[t, h, :, self.size :] = y, -y
+            out[t, h] = y
         return out
 
     def bucket(self, x: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row and bucket of each vector of the ranges ``band`` in each table, once where the range is one bucket."""
-        best = self.axes(x, np.array(self.norms)[band]).argmax(axis=3)
-        code = np.zeros(best.shape[::2], np.int64)
-        for h in range(self.hashes):
-            code = code * (2 * self.size) + best[:, h]
-        code += np.arange(self.tables)[:, None] * self.buckets
-        whole = self.whole[band]
-        code[0, whole] = 0
-        keep = np.ones(code.shape, bool)
-        keep[1:, whole] = False
-        return np.nonzero(keep)[1], (code + self.base[band])[keep]
+        rows, codes = [], []
+        for b in np.unique(band):
+            own, axes = np.flatnonzero(band == b), self.axes_of(self.counts[b])
+            if not axes:
+                rows.append(own)
+                codes.append(np.full(len(own), self.base[b]))
+                continue
+            y = self.rotations(x[own], np.full(len(own), self.norms[b]), len(axes))
+            code = np.repeat(np.arange(self.tables, dtype=np.int64)[:, None], len(own), axis=1)
+            for h, n in enumerate(axes):
+                code = code * (2 * n) + np.concatenate((y[:, h, :, :n], -y[:, h, :, :n]), axis=2).argmax(axis=2)
+            rows.append(np.tile(own, self.tables))
+            codes.append((code + self.base[b]).ravel())
+        return (np.concatenate(rows), np.concatenate(codes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def probe(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """The buckets of each query: in each range and table the nearest, and those that are a range."""
-        base, whole = self.base, self.whole
-        for near in np.moveaxis(self.nearest(x), 1, 0):
-            yield np.concatenate(((base[~whole][:, None] + near.ravel()).ravel(), base[whole]))
-
-    def nearest(self, x: np.ndarray) -> np.ndarray:
-        """The nearest buckets of each query in each table of a range: of those made of its nearest axes, the ones with the least sum of shortfalls."""
-        near = self.axes(x, None)
-        wide = 2 * self.size if self.probes >= self.buckets else min(2 * self.size, math.ceil(min(self.probes, self.buckets) ** (1 / self.hashes)) + 2 * (self.hashes > 1))
-        order = np.argsort(-near, axis=3, kind="stable")[..., :wide]
-        short = near.max(axis=3, keepdims=True) - np.take_along_axis(near, order, 3)
-        code, cost = order[:, 0].astype(np.int64), short[:, 0]
-        for h in range(1, self.hashes):
-            code = (code[..., None] * (2 * self.size) + order[:, h][..., None, :]).reshape(*code.shape[:2], -1)
-            cost = (cost[..., None] + short[:, h][..., None, :]).reshape(*cost.shape[:2], -1)
-        take = np.argsort(cost, axis=2, kind="stable")[..., : min(self.probes, cost.shape[2])]
-        return np.take_along_axis(code, take, 2) + np.arange(self.tables)[:, None, None] * self.buckets
+        shapes = [self.axes_of(n) for n in self.counts]
+        y = self.rotations(x, None, max((len(a) for a in shapes), default=0))
+        near = [self.nearest(y, axes, self.probes(n)) + base if axes else np.full((len(x), 1), base) for axes, n, base in zip(shapes, self.counts, self.base, strict=True) if n]
+        yield from np.concatenate(near, axis=1)
+
+    def nearest(self, y: np.ndarray, axes: tuple[int, ...], probes: int) -> np.ndarray:
+        """The nearest buckets of each rotated query in each table: of those made of its nearest axes, the ones with the least sum of shortfalls."""
+        code = np.zeros((self.tables, y.shape[2], 1), np.int64) + np.arange(self.tables)[:, None, None]
+        cost = np.zeros((self.tables, y.shape[2], 1))
+        for h, n in enumerate(axes):
+            to = np.concatenate((y[:, h, :, :n], -y[:, h, :, :n]), axis=2)
+            short = to.max(axis=2, keepdims=True) - to
+            # a bucket among the nearest has each of its axes among the ``probes`` nearest
+            order = np.argsort(short, axis=2, kind="stable")[..., :probes]
+            code = (code[..., None] * (2 * n) + order[:, :, None]).reshape(*code.shape[:2], -1)
+            cost = (cost[..., None] + np.take_along_axis(short, order, 2)[:, :, None]).reshape(*cost.shape[:2], -1)
+            take = np.argsort(cost, axis=2, kind="stable")[..., :probes]
+            code, cost = np.take_along_axis(code, take, 2), np.take_along_axis(cost, take, 2)
+        return np.moveaxis(code, 0, 1).reshape(y.shape[2], -1)
 
 
 #: A row for each query and task.
@@ -119,13 +143,14 @@ _FOUND = [("q", pa.int64()), ("query_id", pa.int64()), ("node", pa.list_(pa.int6
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The orthonormal Walsh-Hadamard transform of each row, whose length is a power of two, in log2 of it passes."""
+    """The orthonormal Walsh-Hadamard transform of each row, whose length is a power of two: one pass for every four of its factors of two."""
     rows, n = x.shape
-    width = 1
-    while width < n:
-        pairs = x.reshape(rows, -1, 2, width)
-        x = np.stack((pairs[:, :, 0] + pairs[:, :, 1], pairs[:, :, 0] - pairs[:, :, 1]), axis=2).reshape(rows, n)
-        width *= 2
+    done = 1
+    while done < n:
+        radix = min(16, n // done)
+        sign = np.array([[-1.0 if (a & b).bit_count() % 2 else 1.0 for b in range(radix)] for a in range(radix)])
+        x = (x.reshape(-1, radix) @ sign).reshape(rows, n // radix, radix).transpose(0, 2, 1).reshape(rows, n)
+        done *= radix
     return x / math.sqrt(n)
 
 
@@ -143,9 +168,11 @@ def valid(rows: DataFrame) -> DataFrame:
 
 
 def _parts(code: np.ndarray, known: np.ndarray, split: np.ndarray) -> np.ndarray:
-    """The number of cells of each bucket, from those of the ``known`` ones in order; 0 for all others."""
+    """The number of cells of each bucket, from those of the ``known`` ones in order; 1 for all others."""
+    if not len(known):
+        return np.ones(len(code), np.int64)
     at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-    return np.where(known[at] == code, split[at], 0)
+    return np.where(known[at] == code, split[at], 1)
 
 
 def _cells(tables: Tables, known: np.ndarray, split: np.ndarray, tasks: int):
@@ -299,10 +326,10 @@ def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) ->
                 _, code = tables.bucket(_matrix(own.column("embedding"), tables.dimension), own.column("band").to_numpy())
                 yield pa.RecordBatch.from_arrays([pa.array(code)], names=["code"])
 
-    # a row for each bucket, whose number the tables and ranges fix
-    sizes = sorted(classes.select("embedding", "band").mapInArrow(bucket, "code long").groupBy("code").count().collect())
+    # a row for each bucket of several cells; as buckets have LOAD vectors on average, these are the hot ones
+    sizes = sorted(classes.select("embedding", "band").mapInArrow(bucket, "code long").groupBy("code").count().filter(F.col("count") > CELL).collect())
     known, split = np.array([r["code"] for r in sizes], np.int64), np.array([-(-r["count"] // CELL) for r in sizes], np.int64)
-    tasks = max(1, -(-sum(r["count"] for r in sizes) // TASK_VECTORS))
+    tasks = max(1, -(-sum(n * (1 if whole else tables.tables) for n, whole in zip(tables.counts, tables.whole, strict=True)) // TASK_VECTORS))
     vectors = classes.select("node", "embedding", "ids", "band").mapInArrow(_cells(tables, known, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
     queries = asked.select("q", "query_id", "embedding").mapInArrow(_probes(tables, known, split, tasks), "task int, cells array<long>, q long, query_id long, embedding array<float>")
     queries = settle(queries, "probes")
@@ -350,7 +377,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     if short.isEmpty():
         forget(short)
     else:
-        everywhere = Tables(tables.dimension, tables.counts, tables.norms, 1, 1, 2 * tables.size, tables.seed)
+        everywhere = Tables(tables.dimension, tables.counts, tables.norms, exact=True)
         more = settle(_candidates(classes, short, everywhere, k), "more")
         found = found.join(short.select("q"), "q", "left_anti").unionByName(more)
     return found.select("query_id", "rank", "vec_id", "score")

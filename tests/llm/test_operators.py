@@ -171,6 +171,25 @@ def test_search_recall_with_unequal_norms(spark):
         assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+def test_share_looked_at_falls_as_vectors_grow():
+    """Random directions: recall at 20, and the share of all vectors that a query looks at."""
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(24000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    shares = []
+    for n in (1500, 6000, 24000):
+        x, asked = unit[:n], unit[:40]
+        tables = ann.Tables(64, (n,), (1.0 + 1e-12,))
+        row, code = (np.concatenate(k) for k in zip(*((r + lo, c) for lo in range(0, n, 2000) for r, c in [tables.bucket(x[lo : lo + 2000], np.zeros(len(x[lo : lo + 2000]), int))]), strict=True))
+        found = [np.unique(row[np.isin(code, c)]) for c in tables.probe(asked)]
+        near = asked @ x.T
+        near[np.arange(40), np.arange(40)] = -2
+        top = np.argsort(-near, axis=1)[:, :20]
+        assert np.mean([np.isin(t, f).mean() for t, f in zip(top, found, strict=True)]) >= 0.92
+        shares.append(np.mean([len(f) / n for f in found]))
+    assert shares[1] < 0.8 * shares[0] and shares[2] < 0.75 * shares[1] and shares[2] < 0.4
+
+
 def test_search_without_any_bucket(spark):
     rng = np.random.default_rng(6)
     rows = [(i, v) for i, v in enumerate((np.eye(1, 16) + rng.normal(size=(400, 16)) / 1000).tolist())]

@@ -58,10 +58,14 @@ def keyword(word: Column | str) -> Column:
     return F.regexp_replace(F.lower(_c(word)), f"[^{_KEY}]", "")
 
 
+def raw_tokens(text: Column | str) -> Column:
+    """Keywords of a text, in order, with apostrophes at their ends, and empty strings."""
+    return F.split(straight(text), f"[^{_KEY}]+")
+
+
 def tokens(text: Column | str) -> Column:
     """Keywords of a text, in order."""
-    parts = F.transform(F.split(straight(text), f"[^{_KEY}]+"), lambda t: F.regexp_replace(t, "^'+|'+$", ""))
-    return F.filter(parts, lambda t: t != "")
+    return F.filter(F.transform(raw_tokens(text), lambda t: F.btrim(t, F.lit("'"))), lambda t: t != "")
 
 
 def script_word(word: Column | str) -> Column:

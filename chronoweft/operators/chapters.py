@@ -20,7 +20,8 @@ KEY = "rec_id"
 def keyword_scores(cues: DataFrame, stop: list[str] | None = None, min_length: int = 3, numbers: bool = True, cue: str = "cue") -> DataFrame:
     """TF-IDF of a recording's keywords: rec_id, word, tf, df, score = tf * ln(1 + cues / df). cues: rec_id, cue, text; a repeated cue id counts once for df."""
     n = cues.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    said = cues.select(KEY, cue, F.explode(X.tokens("text")).alias("word"))
+    # trimmed and filtered as rows, in generated code, rather than in the array
+    said = cues.select(KEY, cue, F.explode(X.raw_tokens("text")).alias("word")).withColumn("word", F.btrim("word", F.lit("'"))).filter("word <> ''")
     digit = F.col("word").rlike("^[0-9]")
     long = F.length(F.translate("word", "'", "")) >= min_length
     said = said.filter(~F.col("word").isin(*(stop or lists.STOP)) & F.when(digit, F.lit(numbers)).otherwise(long))

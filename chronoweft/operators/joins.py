@@ -1,7 +1,8 @@
 """Range, nearest and as-of joins within a recording.
 
-A join on ranges alone would compare every pair of a recording.  Here both sides get time buckets, the join is on
-recording and bucket, and a pair that shares several buckets is taken in its first.
+A join on ranges alone would compare every pair of a recording.  Here a range lies in the buckets of its own level,
+whose width is the next power of two, so that it touches two or three of them however long it is; a point looks
+into its bucket of every level that its recording has, and the join is on recording, level and bucket.
 """
 
 from __future__ import annotations
@@ -12,40 +13,46 @@ from pyspark.sql import functions as F
 KEY = "rec_id"
 
 
-def _width(rows: DataFrame, start: str, end: str) -> float:
-    """A bucket that an average range about fills; one aggregate over the smaller side."""
-    found = rows.agg(F.avg(F.abs(F.col(end) - F.col(start)).cast("double")).alias("w")).first()["w"]
-    return max(float(found or 0.0), 1e-3)
+def _bucket(x: Column, width: float | Column) -> Column:
+    return F.floor(x / (width if isinstance(width, Column) else F.lit(width))).cast("long")
 
 
-def _bucket(x: Column, width: float) -> Column:
-    return F.floor(x / F.lit(width)).cast("long")
+def _near(points: DataFrame, ranges: DataFrame, at: str, span: tuple[str, str], slack: float = 0) -> DataFrame:
+    """Points with all ranges that hold them, and some others nearby; each pair once."""
+    low, high = F.col(span[0]) - F.lit(slack), F.col(span[1]) + F.lit(slack)
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    levels = ranges.withColumn("_level", F.ceil(F.log2(F.greatest((high - low).cast("double"), F.lit(2.0**-10)))))
+    laid = levels.withColumn("_bucket", F.explode(F.sequence(_bucket(low, width), F.greatest(_bucket(high, width), _bucket(low, width)))))
+    # at most a few dozen levels a recording
+    looks = points.join(levels.select(KEY, "_level").distinct(), KEY).withColumn("_bucket", _bucket(F.col(at), width))
+    return looks.join(laid, [KEY, "_level", "_bucket"]).drop("_level", "_bucket")
 
 
-def overlap(left: DataFrame, right: DataFrame, ls: tuple[str, str], rs: tuple[str, str], width: float | None = None, closed: bool = False) -> DataFrame:
-    """Pairs of one recording whose ranges overlap (with ``closed``, or touch). Columns of both; those of ``right`` must have other names, save the key."""
-    width = width or _width(right, *rs)
-    lb, rb = (F.sequence(_bucket(F.col(s), width), F.greatest(_bucket(F.col(e), width), _bucket(F.col(s), width))) for s, e in (ls, rs))
-    a, b = left.withColumn("_b", F.explode(lb)), right.withColumn("_b", F.explode(rb))
-    pairs = a.join(b, [KEY, "_b"])
+def overlap(left: DataFrame, right: DataFrame, ls: tuple[str, str], rs: tuple[str, str], closed: bool = False) -> DataFrame:
+    """Pairs of one recording whose ranges overlap (with ``closed``, or touch). Columns of both; those of ``right`` must have other names, save the key.
+
+    Of two ranges that overlap, one starts inside the other.
+    """
     meets = (F.col(ls[0]) <= F.col(rs[1])) & (F.col(ls[1]) >= F.col(rs[0])) if closed else (F.col(ls[0]) < F.col(rs[1])) & (F.col(ls[1]) > F.col(rs[0]))
-    first = F.col("_b") == F.greatest(_bucket(F.col(ls[0]), width), _bucket(F.col(rs[0]), width))
-    return pairs.filter(meets & first).drop("_b")
+    later = _near(left, right, ls[0], rs).filter(meets & (F.col(ls[0]) >= F.col(rs[0])))
+    earlier = _near(right, left, rs[0], ls).filter(meets & (F.col(ls[0]) < F.col(rs[0])))
+    return later.unionByName(earlier)
 
 
-def within(points: DataFrame, ranges: DataFrame, at: str, test: tuple[Column, Column], span: tuple[str, str], slack: float, width: float | None = None) -> DataFrame:
+def within(points: DataFrame, ranges: DataFrame, at: str, test: tuple[Column, Column], span: tuple[str, str], slack: float) -> DataFrame:
     """Points with the ranges that hold them: test[0] <= point < test[1]. ``span`` names the range's columns and ``slack`` how far the test goes beyond them."""
-    width = width or _width(ranges, *span)
-    over = F.sequence(_bucket(F.col(span[0]) - F.lit(slack), width), F.greatest(_bucket(F.col(span[1]) + F.lit(slack), width), _bucket(F.col(span[0]) - F.lit(slack), width)))
-    pairs = points.withColumn("_b", _bucket(F.col(at), width)).join(ranges.withColumn("_b", F.explode(over)), [KEY, "_b"])
-    return pairs.filter((F.col(at) >= test[0]) & (F.col(at) < test[1])).drop("_b")
+    return _near(points, ranges, at, span, slack).filter((F.col(at) >= test[0]) & (F.col(at) < test[1]))
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str = "t", slack: float = 1e-6) -> DataFrame:
-    """Points in any range (start inclusive, end exclusive, both less ``slack``)."""
-    spans = ranges.select(KEY, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    numbered = points.withColumn("_i", F.struct(*points.columns))
-    return within(numbered, spans, at, (F.col("_s") - F.lit(slack), F.col("_e") - F.lit(slack)), ("_s", "_e"), slack).dropDuplicates(["_i"]).drop("_i", "_s", "_e")
+    """Points in any range (start inclusive, end exclusive, both less ``slack``); equal points each stay."""
+    order = Window.partitionBy(KEY).orderBy("_s", "_e")
+    spans = ranges.select(KEY, (F.col("start") - F.lit(slack)).cast("double").alias("_s"), (F.col("end") - F.lit(slack)).cast("double").alias("_e")).filter("_e > _s")
+    fresh = F.col("_s") > F.coalesce(F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(float("-inf")))
+    merged = spans.withColumn("_new", fresh.cast("int")).withColumn("_g", F.sum("_new").over(order)).groupBy(KEY, "_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    # merged ranges are apart, so that the last one that starts at or before the point decides
+    found = as_of(points.withColumn("_t", F.col(at).cast("double")), merged, "_t", "_s", ["_e"])
+    return found.filter(F.col("_t") < F.col("_e")).drop("_t", "_e")
 
 
 def band(left: DataFrame, right: DataFrame, a: str, b: str, window: float) -> DataFrame:

@@ -402,7 +402,12 @@ def chapter_marks(spark, d):
     return chapters.chapters(_sentences(spark, d), 15.0)
 
 
-@_query()
+@_query(f"""WITH w AS (SELECT source AS rec_id, lang AS part, regexp_replace(regexp_replace(lower(unnest(regexp_split_to_array(text, '\\s+'))), '[^a-z0-9''\\x{{0900}}-\\x{{0963}}\\x{{0966}}-\\x{{097F}}]', '', 'g'), '^''+|''+$', '', 'g') AS word FROM documents),
+ k AS (SELECT * FROM w WHERE word <> '' AND word NOT IN ({_IN(lists.TOPIC_STOP)}) AND NOT contains(word, '''') AND length(word) >= CASE WHEN regexp_matches(word, '^[a-z0-9'']+$') THEN 4 ELSE 2 END),
+ n AS (SELECT source AS rec_id, count(DISTINCT lang) AS n FROM documents GROUP BY source), t AS (SELECT rec_id, part, word, count(*) AS tf FROM k GROUP BY ALL), f AS (SELECT rec_id, word, count(*) AS df FROM t GROUP BY ALL),
+ s AS (SELECT t.*, tf * (ln(n / df) + 0.1) AS s FROM t JOIN f USING (rec_id, word) JOIN n USING (rec_id)), r AS (SELECT *, row_number() OVER (PARTITION BY rec_id, part ORDER BY round(s, 9) DESC, tf DESC, word) AS r FROM s),
+ p AS (SELECT rec_id, part, max(word) FILTER (r = 1) AS a, max(word) FILTER (r = 2) AS b, max(s) FILTER (r = 1) AS s1, max(s) FILTER (r = 2) AS s2, max(tf) FILTER (r = 2) AS f2 FROM r WHERE r <= 2 GROUP BY ALL)
+ SELECT rec_id, part, array_to_string(list_transform(string_split(CASE WHEN f2 >= 2 AND s2 >= 0.6 * s1 THEN a || ' ' || b ELSE a END, ' '), lambda x: CASE WHEN regexp_matches(x, '^[a-z]') THEN upper(substr(x, 1, 1)) || substr(x, 2) ELSE x END), ' ') AS title FROM p""")
 def chapter_titles(spark, d):
     return chapters.chapter_titles(A.documents(spark, d).withColumn("part", F.col("lang")), "part")
 
@@ -469,7 +474,7 @@ def speaker_activity(spark, d):
     return speakers.speaker_activity(A.grid(spark, d), 1.0)
 
 
-@_query()
+@_query(f"""SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY start, ord) AS i, (start // 1000) + CAST(start % 1000 AS DOUBLE) / 1000 AS start, ("end" // 1000) + CAST("end" % 1000 AS DOUBLE) / 1000 AS "end", text FROM ({A.SQL['cues']})""")
 def parse_srt(spark, d):
     """Turns written as subtitle files and read again."""
     from chronoweft.sources import readers, sinks

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweft.operators import intervals, joins
 
@@ -119,3 +120,20 @@ def test_split_at(spark):
     seg = spark.createDataFrame([(1, 0, 0.0, 10.0)], R)
     bounds = spark.createDataFrame([(1, 4.0), (1, 4.02), (1, 9.99)], "rec_id long, at double")
     assert rows(intervals.split_at(seg, bounds), "start", "end", "cut") == [(0.0, 4.0, False), (4.0, 10.0, True)]
+
+
+def test_joins_against_brute_force(spark):
+    """Equal points and ranges, an empty and a very long range, touching ends, whole numbers and fractions."""
+    draw = random.Random(4)
+    spans = [(r, round(s, 2), round(s + draw.choice([0, 0.25, 1, 7]), 2)) for r in (1, 2) for s in (draw.randrange(400) / 4 for _ in range(40))] + [(1, 0.0, 1e6), (2, 5.0, 6.0), (2, 6.0, 7.0), (3, 1.0, 2.0)]
+    points = [(r, draw.randrange(800) / 8) for r in (1, 2) for _ in range(60)] + [(2, 5.0)] * 3 + [(4, 1.0)]
+    left = spark.createDataFrame([(r, n, s, e) for n, (r, s, e) in enumerate(spans)], "rec_id long, a long, start double, end double")
+    right = left.select("rec_id", F.col("a").alias("b"), F.col("start").alias("s"), F.col("end").alias("e")).filter("b % 3 <> 1")
+    for closed in (False, True):
+        hit = [(n, m) for n, (r, s, e) in enumerate(spans) for m, (q, a, b) in enumerate(spans) if m % 3 != 1 and r == q and ((s <= b and e >= a) if closed else (s < b and e > a))]
+        assert sorted((r["a"], r["b"]) for r in joins.overlap(left, right, ("start", "end"), ("s", "e"), closed).collect()) == sorted(hit)
+    at = spark.createDataFrame(points, "rec_id long, t double")
+    want = sorted((r, t) for r, t in points if any(r == q and s <= t < e for q, s, e in spans))
+    assert sorted(map(tuple, joins.in_ranges(at, left, slack=0).collect())) == want and want.count((2, 5.0)) == 3
+    held = joins.within(at, left, "t", (F.col("start"), F.col("end")), ("start", "end"), 0)
+    assert held.count() == sum(r == q and s <= t < e for r, t in points for q, s, e in spans)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from chronoweft.llm import lexical
 from chronoweft.llm.ranking import running
 from chronoweft.llm.store import filesystem, fresh, settle
-from chronoweft.llm.tokens import ids_of, vocabulary
+from chronoweft.llm.tokens import encoder, ids_of, vocabulary
 
 U = np.uint64
 #: doc_id, whether there is one, place in the document and number of ids, before the ids of a record.
@@ -100,14 +100,15 @@ class Layout:
         return Permutation(self.size, self.key)
 
 
-def _count(tokenizer: str, end: int, length: int):
-    """The number of sequences of each document."""
+def _count(tokenizer: str, length: int):
+    """The number of sequences of each document, with one id at its end."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
         for part in parts:
             for lo in range(0, len(part), 512):
                 own = part.slice(lo, 512)
-                n = [-(-len(ids) // length) for ids in ids_of(own.column("text"), tokenizer, end)]
+                n = [(len(encode(t)) + length) // length if t else 1 for t in own.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([own.column("_part_of"), own.column("doc_id"), own.column("_h"), pa.array(n, pa.int64())], names=["part_of", "doc_id", "h", "n"])
 
     return run
@@ -216,14 +217,14 @@ def _read(layout: Layout):
 _READ = "slot long, shard int, byte_offset long, doc_id long, piece int, length long, ids_crc32 long, ids binary"
 
 
-def _indexed(docs: DataFrame, tokenizer: str, length: int, end: int) -> tuple[DataFrame, str, int]:
+def _indexed(docs: DataFrame, tokenizer: str, length: int) -> tuple[DataFrame, str, int]:
     """The documents with a hash of their text and their partition's number, the table of their first indices, and the number of all sequences.
 
     The table is parted like the documents are, so that every task reads the rows of its own partition and no text is
     shuffled for them.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.spark_partition_id().alias("_part_of"), "text")
-    each = settle(keyed.mapInArrow(_count(tokenizer, end, length), "part_of int, doc_id long, h long, n long").withColumn("none", F.col("doc_id").isNull()), "counts")
+    each = settle(keyed.mapInArrow(_count(tokenizer, length), "part_of int, doc_id long, h long, n long").withColumn("none", F.col("doc_id").isNull()), "counts")
     size = each.agg(F.sum("n").alias("size")).first()["size"] or 0
     path = fresh(docs.sparkSession, "first-index")
     running(each, ["none", "doc_id", "h", "part_of"], "n", "first").select("part_of", "doc_id", "h", "first").repartition("part_of").write.partitionBy("part_of").parquet(path)
@@ -242,7 +243,7 @@ def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 2
     in the manifest.
     """
     spark = docs.sparkSession
-    rows, index_path, size = _indexed(docs, tokenizer, length, end)
+    rows, index_path, size = _indexed(docs, tokenizer, length)
     width = 2 if max(vocabulary(tokenizer) - 1, end) < 1 << 16 else 4
     path = fresh(spark, "training-order")
     shards = max(1, round(size * (struct.calcsize(HEAD) + length * width) / shard_bytes))

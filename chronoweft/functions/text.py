@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -477,6 +478,7 @@ def skeleton(word: str) -> str:
 sound_key = F.pandas_udf(lambda s: s.map(skeleton, na_action="ignore"), T.StringType())
 
 
+@lru_cache(1 << 16)
 def spoken_key(word: str) -> str:
     """As ``spoken``, with composition, of one word."""
     w = unicodedata.normalize("NFC", word or "").lower()
@@ -484,9 +486,16 @@ def spoken_key(word: str) -> str:
     return w.strip("'")
 
 
+@lru_cache(1 << 16)
+def sound(word: str) -> str:
+    """What words that sound the same share: a skeleton of three sounds or more, else the word."""
+    bones = skeleton(word) if word else ""
+    return f"~{bones}" if len(bones) >= 3 else word
+
+
 def sounds_same(a: str, b: str) -> bool:
     """Equal words, or equal skeletons of three sounds or more."""
-    return a == b or (bool(a) and bool(b) and len(skeleton(a)) >= 3 and skeleton(a) == skeleton(b))
+    return a == b or sound(a) == sound(b)
 
 
 def edit_distance(a: str, b: str, most: int = 2) -> int:

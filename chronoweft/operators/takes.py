@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.functions import words as lists
-from chronoweft.functions.text import sounds_same, spoken_key
+from chronoweft.functions.text import sound, sounds_same, spoken_key
 from chronoweft.operators.signal import per_recording
 
 KEY = "rec_id"
@@ -36,13 +36,18 @@ NEG, NEG_IN = _set(lists.NEGATIONS), _set(lists.NEGATIVE_INTERJECTIONS)
 
 
 def common(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence of words that are the same or sound so."""
-    row = [0] * (len(b) + 1)
+    """Longest common subsequence of words that are the same or sound so.
+
+    A row of the usual table is one whole number, in which a bit of 0 is a step up, and a word updates it at once.
+    """
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[sound(y)] = places.get(sound(y), 0) | 1 << j
+    all_ = row = (1 << len(b)) - 1
     for x in a:
-        last = row[:]
-        for j, y in enumerate(b, 1):
-            row[j] = last[j - 1] + 1 if sounds_same(x, y) else max(last[j], row[j - 1])
-    return row[-1]
+        met = row & places.get(sound(x), 0)
+        row = ((row + met) | (row - met)) & all_
+    return len(b) - row.bit_count()
 
 
 def similarity(a: list[str], b: list[str]) -> float:

@@ -2,8 +2,9 @@
 
 Lists change over time: an entry (a domain, a host, or a host with its first path segment) is added to a list
 and removed from it on given dates.  These events become validity intervals, and every capture is judged
-against the entries that were active when it was fetched: an equi-join on the entry's pattern with an as-of
-condition on the interval.
+against the entries that were active when it was fetched.  This as-of join meets a capture with one row for each
+of its patterns, the pattern's history of intervals, and looks up its fetch time there, so that a capture is not
+joined to every interval, and captures of a frequent host can be dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -59,16 +60,23 @@ def judge(captures: DataFrame, valid: DataFrame) -> DataFrame:
     """
     rows = settle(captures.select("capture_id", "url", "fetched_at"), "captures", numbered="_row")
     tries = rows.filter(F.col("fetched_at").isNotNull()).select("_row", "fetched_at", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    active = tries.join(valid, "pattern").filter((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
-    rank = F.struct(
-        (-F.length("pattern")).alias("short"),
-        (F.col("verdict") != "allow").alias("blocks"),
-        F.col("list"),
-        "valid_from",
-        "valid_to",
-        "pattern",
+    # a row for each pattern; its intervals are as many as its lists' issues
+    history = valid.groupBy("pattern").agg(F.collect_list(F.struct("list", "verdict", "valid_from", "valid_to")).alias("_history"))
+    at = F.col("fetched_at")
+    active = F.filter("_history", lambda e: (e["valid_from"] <= at) & (e["valid_to"].isNull() | (at < e["valid_to"])))
+    rank = F.transform(
+        active,
+        lambda e: F.struct(
+            (-F.length("pattern")).alias("short"),
+            (e["verdict"] != "allow").alias("blocks"),
+            e["list"].alias("list"),
+            e["valid_from"].alias("valid_from"),
+            e["valid_to"].alias("valid_to"),
+            F.col("pattern").alias("pattern"),
+        ),
     )
-    best = active.groupBy("_row").agg(F.min(rank).alias("best"))
+    found = tries.join(history, "pattern").select("_row", F.array_min(rank).alias("first")).filter(F.col("first").isNotNull())
+    best = found.groupBy("_row").agg(F.min("first").alias("best"))
     return rows.join(best, "_row", "left").select(
         "capture_id", "url", "fetched_at",
         F.coalesce(F.col("best.blocks"), F.lit(False)).alias("blocked"),

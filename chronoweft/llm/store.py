@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset on a local master, as in tests, one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="chronoweft-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return (named if "://" in named else f"file://{named}").rstrip("/")

@@ -175,14 +175,31 @@ def _parts(code: np.ndarray, known: np.ndarray, split: np.ndarray) -> np.ndarray
     return np.where(known[at] == code, split[at], 1)
 
 
-def _cells(tables: Tables, known: np.ndarray, split: np.ndarray, tasks: int):
-    """A row for each vector and table: task, cell."""
+def _coded(tables: Tables):
+    """Each vector with its buckets."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, len(part), 2048):
                 own = part.slice(lo, 2048)
                 row, code = tables.bucket(_matrix(own.column("embedding"), tables.dimension), own.column("band").to_numpy())
+                order = np.argsort(row, kind="stable")
+                cut = np.searchsorted(row[order], np.arange(len(own) + 1))
+                codes = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(code[order]))
+                yield pa.RecordBatch.from_arrays([*own.select(["node", "embedding", "ids"]).columns, codes], names=["node", "embedding", "ids", "codes"])
+
+    return run
+
+
+def _cells(known: np.ndarray, split: np.ndarray, tasks: int):
+    """A row for each vector and bucket: task, cell."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo in range(0, len(part), 2048):
+                own = part.slice(lo, 2048)
+                codes = own.column("codes")
+                code, row = codes.flatten().to_numpy(), np.repeat(np.arange(len(own)), codes.value_lengths().to_numpy())
                 own = own.select(["node", "embedding", "ids"]).take(pa.array(row))
                 cell = code * 65536 + own.column("node").to_numpy() % _parts(code, known, split)
                 task = (lexical.mix(cell) % lexical.U(tasks)).astype(np.int32)
@@ -319,18 +336,12 @@ def _merge(k: int):
 def _candidates(classes: DataFrame, asked: DataFrame, tables: Tables, k: int) -> DataFrame:
     """The nearest found of each query: q, query_id, rank, vec_id, score."""
 
-    def bucket(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for lo in range(0, len(part), 2048):
-                own = part.slice(lo, 2048)
-                _, code = tables.bucket(_matrix(own.column("embedding"), tables.dimension), own.column("band").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(code)], names=["code"])
-
+    coded = settle(classes.select("node", "embedding", "ids", "band").mapInArrow(_coded(tables), "node long, embedding array<float>, ids array<long>, codes array<long>"), "buckets")
     # a row for each bucket of several cells; as buckets have LOAD vectors on average, these are the hot ones
-    sizes = sorted(classes.select("embedding", "band").mapInArrow(bucket, "code long").groupBy("code").count().filter(F.col("count") > CELL).collect())
+    sizes = sorted(coded.select(F.explode("codes").alias("code")).groupBy("code").count().filter(F.col("count") > CELL).collect())
     known, split = np.array([r["code"] for r in sizes], np.int64), np.array([-(-r["count"] // CELL) for r in sizes], np.int64)
     tasks = max(1, -(-sum(n * (1 if whole else tables.tables) for n, whole in zip(tables.counts, tables.whole, strict=True)) // TASK_VECTORS))
-    vectors = classes.select("node", "embedding", "ids", "band").mapInArrow(_cells(tables, known, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
+    vectors = coded.mapInArrow(_cells(known, split, tasks), "task int, cell long, node long, embedding array<float>, ids array<long>")
     queries = asked.select("q", "query_id", "embedding").mapInArrow(_probes(tables, known, split, tasks), "task int, cells array<long>, q long, query_id long, embedding array<float>")
     queries = settle(queries, "probes")
     # a row for each task

@@ -547,3 +547,27 @@ def test_lists_at_fetch_time(spark):
     got = urlfilter.judge(spark.createDataFrame([(*c, "x") for c in caps], "capture_id long, url string, fetched_at long, pattern string"), valid).collect()
     assert Counter((r["capture_id"], r["blocked"], r["pattern"]) for r in got) == Counter({(1, True, "bad.example.com"): 2, (2, True, "bad.example.com"): 1, (3, False, "bad.example.com/en"): 1, (4, True, "example.com"): 1, (5, False, None): 1, (6, False, None): 1, (7, False, None): 1})
     assert urlfilter.judge(spark.createDataFrame([], "capture_id long, url string, fetched_at long"), valid).count() == 0
+
+
+def test_lists_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pick = lambda of: of[int(rng.integers(len(of)))]
+    patterns = ["a.example.com", "example.com", "b.org", "a.example.com/x", "b.org/y"]
+    events = [(pick(["l1", "l2", "l3"]), pick(["block", "allow"]), pick(patterns), int(rng.integers(0, 40)), bool(rng.integers(2))) for _ in range(150)]
+    urls = ["http://a.example.com/x/1", "http://a.example.com/z", "https://example.com", "http://b.org/y", "http://c.b.org/y?q=1", "ftp://other.net/"]
+    captures = [(k, pick(urls), int(rng.integers(0, 45))) for k in range(300)]
+
+    def judged(url, at):
+        host, _, path = url.split("://")[1].partition("/")
+        labels = host.split(".")
+        mine = {host, *(".".join(labels[k:]) for k in range(len(labels) - 1)), *([f"{host}/{path.split('?')[0].split('/')[0]}"] if path.split("?")[0].split("/")[0] else [])}
+        best = None
+        for name, verdict, pattern in {e[:3] for e in events}:
+            before = [(e[3], e[4]) for e in events if e[:3] == (name, verdict, pattern) and e[3] <= at]
+            if pattern in mine and before and max(before)[1]:
+                best = min(filter(None, (best, (-len(pattern), verdict != "allow", name, pattern))))
+        return (best[1], best[2], best[3]) if best else (False, None, None)
+
+    valid = urlfilter.intervals(spark.createDataFrame(events, "list string, verdict string, pattern string, at long, active boolean"))
+    got = urlfilter.judge(spark.createDataFrame([(*c, "own", "own", 1) for c in captures], "capture_id long, url string, fetched_at long, list string, pattern string, valid_from long"), valid).collect()
+    assert {r["capture_id"]: (r["blocked"], r["list"], r["pattern"]) for r in got} == {k: judged(u, t) for k, u, t in captures}

@@ -23,6 +23,8 @@ from chronoweft.llm.store import forget, settle
 U = lexical.U
 #: Sets of a block; a task compares two blocks at a time.
 BLOCK = 512
+#: Sub-keys on a side, and minhashes in each, for candidate components of several blocks that stay unlinked.
+SHARP_SIDE, SHARP_WIDTH = 31, 5
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +207,29 @@ def _meeting(classes: DataFrame, side: int) -> DataFrame | None:
     return None if edges.isEmpty() else components(edges, "node", "first").withColumnRenamed("label", "component")
 
 
-def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int) -> DataFrame | None:
+def _sharper(sets: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """node and its sharper sub-keys (keys), from its shingles."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for lo in range(0, len(part), 256):
+                own = part.slice(lo, 256)
+                h = [np.frombuffer(x, U) for x in own.column("shingles").to_pylist()]
+                first = np.cumsum([0, *map(len, h[:-1])])
+                keys = _subkeys(np.concatenate(h), first, 2 * SHARP_SIDE, SHARP_WIDTH, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "keys"])
+
+    return settle(sets.join(nodes.select("node"), "node").mapInArrow(run, "node long, keys array<long>"), "sharper")
+
+
+def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int, seed: int) -> DataFrame | None:
     """Component labels of the classes that link with another: node, label.
 
     Classes that meet in tables form candidate components, and all pairs within one are compared, block by
     block, as products of 0/1 matrices; no pair becomes a row.  Of a component of several blocks, first each
-    block is compared with itself and then one member of every label so far; block pairs that these have joined
-    to one label are left out.
+    block is compared with itself and then one member of every label so far.  Where several labels are left, as
+    among texts that only share boilerplate, sharper tables part the component once more, and only what meets
+    in these is compared across blocks, without block pairs that are one label by then.
     """
     met = _meeting(classes, side)
     if met is None:
@@ -221,18 +239,34 @@ def _links(classes: DataFrame, docs: DataFrame, k: int, percent: int, side: int)
     blocks = _own_blocks(met, ["node"])
     links = _compare(_inside(blocks), sets, percent)
     large = settle(blocks.filter("block > 0").select("component").distinct().join(blocks, "component").select("component", "node"), "large")
+    forget(met, blocks)
     if not large.isEmpty():
         one = _relabel(large, components(links, "a", "b")).filter("node = label").select("component", "node")
         links = links.union(_compare(_inside(_own_blocks(one, ["node"])), sets, percent))
-        blocks = _own_blocks(_relabel(large, components(links, "a", "b")), ["label", "node"])
-        pure = blocks.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        other = pure.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-        todo = pure.join(other, "component").filter("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-        todo = settle(todo.select("component", "block", "block2", F.xxhash64("component", "block", "block2").alias("pair")), "block-pairs")
-        first = blocks.join(todo, ["component", "block"]).select("node", "pair", F.lit(False).alias("second"))
-        second = blocks.withColumnRenamed("block", "block2").join(todo.filter("block < block2"), ["component", "block2"]).select("node", "pair", F.lit(True).alias("second"))
-        links = links.union(_compare(first.union(second), sets, percent))
-    return None if links.isEmpty() else components(links, "a", "b")
+        links = links.union(_across(_relabel(large, components(links, "a", "b")), sets, percent, seed))
+    found = None if links.isEmpty() else components(links, "a", "b")
+    forget(sets, large)
+    return found
+
+
+def _across(labelled: DataFrame, sets: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Links between blocks of the components (component, node, label) that have several labels."""
+    labelled = settle(labelled.select("component", "node", "label"), "labelled")
+    mixed = labelled.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("component")
+    sharper = _sharper(sets, labelled.join(mixed, "component", "left_semi"), seed + 1)
+    met = None if sharper.isEmpty() else _meeting(sharper, SHARP_SIDE)
+    if met is None:
+        return labelled.select(F.col("node").alias("a"), F.col("label").alias("b")).limit(0)
+    blocks = _own_blocks(met.join(labelled.select("node", "label"), "node"), ["label", "node"])
+    pure = blocks.groupBy("component", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = pure.select("component", F.col("block").alias("block2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    todo = pure.join(other, "component").filter("block <= block2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    todo = settle(todo.select("component", "block", "block2", F.xxhash64("component", "block", "block2").alias("pair")), "block-pairs")
+    first = blocks.join(todo, ["component", "block"]).select("node", "pair", F.lit(False).alias("second"))
+    second = blocks.withColumnRenamed("block", "block2").join(todo.filter("block < block2"), ["component", "block2"]).select("node", "pair", F.lit(True).alias("second"))
+    found = _compare(first.union(second), sets, percent)
+    forget(labelled, sharper, blocks, todo)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int = 12, width: int = 2, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -240,7 +274,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int =
 
     Documents link at 100 * intersection >= percent * union of their shingle sets; component_id is the smallest
     doc_id that links reach.  Two sets of similarity s miss each other in all tables with a probability of about
-    2 * (1 - s**width)**side, below 0.00001 at 0.8; every link is confirmed on the full sets.
+    2 * (1 - s**width)**side, below 0.00001 at 0.8, and within large components of several labels, where sharper
+    tables follow, below 0.00003; every link is confirmed on the full sets.
     A text without words, or null, has an empty set and links with nothing, not even with its like.  Repeated
     rows are documents of their own that link by their texts; all that have the component's doc_id are kept, and
     ``one`` tells one of them.  A null doc_id names a component, and is kept, only if all ids in it are null.
@@ -249,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, side: int =
     rows = settle(sketch(docs, k, side, width, seed, carry), "sketch", numbered="_row")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
     classes = settle(rows.filter("n_shingles > 0").groupBy("sig", "n_shingles", "keys").agg(F.min(order).alias("best")).withColumn("min_doc", F.col("best.doc_id")), "classes", numbered="node")
-    labels = _links(classes, docs, k, percent, side)
+    labels = _links(classes, docs, k, percent, side, seed)
     named = classes.select("sig", "best", "node")
     if labels is not None:
         named = settle(_relabel(named, labels), "named")

@@ -27,8 +27,8 @@ class Tree:
     depth: int = 3
 
 
-def topology(shards: int, base: int = 40, racks_per_region: int = 2, shards_per_rack: int = 5) -> Tree:
-    """The tree of ``shards`` equal shards.
+def topology(shards: int, base: int = 40, racks_per_region: int = 2, shards_per_rack: int = 5, weights: dict[int, float] | None = None) -> Tree:
+    """The tree of ``shards`` shards, of weight 1 or what ``weights`` says; a rack or region weighs what its shards do.
 
     The first ``base`` fill racks and regions in turn; every later one stands in a region and rack of its own,
     so that topology(n + 1) is topology(n) with one more child of the root.
@@ -40,7 +40,7 @@ def topology(shards: int, base: int = 40, racks_per_region: int = 2, shards_per_
         region, rack = f"region-{region}", f"rack-{rack}"
         for parent, child, leaf in ((ROOT, region, -1), (region, rack, -1), (rack, f"shard-{s}", s)):
             weight, _ = nodes.setdefault(parent, {}).get(child, (0.0, leaf))
-            nodes[parent][child] = (weight + 1.0, leaf)
+            nodes[parent][child] = (weight + (weights or {}).get(s, 1.0), leaf)
     return Tree({p: [(c, w, leaf) for c, (w, leaf) in kids.items()] for p, kids in nodes.items()})
 
 

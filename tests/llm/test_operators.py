@@ -360,6 +360,13 @@ def test_shards_are_even_and_follow_weights(spark):
     df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     sizes = [r["count"] for r in sharding.assign_shards(df).groupBy("shard").count().collect()]
     assert len(sizes) == 40 and min(sizes) > 800 and max(sizes) < 1200
+    # shard 3 weighs three times as much: rows move only into its region, and there only into its rack and itself
+    key = F.col("doc_id")
+    both = df.select(sharding.place(key, sharding.topology(40)).alias("a"), sharding.place(key, sharding.topology(40, weights={3: 3.0})).alias("b"))
+    moved = Counter({(r["a"], r["b"]): r["count"] for r in both.groupBy("a", "b").count().collect()})
+    assert {b // 10 for a, b in moved if a != b} == {0}
+    assert all(b // 5 == 0 or a // 10 > 0 for a, b in moved if a != b) and all(b == 3 or a // 5 > 0 for a, b in moved if a != b)
+    assert 2700 < sum(n for (_, b), n in moved.items() if b == 3) < 3000
 
 
 # ---- 7 ------------------------------------------------------------------------------
@@ -519,6 +526,39 @@ def test_quality(documents, hostile, nothing):
     assert quality.clean_lines(nothing).count() == 0
 
 
+def verdict(text):
+    """Kept or not and the words left, by the rules as README and docstrings state them, on characters."""
+    left, seen, all_ = 0, set(), len(WORD.findall(text))
+    stock = "all rights reserved|copyright (?:\\(c\\)|©|[0-9])|licensed under|under the [a-z0-9 ]{2,40}licen[cs]e|(?:accept|uses?) cookies|cookie policy|privacy policy|terms of (?:use|service)|enable javascript|subscribe to our|sign up for|click here|read more|skip to (?:main )?content|lorem ipsum"
+    for line in text.split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        again = line in seen
+        seen.add(line)
+        marked = [x for x in w if re.search(r"[#*$%&|<>]|[!?]{2,}", x)]
+        bars = [x for x in w if re.fullmatch(r"[|/>*\-»·›•]+", x)]
+        odd = re.search(r"[#*$%&|<>]|[!?]{2,}", line) is not None
+        bad = again or (odd and ((len(w) >= 3 and 4 * len(bars) >= len(w)) or len(marked) > 0.3 * len(w)))
+        if len(w) >= 6:
+            cased = [c for c in line if c.isascii() and c.isalpha()]
+            loud = bool(cased) and all(c.isupper() for c in cased)
+            upper = [x for x in w if any(c.isascii() and c.isalpha() for c in x) and all(c.isupper() for c in x if c.isascii() and c.isalpha())]
+            bad = bad or sum(a == b for a, b in zip(w, w[1:], strict=False)) >= 0.5 * len(w) or (loud and len(upper) >= 0.8 * len(w))
+        elif len(w) < 3:
+            bad = bad or not w[-1].endswith((".", "!", "?", ":", ";", '"', "'", ")", "…", "»", "”", "。"))
+        bad = bad or (len(w) <= 30 and re.search(stock, line, re.IGNORECASE | re.ASCII) is not None)
+        left += 0 if bad else len(w)
+    return left, left >= 0.5 * all_
+
+
+def test_line_verdicts_against_brute_force(documents, hostile):
+    for rows, df in (documents, hostile):
+        got = Counter((r["doc_id"], r["words_left"], r["kept"]) for r in quality.clean_lines(df).filter("not base_failed").collect())
+        want = Counter((d, *verdict(t or "")) for d, t, *_ in rows)
+        assert got and not got - want
+
+
 def test_line_rules():
     rules = quality.LineRules()
     assert rules.fault(b"Home | News | Sports | About", False) == "navigation"

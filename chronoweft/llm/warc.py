@@ -50,7 +50,8 @@ def classify(pages: DataFrame) -> DataFrame:
     long = F.col("payload_bytes") >= REVISIT_BYTES
     shared = pages.select("page_id", F.sha2(body, 256).alias("_same"), F.octet_length(body).alias("payload_bytes")).filter(long)
     shared = shared.groupBy("_same").agg(F.max("page_id").alias("_response"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    both = rows.join(shared, "_same", "left")
+    # settled, so that a small table of repeated payloads is sent to the pages and no html is shuffled for it
+    both = rows.join(settle(shared, "repeated-payloads"), "_same", "left")
     return both.withColumn("refers_to", F.when(F.col("page_id") != F.col("_response"), F.col("_response"))).drop("_same", "_response")
 
 
@@ -88,6 +89,9 @@ def parse(raw: bytes) -> dict:
     digest = hashlib.sha1(payload).hexdigest() if kind == "response" else named
     if digest != named:
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} doesn't have its digest")
+    length = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
+    if kind == "response" and length != len(payload):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} is cut short")
     number = re.compile(r"<urn:page:(-?\d+)>")
     refers, own = number.match(fields.get("WARC-Refers-To", "")), number.match(fields["WARC-Record-ID"])
     return {
@@ -95,7 +99,7 @@ def parse(raw: bytes) -> dict:
         "url": fields["WARC-Target-URI"],
         "record_type": kind,
         "refers_to": int(refers[1]) if refers else None,
-        "payload_bytes": int(re.search(rb"\r\nContent-Length: (\d+)", http)[1]),
+        "payload_bytes": length,
         "payload_digest": digest,
         "payload": payload if kind == "response" else None,
     }

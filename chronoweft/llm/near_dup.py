@@ -23,8 +23,8 @@ from chronoweft.llm.store import forget, settle
 U = lexical.U
 #: Sets of a block; a task compares two blocks at a time.
 BLOCK = 512
-#: Sub-keys on a side, and minhashes in each, for candidate components of several blocks that stay unlinked.
-SHARP_SIDE, SHARP_WIDTH = 31, 5
+#: Keys, and minhashes in each, for candidate components of several blocks that stay of several labels.
+SHARP_KEYS, SHARP_WIDTH = 108, 10
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,11 @@ def _meeting(classes: DataFrame, side: int) -> DataFrame | None:
         F.collect_list(F.when(F.col("pos") < side, F.struct("pos", "val"))).alias("u"), F.collect_list(F.when(F.col("pos") >= side, F.struct("pos", "val"))).alias("v")
     )  # at most 2 * side sub-keys of a node
     keyed = own.select("node", F.explode("u").alias("u"), "v").select("node", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "node")
-    keyed = settle(keyed, "tables")
+    return _together(settle(keyed, "tables"))
+
+
+def _together(keyed: DataFrame) -> DataFrame | None:
+    """Nodes that share a key, directly or through others: node, component. keyed: settled key, node; it is deleted."""
     first = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     edges = settle(keyed.join(first, "key").filter("node <> first").select("node", "first").distinct(), "meets")
     forget(keyed)
@@ -208,7 +212,7 @@ def _meeting(classes: DataFrame, side: int) -> DataFrame | None:
 
 
 def _sharper(sets: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """node and its sharper sub-keys (keys), from its shingles."""
+    """node and its sharper keys, from its shingles."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -216,7 +220,7 @@ def _sharper(sets: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 own = part.slice(lo, 256)
                 h = [np.frombuffer(x, U) for x in own.column("shingles").to_pylist()]
                 first = np.cumsum([0, *map(len, h[:-1])])
-                keys = _subkeys(np.concatenate(h), first, 2 * SHARP_SIDE, SHARP_WIDTH, seed).view(np.int64)
+                keys = _subkeys(np.concatenate(h), first, SHARP_KEYS, SHARP_WIDTH, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([own.column("node"), pa.array(list(keys), pa.list_(pa.int64()))], names=["node", "keys"])
 
     return settle(sets.join(nodes.select("node"), "node").mapInArrow(run, "node long, keys array<long>"), "sharper")
@@ -254,7 +258,7 @@ def _across(labelled: DataFrame, sets: DataFrame, percent: int, seed: int) -> Da
     labelled = settle(labelled.select("component", "node", "label"), "labelled")
     mixed = labelled.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("component")
     sharper = _sharper(sets, labelled.join(mixed, "component", "left_semi"), seed + 1)
-    met = None if sharper.isEmpty() else _meeting(sharper, SHARP_SIDE)
+    met = _together(settle(sharper.select("node", F.posexplode("keys").alias("pos", "val")).select(F.xxhash64("pos", "val").alias("key"), "node"), "sharp-tables"))
     if met is None:
         return labelled.select(F.col("node").alias("a"), F.col("label").alias("b")).limit(0)
     blocks = _own_blocks(met.join(labelled.select("node", "label"), "node"), ["label", "node"])

@@ -76,9 +76,9 @@ def batches(column: pa.ChunkedArray | pa.Array, most: int = 1 << 20) -> Iterator
         at = to
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word."""
-    inside = ~SPACE[buf]
+def word_spans(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word; ``outside`` tells which bytes are in none."""
+    inside = ~outside[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[offsets] = True
     start = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | cut[:-1])) if len(buf) else np.zeros(0, np.int64)
@@ -98,6 +98,26 @@ def windows(word_hash: np.ndarray, text_no: np.ndarray, size: int) -> tuple[np.n
     return at, mix(h)
 
 
+def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray, text_no: np.ndarray, texts: int, between: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the spans of each text, in the order given, with ``between`` (one byte or none) between two of one text; where each text begins (one more at the end)."""
+    size = end - start
+    if between and len(size):
+        size = size + np.append(text_no[1:] == text_no[:-1], False)
+    to = np.cumsum(size)
+    total = int(to[-1]) if len(to) else 0
+    edges = np.concatenate(([0], to))[np.searchsorted(text_no, np.arange(texts + 1))]
+    source = np.arange(total) + np.repeat(start - to + size, size)
+    out = buf[np.minimum(source, len(buf) - 1)] if total else buf[:0]
+    if between and len(size):
+        out[to[size > end - start] - 1] = between[0]
+    return out, edges
+
+
+def strings(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """An Arrow array of the strings that lie between the edges."""
+    return pa.StringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+
+
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the bytes' flags over each text."""
     total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweft.llm import ann, mixing, near_dup, packing, quality, sharding, substring_dup, training_order, urlfilter, warc
+from chronoweft.llm import ann, mixing, near_dup, packing, periodic, quality, sharding, substring_dup, training_order, urlfilter, warc
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both files give the same ids.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +57,10 @@ def op10_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(urlfilter.fetch_times(pages), urlfilter.intervals(urlfilter.sample_events(pages)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES = {
         op8_cube_mix,
         op9_line_first_quality,
         op10_temporal_url_lists,
+        op11_periodic_runs,
     )
 }
 ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE}

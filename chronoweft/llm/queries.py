@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweft.llm import ann, mixing, near_dup, packing, periodic, quality, sharding, substring_dup, training_order, urlfilter, warc
+from chronoweft.llm import ann, divergence, mixing, near_dup, packing, periodic, quality, sharding, substring_dup, training_order, urlfilter, warc
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both files give the same ids.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +61,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES = {
         op9_line_first_quality,
         op10_temporal_url_lists,
         op11_periodic_runs,
+        op12_source_divergence,
     )
 }
-ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE}
+ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE, "op12_source_divergence": divergence.ORACLE}

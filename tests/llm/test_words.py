@@ -7,10 +7,11 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
-from chronoweft.llm import periodic, queries
+from chronoweft.llm import divergence, lexical, periodic, queries
 from tests.llm.test_operators import documents, hostile, nothing, plain  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -27,18 +28,16 @@ def rows_of(spark, rows):
     return spark.createDataFrame([(*r, 1, "n", "c", "w") for r in rows], COLUMNS)
 
 
-def runs_by_definition(w, least=6, ratio=4):
+def runs_by_definition(words, least=6, ratio=4):
+    codes = {}
+    w = np.array([codes.setdefault(x, len(codes)) for x in words], np.int64)
     found = set()
-    for q in range(1, len(w)):
-        i = 0
-        while i + q < len(w):
-            j = i
-            while j + q < len(w) and w[j] == w[j + q]:
-                j += 1
-            size = j - i + q
-            if j > i and size >= max(least, ratio * q) and not any(w[i : i + size - r] == w[i + r : i + size] for r in range(1, q)):
-                found.add((i, size, q))
-            i = max(j, i + 1)
+    for q in range(1, len(w) // ratio + 1):
+        equal = np.concatenate(([0], w[:-q] == w[q:], [0])).astype(int)
+        for i, j in zip(np.flatnonzero(np.diff(equal) == 1), np.flatnonzero(np.diff(equal) == -1), strict=True):
+            size = int(j - i + q)
+            if size >= max(least, ratio * q) and not any((w[i : i + size - r] == w[i + r : i + size]).all() for r in range(1, q)):
+                found.add((int(i), size, q))
     return sorted(found)
 
 
@@ -86,3 +85,81 @@ def test_runs_and_carried_columns(spark):
 
 def test_op11_query(spark):
     assert queries.op11_periodic_runs(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+# ---- 12 -----------------------------------------------------------------------------
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def audit_by_definition(rows, least, top=50):
+    counts, docs = Counter(), Counter()
+    groups = {(r[2] or "", r[3] or "") for r in rows}
+    for _, text, lang, source in rows:
+        terms = TERM.findall(ascii_lower(text or ""))
+        counts.update((lang or "", source or "", t) for t in terms)
+        docs.update((lang or "", t) for t in set(terms))
+    kept = {lang: [t for (own, t), n in docs.items() if own == lang and n >= least] for lang, _ in groups}
+    share = lambda n, total, v: 1 + 10**9 * (n + 5) // (total + 5 * v)
+    p, q = {}, {}
+    for lang, source in groups:
+        total = sum(counts[lang, source, t] for t in kept[lang])
+        p[lang, source] = {t: share(counts[lang, source, t], total, len(kept[lang])) for t in kept[lang]}
+        every = {t: sum(counts[lang, s, t] for own, s in groups if own == lang) for t in kept[lang]}
+        q[lang] = {t: share(every[t], sum(every.values()), len(kept[lang])) for t in kept[lang]}
+    out = Counter()
+    for lang, source in groups:
+        mine = p[lang, source]
+        parts = {"pair": [(s, sum(abs(mine[t] - p[lang, s][t]) for t in kept[lang])) for own, s in groups if own == lang and s != source]}
+        parts["term"] = [(t, mine[t] - q[lang][t]) for t in kept[lang] if counts[lang, source, t] and mine[t] > q[lang][t]]
+        for part, found in parts.items():
+            found.sort(key=lambda x: (-x[1], x[0].encode()))
+            out.update((lang, source, part, item, value, rank) for rank, (item, value) in enumerate(found, 1) if part == "pair" or rank <= top)
+    return out
+
+
+NAMED = ["lang", "source", "part", "item", "value", "rank"]
+
+
+@pytest.mark.parametrize("audit", [divergence.Audit(documents=1), divergence.Audit(documents=2, shard=100, tile=2, block=3, dense=2), divergence.Audit(documents=1, top=3, tile=1), divergence.Audit(documents=99)])
+def test_audit_against_brute_force(spark, hostile, nothing, audit):  # noqa: F811
+    rng = np.random.default_rng(12)
+    words = ["a", "B", "b", "éa", "ÉA", "extraordinarily", "extraordinary", "extraordinaril", "abcdefgh", "abcdefghi", "ABCDEFGHIJKLMNOPQ", "日本", "x1y", "10"]
+    some = [(k, " ".join(words[int(j)] for j in rng.integers(0, 1 + k % 14, k % 30)), ["en", "de", None, ""][k % 4], [None, "s1", "s2", "S1", "é", "s10", "t"][int(rng.integers(0, 7))]) for k in range(90)]
+    for rows, df in (hostile, (some * 2, rows_of(spark, some * 2).repartition(3))):
+        got = divergence.audit_sources(df, audit).select(NAMED).collect()
+        assert Counter(map(tuple, got)) == audit_by_definition(rows, audit.documents, audit.top)
+    assert divergence.audit_sources(nothing, audit).count() == 0
+
+
+def test_pointers_are_sorted():
+    rng = np.random.default_rng(1)
+    terms = ["".join("abé"[int(j)] for j in rng.integers(0, 3, int(rng.integers(1, 30)))) * int(rng.integers(1, 3)) for _ in range(300)] * 2
+    raw = " ".join(terms).encode()
+    buf = np.frombuffer(raw, np.uint8)
+    start, end, _ = lexical.word_spans(buf, np.array([0, len(buf)]), divergence.NO_TERM)
+    slices = rng.integers(0, 3, len(start))
+    order, new = divergence.sorted_pointers(buf, start, end, slices)
+    got = [(int(slices[k]), terms[k].encode()) for k in order]
+    assert got == sorted((int(s), t.encode()) for s, t in zip(slices, terms, strict=True))
+    assert list(new) == [k == 0 or got[k] != got[k - 1] for k in range(len(got))]
+
+
+def same_as_sql(spark, name, sf):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    rows = got.select(names).collect()
+    assert len(rows) > 0 and Counter(map(tuple, rows)) == Counter(want.fetchall())
+
+
+def test_op12_equals_its_sql(spark):
+    same_as_sql(spark, "op12_source_divergence", "/root/testdata/sf0.01")

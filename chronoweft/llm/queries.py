@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweft.llm import ann, divergence, mixing, near_dup, packing, periodic, quality, sharding, substring_dup, training_order, urlfilter, warc
+from chronoweft.llm import ann, decontaminate, divergence, mixing, near_dup, packing, periodic, quality, sharding, substring_dup, training_order, urlfilter, warc
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both files give the same ids.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,6 +65,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +84,7 @@ QUERIES = {
         op10_temporal_url_lists,
         op11_periodic_runs,
         op12_source_divergence,
+        op13_suffix_decontamination,
     )
 }
-ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE, "op12_source_divergence": divergence.ORACLE}
+ORACLES = {"op2_two_level_warc_index": warc.ORACLE, "op10_temporal_url_lists": urlfilter.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_suffix_decontamination": decontaminate.ORACLE}

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from chronoweft.llm import divergence, lexical, periodic, queries
+from chronoweft.llm import decontaminate, divergence, lexical, periodic, queries
 from tests.llm.test_operators import documents, hostile, nothing, plain  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -163,3 +163,63 @@ def same_as_sql(spark, name, sf):
 
 def test_op12_equals_its_sql(spark):
     same_as_sql(spark, "op12_source_divergence", "/root/testdata/sf0.01")
+
+
+# ---- 13 -----------------------------------------------------------------------------
+
+LETTERS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def passages_by_definition(rows, items, size):
+    """doc_id, n_words and the longest matches of every row."""
+    out = Counter()
+    tests = [(i, LETTERS.findall(ascii_lower(t or ""))) for i, t in items]
+    for d, text, *_ in rows:
+        w, found = LETTERS.findall(ascii_lower(text or "")), []
+        for i, v in tests:
+            least = min(size, len(v))
+            for a in range(len(v)):
+                for b in range(len(w)):
+                    n = 0
+                    if a and b and v[a - 1] == w[b - 1]:
+                        continue
+                    while a + n < len(v) and b + n < len(w) and v[a + n] == w[b + n]:
+                        n += 1
+                    if n and n >= least:
+                        found.append((i, a, b, n))
+        out[d, len(w), tuple(sorted(found, key=repr))] += 1
+    return out
+
+
+ITEMS = [(1, "One two THREE four five"), (2, "two,three;four"), (3, None), (4, "..."), (5, "Four"), (6, "one two three four five"), (None, "a b c d a b c d"), (6, "fourteen fifteen sixteen seventeen eighteen nineteen twenty, twenty-one"), (7, "日本語 é"), (10, "a b")]
+
+
+@pytest.mark.parametrize(("size", "block"), [(3, 100), (4, 1), (2, 5), (10, 3)])
+def test_passages_against_brute_force(spark, hostile, nothing, size, block):  # noqa: F811
+    rows = [r for r in hostile[0] if len(r[1] or "") < 2000] + [(40, "two. Three -- four", "en", "a"), (41, "a b c d a b c d a b", "en", "a"), (42, "x four", "en", "a"), (43, "日本語 É", "ja", "b"), (44, "a b c d " * 20, "en", "b")]
+    items = spark.createDataFrame([(*i, 1, "t") for i in ITEMS], "item_id long, text string, item long, doc_id string")
+    found = decontaminate.find_passages(rows_of(spark, rows), items, size, ("lang", "runs"), block)
+    got = Counter((r["doc_id"], r["n_words"], tuple(sorted((tuple(m) for m in r["matches"]), key=repr))) for r in found.collect())
+    assert got == passages_by_definition(rows, ITEMS, size)
+    assert decontaminate.find_passages(nothing, items, size, block=block).count() == 0
+    clean = decontaminate.decontaminate(rows_of(spark, rows), items.filter("item_id = 5"), size)
+    assert sorted(r["doc_id"] for r in clean.filter("doc_id is not null").collect()) == sorted(r[0] for r in rows if r[0] is not None and "four" not in LETTERS.findall(ascii_lower(r[1] or "")))
+    none = decontaminate.digest(decontaminate.find_passages(rows_of(spark, rows), items.limit(0), size)).collect()
+    assert len(none) == len(rows) and all((r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) == (0, 0, False, hashlib.sha256(b"").hexdigest()) for r in none)
+
+
+def test_suffix_array_has_the_order_of_words():
+    rng = np.random.default_rng(5)
+    for depth in (1, 2, 3, 7, 10):
+        n = [0, 1, 40, 3, 200, 17]
+        h = rng.integers(0, 3, sum(n)).astype(np.uint64)
+        until = np.repeat(np.cumsum(n), n)
+        left = until - np.arange(len(h))
+        order = decontaminate.suffix_array(h, left, depth)
+        key = [tuple(h[k : min(k + depth, until[k])].tolist()) for k in range(len(h))]
+        assert sorted(order.tolist()) == list(range(len(h)))
+        assert [key[k] for k in order] == sorted(key)
+
+
+def test_op13_equals_its_sql(spark):
+    same_as_sql(spark, "op13_suffix_decontamination", "/root/testdata/sf0.01")

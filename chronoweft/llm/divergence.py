@@ -43,9 +43,9 @@ class Audit:
     top: int = 50
     #: Bytes of text whose pointers are sorted at once.
     shard: int = 8 << 20
-    #: Sources in a tile, and rows of terms in a block, of the sums over pairs.
+    #: Sources in a tile, and least rows of terms in a block, of the sums over pairs; a block has four rows for each pair of sources in a tile at least.
     tile: int = 512
-    block: int = 500_000
+    block: int = 16_384
     #: Terms of a block that are dense at once.
     dense: int = 4096
 
@@ -191,7 +191,7 @@ def audit_sources(docs: DataFrame, audit: Audit = Audit()) -> DataFrame:  # noqa
     held = settle(terms.select("lang", "term", "source", "n").join(kept, ["lang", "term"]), "kept-terms")
     by_lang = held.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("lang_total"))
     by_source = held.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    blocks = by_source.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("rows") / audit.block)).cast("int").alias("blocks"))
+    blocks = by_source.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum("rows") / F.greatest(F.lit(audit.block), 4 * F.pow(F.least(F.count(F.lit(1)), F.lit(audit.tile)), 2)))).cast("int").alias("blocks"))
     groups = counts.filter("term = ''").select("lang", "source").join(by_lang, "lang", "left").join(blocks, "lang", "left").join(by_source.drop("rows"), ["lang", "source"], "left").na.fill(0, ["terms", "lang_total", "total"]).na.fill(1, ["blocks"])
     order = Window.partitionBy("lang").orderBy("source")
     base = _share("0", "total", "terms", audit)

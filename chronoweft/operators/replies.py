@@ -7,11 +7,12 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronoweft.functions import words as lists
+from chronoweft.functions.text import category as cut_kind
 from chronoweft.operators.highlights import fit_clip
 from chronoweft.operators.takes import _words
 
@@ -130,7 +131,10 @@ def category(name) -> str:
     return next((k for k, names in lists.CATEGORIES.items() if key in names.split()), "cut")
 
 
-_edge = lambda t: re.sub(r"^[^\wऀ-ॣ०-ॿ]+|[^\wऀ-ॣ०-ॿ]+$", "", (t or "").lower())
+#: Characters that an edge of a word may have, and grammar that keeps a filler in its sentence.
+EDGE = "0-9A-Za-z_\u0900-\u0963\u0966-\u097f"
+KEEPS_LIKE = r"^([0-9]|one|two|three|four|five|ten|a|about|half)"
+_edge = lambda t: re.sub(f"^[^{EDGE}]+|[^{EDGE}]+$", "", (t or "").lower())
 
 
 def _anchor(words: list[dict], said: list[str], at: int) -> tuple[int, int] | None:
@@ -152,8 +156,26 @@ def _anchor(words: list[dict], said: list[str], at: int) -> tuple[int, int] | No
     return None
 
 
-def cleanup(text: str | None, words: list[dict], least: float = 0.0) -> list[dict]:
-    """Cuts that a reply names, where its words really are: start, end, text, label, confidence, from_idx, to_idx, needs_review. Very long cuts are to be reviewed."""
+_first = lambda item, keys: next((item[k] for k in keys if item.get(k) is not None), None)
+_KIND = ("category", "type", "label")
+
+
+def confidence(item: dict) -> float:
+    """How sure a cut is, 1 where nothing is said; percentages count as such."""
+    value = item.get("confidence")
+    if isinstance(value, str):
+        m = re.match(r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", value)
+        value = float(m[1]) if m else None
+    sure = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) and not math.isnan(value) else 1.0
+    return sure / 100 if 1 < sure <= 100 else sure
+
+
+def _reason(item: dict, label: str) -> str:
+    return (str(item["reason"]) if item.get("reason") else label)[:80]
+
+
+def cleanup(text: str | None, words: list[dict], least: float = 0.0, kinds: tuple[str, ...] | None = None) -> list[dict]:
+    """Cuts that a reply names, where its words really are: start, end, text, reason, label, confidence, from_idx, to_idx, needs_review. Very long cuts are to be reviewed."""
     out, n = [], len(words)
     for c in cuts(text):
         found = span(c)
@@ -164,21 +186,18 @@ def cleanup(text: str | None, words: list[dict], least: float = 0.0) -> list[dic
             continue
         b = min(b, n - 1)
         if isinstance(c.get("words"), str) and c["words"].strip():
-            place = _anchor(words, [w for w in map(_edge, c["words"].split()) if w], a)
+            spoken = [w for w in map(_edge, c["words"].split()) if w]
+            place = _anchor(words, spoken, a) if spoken else None
             if place is None:
                 continue
             a, b = place
         said, after = " ".join(_edge(w["text"]) for w in words[a : b + 1]), _edge(words[b + 1]["text"]) if b + 1 < n else ""
-        if (said == "you know" and after == "what") or (said == "like" and re.match(r"\d|one|two|three|four|five|ten|a|about|half", after)):
+        if (said == "you know" and after == "what") or (said == "like" and re.match(KEEPS_LIKE, after)):
             continue
-        try:
-            sure = float(c.get("confidence", 1))
-        except (TypeError, ValueError):
-            sure = 1.0
-        sure = sure / 100 if 1 < sure <= 100 else sure
+        sure, label = confidence(c), category(_first(c, _KIND))
         start, end = words[a]["start"], words[b]["end"]
-        if sure >= least and end > start:
-            out.append({"start": start, "end": end, "text": " ".join(w["text"].strip() for w in words[a : b + 1]), "label": category(c.get("category") or c.get("type") or c.get("label")), "confidence": sure, "from_idx": a, "to_idx": b, "needs_review": end - start > 45 or (n >= 40 and b - a + 1 > 0.25 * n)})
+        if sure >= least and end > start and (kinds is None or label in kinds):
+            out.append({"start": start, "end": end, "text": " ".join(w["text"].strip() for w in words[a : b + 1]), "reason": _reason(c, label), "label": label, "confidence": sure, "from_idx": a, "to_idx": b, "needs_review": end - start > 45 or (n >= 40 and b - a + 1 > 0.25 * n)})
     return sorted(out, key=lambda c: c["start"])
 
 
@@ -242,8 +261,93 @@ def _per_reply(rows: DataFrame, replies: DataFrame, kernel, schema: str) -> Data
     return rows.groupBy(KEY).cogroup(replies.groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, {schema}")
 
 
-def cleanup_cuts(words: DataFrame, replies: DataFrame) -> DataFrame:
-    return _per_reply(words, replies, cleanup, "start double, end double, text string, label string, confidence double, from_idx long, to_idx long, needs_review boolean")
+#: The schema of a reply that needs no repair: only these fields, of these kinds, in a list named cuts.
+_FIELD = r"(category: STRING|confidence: (BIGINT|DECIMAL\(\d+,\d+\)|DOUBLE|FLOAT)|from: BIGINT|label: STRING|reason: STRING|to: BIGINT|type: STRING|words: STRING)"
+PLAIN = rf"^OBJECT<cuts: ARRAY<(VOID|OBJECT<{_FIELD}(, {_FIELD})*>)>>$"
+_CUT = T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("from", T.LongType()), ("to", T.LongType()), ("words", T.StringType()), ("category", T.StringType()), ("reason", T.StringType()), ("confidence", T.DoubleType()))]))
+
+
+def _mended(text: str | None) -> list[dict] | None:
+    """The cuts of a reply that is not plain JSON, in plain form."""
+    if text is None:
+        return None
+    out = []
+    for c in cuts(text):
+        found = span(c)
+        if found and None not in found and all(abs(k) < 1 << 62 for k in found):
+            kind, said = _first(c, _KIND), c.get("words")
+            out.append({"from": found[0], "to": found[1], "words": said if isinstance(said, str) else None, "category": None if kind is None else str(kind), "reason": str(c["reason"]) if c.get("reason") else None, "confidence": confidence(c)})
+    return out
+
+
+_mend = F.pandas_udf(lambda s: s.map(_mended), _CUT)
+
+
+def cut_rows(replies: DataFrame) -> DataFrame:
+    """Cuts that replies name: rec_id, reply_no, cut_no, from, to, words, category, reason, confidence. replies: rec_id, reply; the same reply of a recording counts once.
+
+    A reply that is JSON as asked for is read by Spark's own parser; the others, with prose around, trailing
+    commas, other names or a broken end, go through the repair, and only they do.
+    """
+    doc = F.try_parse_json("reply")
+    plain = F.coalesce(F.schema_of_variant(doc).rlike(PLAIN), F.lit(False))
+    rows = replies.select(KEY, "reply").distinct().withColumn("_plain", plain)
+    rows = rows.withColumn("_fast", F.when(F.col("_plain"), F.try_variant_get(doc, "$.cuts", "array<struct<from:bigint,to:bigint,words:string,category:string,type:string,label:string,reason:string,confidence:double>>")))
+    rows = rows.withColumn("_slow", _mend(F.when(~F.col("_plain"), F.col("reply"))))
+    kind = lambda c: F.coalesce(c["category"], c["type"], c["label"])
+    sure = lambda c: F.when((c["confidence"] > 1) & (c["confidence"] <= 100), c["confidence"] / 100).otherwise(F.coalesce(c["confidence"], F.lit(1.0)))
+    fast = F.transform("_fast", lambda c: F.struct(c["from"].alias("from"), c["to"].alias("to"), c["words"].alias("words"), kind(c).alias("category"), F.when(c["reason"] != "", c["reason"]).alias("reason"), sure(c).alias("confidence")))
+    found = rows.select(KEY, F.xxhash64("reply").alias("reply_no"), F.posexplode(F.coalesce(fast, F.col("_slow"))).alias("cut_no", "c"))
+    return found.select(KEY, "reply_no", "cut_no", "c.*").filter(F.col("from").isNotNull() & F.col("to").isNotNull())
+
+
+def _edged(text) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"^[^{EDGE}]+|[^{EDGE}]+$", "")
+
+
+_trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def cleanup_cuts(words: DataFrame, replies: DataFrame, least: float = 0.0, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Cuts that replies name, where their words really are: rec_id, start, end, text, reason, label, confidence, from_idx, to_idx, needs_review.
+
+    words: rec_id, ord, start, end, text; replies: rec_id, reply.  Indexes count a recording's words by start, end
+    and ord.  A cut that quotes its words moves to the nearest place within six words where they stand (the later one
+    first), words without letters passed over, or is dropped; so are cuts out of range and fillers that grammar
+    keeps.  Words and cuts meet by their numbers: no recording is gathered.
+    """
+    cut = [KEY, "reply_no", "cut_no"]
+    order = Window.partitionBy(KEY).orderBy("start", "end", "ord")
+    w = words.select(KEY, "ord", "start", "end", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.row_number().over(order).cast("long") - 1).withColumn("e", _edged(F.col("text")))
+    w = w.withColumn("nth", F.sum((F.col("e") != "").cast("long")).over(order))
+    sizes = w.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    c = cut_rows(replies).join(sizes, KEY).filter("from >= 0 and from < n and to >= from and to <= n + 1").withColumn("to", F.expr("least(to, n - 1)"))
+    quoted = F.coalesce(_trimmed(F.col("words")) != "", F.lit(False))
+    c = c.withColumn("_quoted", quoted).withColumn("said", F.filter(F.transform(F.split(F.coalesce("words", F.lit("")), r"\s+"), _edged), lambda x: x != ""))
+
+    # the first quoted word near its index, then the others after it
+    near = c.filter("_quoted and size(said) > 0").select(*cut, "said", F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("off"), "from").withColumn("k", F.col("from") + F.col("off"))
+    met = near.join(w.select(KEY, "k", "e", "nth"), [KEY, "k"]).filter(F.col("e") == F.get("said", F.lit(0))).select(*cut, "off", "said", F.col("k").alias("at"), F.col("nth").alias("first"))
+    after = met.select(*cut, "off", "at", F.size("said").alias("size"), F.posexplode("said").alias("q", "x"), "first").withColumn("nth", F.col("first") + F.col("q"))
+    spoken = w.filter("e <> ''").select(KEY, "nth", F.col("e").alias("y"), F.col("k").alias("last"))
+    whole = after.join(spoken, [KEY, "nth"]).filter("x = y").groupBy(*cut, "off", "at", "size").agg(F.count(F.lit(1)).alias("n_met"), F.max("last").alias("last")).filter("n_met = size")
+    place = whole.groupBy(*cut).agg(F.min(F.struct(F.abs("off").alias("far"), (-F.col("off")).alias("side"), "at", "last")).alias("p"))
+    c = c.join(place, cut, "left").filter("not _quoted or p is not null").withColumn("a", F.coalesce("p.at", "from")).withColumn("b", F.coalesce("p.last", "to"))
+
+    # the words of each cut and the one behind it
+    held = c.select(*cut, "a", "b", F.explode(F.expr("sequence(a, b + 1)")).alias("k")).join(w.drop("ord", "nth"), [KEY, "k"])
+    inside = F.when(F.col("k") <= F.col("b"), F.struct("k", "text", "e", "start", "end"))
+    held = held.groupBy(*cut).agg(F.array_sort(F.collect_list(inside)).alias("ws"), F.max(F.when(F.col("k") > F.col("b"), F.col("e"))).alias("next"))
+    row = c.join(held, cut).withColumn("start", F.get("ws", F.lit(0))["start"]).withColumn("end", F.element_at("ws", -1)["end"]).withColumn("label", cut_kind(F.coalesce("category", F.lit(""))))
+    said, following = F.array_join(F.transform("ws", lambda x: x["e"]), " "), F.coalesce("next", F.lit(""))
+    idiom = ((said == "you know") & (following == "what")) | ((said == "like") & following.rlike(KEEPS_LIKE))
+    text = F.array_join(F.transform("ws", lambda x: _trimmed(x["text"])), " ")
+    long = (F.col("end") - F.col("start") > 45) | ((F.col("n") >= 40) & (F.col("b") - F.col("a") + 1 > 0.25 * F.col("n")))
+    row = row.filter(~idiom & (F.col("confidence") >= least) & (F.col("end") > F.col("start")))
+    if kinds is not None:
+        row = row.filter(F.col("label").isin(*kinds))
+    reason = F.substring(F.coalesce("reason", "label"), 1, 80)
+    return row.select(KEY, "start", "end", text.alias("text"), reason.alias("reason"), "label", "confidence", F.col("a").alias("from_idx"), F.col("b").alias("to_idx"), long.alias("needs_review"))
 
 
 def highlight_clips(segments: DataFrame, replies: DataFrame, least: float = 6, most: float = 120) -> DataFrame:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from chronoweft.llm.tokens import encoder, ids_of, vocabulary
 U = np.uint64
 #: doc_id, whether there is one, place in the document and number of ids, before the ids of a record.
 HEAD = "<q?3xii"
+#: Rows of a file whose first indices are read at once.
+BLOCK_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -109,37 +112,53 @@ def _count(tokenizer: str, length: int):
             for lo in range(0, len(part), 512):
                 own = part.slice(lo, 512)
                 n = [(len(encode(t)) + length) // length if t else 1 for t in own.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column("_part_of"), own.column("doc_id"), own.column("_h"), pa.array(n, pa.int64())], names=["part_of", "doc_id", "h", "n"])
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in ("file", "row", "doc_id", "h")], pa.array(n, pa.int64())], names=["file", "row", "doc_id", "h", "n"])
 
     return run
 
 
-def _first(path: str, part_of: int) -> dict[tuple, list[int]]:
-    """The first index of each document of one partition."""
-    fs, root = filesystem(f"{path}/part_of={part_of}")
-    found: dict[tuple, list[int]] = {}
-    for file in fs.get_file_info(pafs.FileSelector(root)):
-        if file.base_name.endswith(".parquet"):
-            rows = pq.read_table(file.path, filesystem=fs, columns=["doc_id", "h", "first"], partitioning=None)
-            for doc_id, h, first in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                found.setdefault((doc_id, h), []).append(first)
-    return found
+class _Firsts:
+    """First indices by file and row, read a block of rows at a time."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.fs = path, filesystem(path)
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+
+    def _block(self, file: int, block: int) -> np.ndarray:
+        if (file, block) not in self.held:
+            fs, root = self.fs
+            found = np.full(BLOCK_ROWS, -1, np.int64)
+            for info in fs.get_file_info(pafs.FileSelector(f"{root}/file={file}/block={block}", allow_not_found=True)):
+                if info.base_name.endswith(".parquet"):
+                    rows = pq.read_table(info.path, filesystem=fs, columns=["row", "first"], partitioning=None)
+                    found[rows["row"].to_numpy() % BLOCK_ROWS] = rows["first"].to_numpy()
+            if len(self.held) > 16:
+                self.held.clear()
+            self.held[file, block] = found
+        return self.held[file, block]
+
+    def of(self, file: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = np.empty(len(row), np.int64)
+        key = np.stack((file, row // BLOCK_ROWS))
+        for f, b in np.unique(key, axis=1).T.tolist():
+            mine = (key[0] == f) & (key[1] == b)
+            out[mine] = self._block(f, b)[row[mine] % BLOCK_ROWS]
+        if (out < 0).any():
+            raise RuntimeError("documents that were not there when they were counted")
+        return out
 
 
 def _sequences(layout: Layout, index_path: str, tokenizer: str, end: int):
     """Each sequence's shard, slot and record."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts: dict[tuple, list[int]] | None = None
+        firsts = _Firsts(index_path)
         for part in parts:
-            if firsts is None and len(part):
-                firsts = _first(index_path, part.column("_part_of")[0].as_py())
             for lo in range(0, len(part), 512):
                 own, index, records = part.slice(lo, 512), [], []
-                for doc_id, h, ids in zip(own.column("doc_id").to_pylist(), own.column("_h").to_pylist(), ids_of(own.column("text"), tokenizer, end), strict=True):
-                    if not firsts.get((doc_id, h)):
-                        raise RuntimeError("the documents came in other partitions than when they were counted; settle them before")
-                    first, raw = firsts[doc_id, h].pop(), ids.astype(layout.ids)
+                places = firsts.of(own.column("file").to_numpy(), own.column("row").to_numpy())
+                for doc_id, first, ids in zip(own.column("doc_id").to_pylist(), places.tolist(), ids_of(own.column("text"), tokenizer, end), strict=True):
+                    raw = ids.astype(layout.ids)
                     for k, a in enumerate(range(0, len(ids), layout.length)):
                         index.append(first + k)
                         ids_there = raw[a : a + layout.length]
@@ -217,18 +236,31 @@ def _read(layout: Layout):
 _READ = "slot long, shard int, byte_offset long, doc_id long, piece int, length long, ids_crc32 long, ids binary"
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id and text with where each row stands: a number for its file, and its row there. These stay the same however the files are split; rows that come from no Parquet file are written first."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    try:
+        placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        _ = placed.schema
+        return placed
+    except AnalysisException:
+        return _identified(settle(rows, "documents"))
+
+
 def _indexed(docs: DataFrame, tokenizer: str, length: int) -> tuple[DataFrame, str, int]:
-    """The documents with a hash of their text and their partition's number, the table of their first indices, and the number of all sequences.
+    """The documents with their file and row, the table of their first indices, and the number of all sequences.
 
-    The table is parted like the documents are, so that every task reads the rows of its own partition and no text is
-    shuffled for them.
+    The table is parted by file and blocks of rows, so that a task reads what it needs of it, whatever part of which
+    file it got, and no text is shuffled.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.spark_partition_id().alias("_part_of"), "text")
-    each = settle(keyed.mapInArrow(_count(tokenizer, length), "part_of int, doc_id long, h long, n long").withColumn("none", F.col("doc_id").isNull()), "counts")
+    placed = _identified(docs)
+    hashed = placed.select("file", "row", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    each = settle(hashed.mapInArrow(_count(tokenizer, length), "file long, row long, doc_id long, h long, n long").withColumn("none", F.col("doc_id").isNull()), "counts")
     size = each.agg(F.sum("n").alias("size")).first()["size"] or 0
     path = fresh(docs.sparkSession, "first-index")
-    running(each, ["none", "doc_id", "h", "part_of"], "n", "first").select("part_of", "doc_id", "h", "first").repartition("part_of").write.partitionBy("part_of").parquet(path)
-    return keyed, path, size
+    first = running(each, ["none", "doc_id", "h", "file", "row"], "n", "first").select("file", F.expr(f"row div {BLOCK_ROWS}").alias("block"), "row", "first")
+    first.repartition("file", "block").write.partitionBy("file", "block").parquet(path)
+    return placed, path, size
 
 
 def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 20240229, end: int = 2, shard_bytes: int = 32 << 20) -> tuple[Layout, DataFrame]:
@@ -237,8 +269,8 @@ def materialise(docs: DataFrame, tokenizer: str, length: int = 512, key: int = 2
     A document is its ids and then ``end`` (a null or empty text is ``end`` alone), cut into sequences of
     ``length``; the last may be shorter and is padded in its record.  Documents are numbered by doc_id (null
     last), those that share one by a hash of the text; repeated rows are documents of their own.  ``docs`` is
-    read twice, and each time its rows must come in the same partitions, as those of files and tables do.  An id takes
-    two bytes, or four if the vocabulary needs them.  An empty table has no shard.  The slot of a sequence
+    read twice; rows are known by their file and place in it, so that executors may come and go and files may be
+    split otherwise in between.  An id takes two bytes, or four if the vocabulary needs them.  An empty table has no shard.  The slot of a sequence
     depends on the table, ``length`` and ``key`` alone.  Files of tasks that were repeated are left over and not
     in the manifest.
     """

@@ -105,6 +105,33 @@ def test_slot_is_the_permuted_index(documents):
     assert {(r["doc_id"], r["piece"]): r["slot"] for r in got} == want and all(r["byte_offset"] % (20 + 128) == 0 for r in got)
 
 
+def test_slots_do_not_depend_on_how_files_are_split(spark, documents, tmp_path):
+    """Between the count and the write, partitions change; repeated rows are in several of them."""
+    path = str(tmp_path / "docs")
+    documents[1].unionByName(documents[1].limit(20)).repartition(2).write.option("parquet.block.size", 1 << 16).parquet(path)
+    docs = spark.read.parquet(path)
+    want = Counter((r["doc_id"], r["piece"], r["slot"]) for r in training_order.training_order(docs, queries.TOKENIZER, length=64, key=5).collect())
+    counted = training_order._indexed
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def other(*args):
+        out = counted(*args)
+        for c in keep:
+            spark.conf.set(c, "40k")
+        return out
+
+    try:
+        training_order._indexed = other
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        got = Counter((r["doc_id"], r["piece"], r["slot"]) for r in training_order.training_order(docs, queries.TOKENIZER, length=64, key=5).collect())
+        assert docs.rdd.getNumPartitions() > 2
+    finally:
+        training_order._indexed = counted
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+    assert got == want and sorted(s for _, _, s in got) == list(range(len(got)))
+
+
 def test_ranks_give_the_ids_of_the_vocabulary_file(documents):
     import public_tokenizers
 
@@ -213,6 +240,21 @@ def test_search_with_repeated_ids(spark):
     assert len(ann.search(few, queries_.filter("vec_id = 77"), 20).collect()) == few.count()
 
 
+def test_search_of_every_length(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=(4, 4, 7, 16)[i % 4]).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got = defaultdict(list)
+    for r in sorted(ann.search(df, df.filter("vec_id % 5 = 0"), 3).collect(), key=lambda r: r["rank"]):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    want = {}
+    for n in (4, 7, 16):
+        some = [r for r in rows if len(r[1]) == n]
+        want |= brute_search(some, [r for r in some if r[0] % 5 == 0], 3)
+    assert got == want and len(got) == 40
+
+
 def test_search_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.integers(1, 4)]) for i in range(12)] + [(i, [1.0] * 8) for i in range(20, 60)]

@@ -357,30 +357,42 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, **options) -> DataF
     """The k nearest found of each query: query_id, rank, vec_id, score (inner product in double precision), ties to the smaller vec_id.
 
     rows and queries: vec_id, embedding.  A query's own vec_id is no candidate of its.  Rows without vec_id and
-    vectors that are null, empty, zero or hold a null, NaN or infinity take no part, nor do those of another
-    length than most have.  Equal vectors are one candidate that stands for its 2 * k smallest ids, of each id at
+    vectors that are null, empty, zero or hold a null, NaN or infinity take no part.  Vectors of each length are
+    searched by themselves, as an inner product needs equal lengths.  Equal vectors are one candidate that stands for its 2 * k smallest ids, of each id at
     most k rows; a query's own id has at most k of them, so that this loses none of the k nearest.  A query that finds fewer than k in its buckets looks into all.  Repeated query rows
     are answered each; an empty table gives an empty result.
     """
     rows, queries = valid(rows), valid(queries)
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    usual = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.max(square).alias("m")).orderBy(F.desc("c"), "n").first()
-    if usual is None:
+    # a row for each length of vectors
+    lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.max(square).alias("m")).orderBy("n").collect()
+    asked = {r["n"] for r in queries.select(F.size("embedding").alias("n")).distinct().collect()}
+    found = None
+    for r in lengths:
+        if r["n"] in asked:
+            part = _search(*(t.filter(F.size("embedding") == r["n"]) for t in (rows, queries)), r["n"], r["m"], k, options)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), F.col("vec_id"), F.lit(0.0).alias("score")).filter("false")
-    rows, queries = (t.filter(F.size("embedding") == usual["n"]) for t in (rows, queries))
+    return found
+
+
+def _search(rows: DataFrame, queries: DataFrame, dimension: int, most: float, k: int, options: dict) -> DataFrame:
+    """The search among vectors of one length; ``most``: the largest squared norm."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     few = rows
-    for key, most in ((["embedding", "vec_id"], k), (["embedding"], 2 * k)):
+    for key, limit in ((["embedding", "vec_id"], k), (["embedding"], 2 * k)):
         each = Window.partitionBy(*key).orderBy("vec_id")
-        few = few.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= most)
+        few = few.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= limit)
     grouped = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     # the range of norm, counted from the largest
-    classes = settle(grouped.withColumn("band", F.round(F.log2(F.lit(usual["m"]) / square) * (RANGES / 2)).cast("int")), "vectors", numbered="node")
+    classes = settle(grouped.withColumn("band", F.round(F.log2(F.lit(most) / square) * (RANGES / 2)).cast("int")), "vectors", numbered="node")
     bands = classes.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.max(square).alias("m")).collect()
     counts, norms = [0] * (max(r["band"] for r in bands) + 1), [1.0] * (max(r["band"] for r in bands) + 1)
     for r in bands:
         counts[r["band"]], norms[r["band"]] = r["c"], math.sqrt(r["m"]) * (1 + 1e-12)
     asked = settle(queries.select(F.col("vec_id").alias("query_id"), "embedding"), "queries", numbered="q")
-    tables = Tables(usual["n"], tuple(counts), tuple(norms), **options)
+    tables = Tables(dimension, tuple(counts), tuple(norms), **options)
     found = settle(_candidates(classes, asked, tables, k), "near")
     all_ = classes.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     counts = found.groupBy("q").agg(F.count(F.lit(1)).alias("c"))

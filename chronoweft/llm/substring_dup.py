@@ -121,18 +121,19 @@ def _extract(cut: Cut, buckets: int):
             bucket = (lexical.mix(ah[first]) % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             columns = [x[first][by] for x in (ah, ch, place, windows, shift)]
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             out: dict[str, list] = {name: [] for name in ("bucket", *[n for n, _ in _PACKED], "start", "end")}
-            own = int(num[0] % buckets) if len(num) else 0
-            for b in range(buckets):
-                covered = b == own and len(start)
-                if edges[b] == edges[b + 1] and not covered:
-                    continue
+            # only the buckets that the batch has something for
+            some, low = np.unique(bucket[by], return_index=True)
+            for b, lo, hi in zip(some.tolist(), low, np.append(low, len(by))[1:], strict=True):
                 out["bucket"].append(b)
                 for (name, kind), x in zip(_PACKED, columns, strict=True):
-                    out[name].append(x[edges[b] : edges[b + 1]].astype(kind).tobytes())
-                out["start"].append(start.astype(np.int64).tobytes() if covered else b"")
-                out["end"].append(end.astype(np.int64).tobytes() if covered else b"")
+                    out[name].append(x[lo:hi].astype(kind).tobytes())
+                out["start"].append(b"")
+                out["end"].append(b"")
+            if len(start):
+                # covered spans go with any bucket; there is one if there is a span
+                own = int(num[0] % len(some))
+                out["start"][own], out["end"][own] = start.astype(np.int64).tobytes(), end.astype(np.int64).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(v, pa.binary()) for k, v in out.items() if k != "bucket"]], names=list(out))
 
     return run

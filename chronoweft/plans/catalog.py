@@ -11,6 +11,7 @@ from chronoweft.functions import text as X
 from chronoweft.functions import timecode as T
 from chronoweft.functions import words as lists
 from chronoweft.operators import captions, chapters, highlights, intervals, joins, sequences, signal, takes
+from chronoweft.operators import retakes as retakes_
 from chronoweft.plans import adapters as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -368,7 +369,7 @@ def stumbles(spark, d):
 
 @_query()
 def retakes(spark, d):
-    return takes.repeated_takes(_seconds(spark, d), keep="best")
+    return retakes_.repeated_takes(_seconds(spark, d), keep="best")
 
 
 @_query()

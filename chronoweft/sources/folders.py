@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared(spark: SparkSession) -> str:
@@ -28,3 +28,10 @@ def fresh(spark: SparkSession, label: str) -> str:
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system of a path or URI, and the path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file://{path}")
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and read them again, so that nothing before is run twice and a lost executor costs nothing before."""
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import text as X
 from chronoweft.functions import timecode as T
-from chronoweft.operators import captions, chapters, highlights, script, sequences, signal, speakers, takes
+from chronoweft.operators import captions, chapters, highlights, retakes, script, sequences, signal, speakers, takes
 
 
 def one(spark, value, *columns):
@@ -102,12 +102,12 @@ def test_caption_groups_and_frames(spark):
 
 def test_retakes_and_stumbles(spark):
     words = timed(["so the main point of this video is", "so the main point of this video is saving money early.", "now we go to the next thing entirely"])
-    got = takes.repeated_takes(frame(spark, words)).collect()
+    got = retakes.repeated_takes(frame(spark, words)).collect()
     assert len(got) == 1 and got[0]["start"] == 0.0
     st = takes.stumbles(frame(spark, timed(["I I think the the plan works"]))).collect()
     assert [r["text"] for r in st] == ["I", "the"]
     talk = timed(["What did you learn in that first year?", "I learned that patience matters a lot."])
-    assert takes.repeated_takes(frame(spark, talk)).collect() == []
+    assert retakes.repeated_takes(frame(spark, talk)).collect() == []
 
 
 def test_fillers(spark):

@@ -8,8 +8,11 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronoweft.functions.text import skeleton, spoken_key, word_likeness
+from chronoweft.operators.likeness import likeness_by_recording
 from chronoweft.operators.takes import SENTENCE, _words
 
 KEY = "rec_id"
@@ -135,12 +138,21 @@ def align_to_script(cues: DataFrame, scripts: DataFrame, least: float = 0.35) ->
 
 
 class Scores:
-    """Likeness of all words of two lists, each pair of different words scored once."""
+    """Likeness of all words of two lists: of each pair of different words what ``known`` says, or as scored here if that is None."""
 
-    def __init__(self, a: list[str], b: list[str]) -> None:
+    def __init__(self, a: list[str], b: list[str], known: dict[tuple[str, str], float] | None = None) -> None:
         ua, ia = np.unique(np.array(a, object), return_inverse=True)
         ub, ib = np.unique(np.array(b, object), return_inverse=True)
-        table = np.array([[word_likeness(x, y) for y in ub] for x in ua], np.float32).reshape(len(ua), len(ub))
+        if known is None:
+            table = np.array([[word_likeness(x, y) for y in ub] for x in ua], np.float32).reshape(len(ua), len(ub))
+        else:
+            table = np.full((len(ua), len(ub)), -1.5, np.float32)
+            bare = [np.array([0 < len(w) <= 4 and not skeleton(w) for w in u], bool) for u in (ua, ub)]
+            table[np.ix_(*bare)] = 0.3
+            rows, columns = {w: k for k, w in enumerate(ua)}, {w: k for k, w in enumerate(ub)}
+            for (x, y), score in known.items():
+                if x in rows and y in columns:
+                    table[rows[x], columns[y]] = score
         self.full = table[ia][:, ib]
 
 
@@ -237,12 +249,12 @@ def is_false_start(run: list[str], before: list[str], after: list[str]) -> bool:
     return False
 
 
-def script_takes_of(words: list[dict], script: list[str], most_words: int = 6, most_seconds: float = 4.0) -> list[dict]:
+def script_takes_of(words: list[dict], script: list[str], most_words: int = 6, most_seconds: float = 4.0, known: dict | None = None) -> list[dict]:
     """Broken-off takes of a script's words: runs that the alignment leaves out and that are said again or stutter. Nothing is cut beyond nine million word pairs."""
     t, s = [spoken_key(w["text"]) for w in words], [spoken_key(w) for w in script]
     if len(t) < 4 or len(s) < 4 or len(t) * len(s) > 9e6:
         return []
-    at, n, out, i = global_alignment(Scores(t, s).full), len(t), [], 0
+    at, n, out, i = global_alignment(Scores(t, s, known).full), len(t), [], 0
     while i < n:
         if at[i] != -1:
             i += 1
@@ -261,13 +273,13 @@ def script_takes_of(words: list[dict], script: list[str], most_words: int = 6, m
     return out
 
 
-def script_keep_of(words: list[dict], script: str, cover: float = 0.55, near_best: float = 0.75) -> list[dict]:
+def script_keep_of(words: list[dict], script: str, cover: float = 0.55, near_best: float = 0.75, known: dict | None = None) -> list[dict]:
     """Everything but one take of each script sentence: the last that is nearly as complete as the best. Off-script stretches of three words or more go too, unless they may be a line that was not found. Nothing is cut if fewer than 40 % of the sentences are found."""
     sents, n = sentences(script), len(words)
     t = [spoken_key(w["text"]) for w in words]
     if n < 10 or len(sents) < 2:
         return []
-    full = Scores([w for q in sents for w in q], t).full
+    full = Scores(t, [w for q in sents for w in q], known).full.T
     rows = np.cumsum([0, *map(len, sents)])
     chosen, others, missing = [], [], []
     for k, q in enumerate(sents):
@@ -326,11 +338,11 @@ def script_keep_of(words: list[dict], script: str, cover: float = 0.55, near_bes
     return out
 
 
-def local_place(spoken: list[str], script: list[str]) -> tuple[set[int], int, int]:
+def local_place(spoken: list[str], script: list[str], known: dict | None = None) -> tuple[set[int], int, int]:
     """Script places that a stretch of speech says by local alignment, and its first and last spoken word there."""
     if len(spoken) < 2 or not script:
         return set(), -1, -1
-    like = Scores(spoken, script).full
+    like = Scores(spoken, script, known).full
     gain = np.where(like >= 2, 2.0, np.where(like >= 0.6, 1.0, -1.0))
     n, m = gain.shape
     h = np.zeros((n + 1, m + 1))
@@ -353,7 +365,7 @@ def local_place(spoken: list[str], script: list[str]) -> tuple[set[int], int, in
     return places, first, end - 1
 
 
-def attempts_of(words: list[dict], blocks: list[tuple[float, float]], script: str) -> list[dict]:
+def attempts_of(words: list[dict], blocks: list[tuple[float, float]], script: str, known: dict | None = None) -> list[dict]:
     """Blocks of speech that another one says again (80 % of its script words; the later wins unless it is broken off), and talk in no line: start, end, text, reason."""
     lines = sentences(script, 1)
     wanted, line_of = [w for q in lines for w in q], [k for k, q in enumerate(lines) for _ in q]
@@ -362,7 +374,7 @@ def attempts_of(words: list[dict], blocks: list[tuple[float, float]], script: st
     att = []
     for s, e in blocks:
         own = [w for w in words if w["text"] and s <= (w["start"] + w["end"]) / 2 < e]
-        places, _, _ = local_place([k for k in (spoken_key(w["text"]) for w in own) if k], wanted)
+        places, _, _ = local_place([k for k in (spoken_key(w["text"]) for w in own) if k], wanted, known)
         att.append({"start": s, "end": e, "w": own, "at": places})
     real = [a for a in att if len(a["at"]) >= 3]
     for a in real:
@@ -414,17 +426,38 @@ def keep_every_line_of(words: list[dict], script: str, cuts: list[dict], pad: fl
     return cuts
 
 
+@F.pandas_udf(T.StringType())
+def _spoken(words: pd.Series) -> pd.Series:
+    return words.map(spoken_key, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _wanted(scripts: pd.Series) -> pd.Series:
+    """The different words of a script, with directions, labels and times or without."""
+    return scripts.map(lambda s: sorted({spoken_key(w) for w in [*script_words(s), *(s or "").split(), *_DIRECTION.sub(" ", s or "").split()]} - {""}))
+
+
+def scored(words: DataFrame, scripts: DataFrame) -> DataFrame:
+    """The scripts with the likeness of their words and those that are said: rec_id, script, alike."""
+    said = words.select(KEY, _spoken("text").alias("word")).distinct()
+    wanted = scripts.select(KEY, F.explode(_wanted("script")).alias("word"))
+    return scripts.select(KEY, "script").join(likeness_by_recording(said, wanted), KEY, "left")
+
+
 def _with_script(words: DataFrame, scripts: DataFrame, kernel, schema: str) -> DataFrame:
+    """A kernel over the words and the script of each recording, and the scores of their words, which are looked up and not computed there."""
     kind = words.schema[KEY].dataType.simpleString()
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        found = kernel(_words(w), s["script"].iloc[0] if len(s) else "")
+        alike = s["alike"].iloc[0] if len(s) else None
+        known = {(x["a"], x["b"]): x["score"] for x in alike} if alike is not None else {}
+        found = kernel(_words(w), (s["script"].iloc[0] or "") if len(s) else "", known)
         out = pd.DataFrame(found, columns=names)
         out.insert(0, KEY, w[KEY].iloc[0] if len(w) else None)
         return out
 
-    return words.groupBy(KEY).cogroup(scripts.groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, {schema}")
+    return words.groupBy(KEY).cogroup(scored(words, scripts).groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, {schema}")
 
 
 _CUT = "start double, end double, text string, reason string"
@@ -432,24 +465,24 @@ _CUT = "start double, end double, text string, reason string"
 
 def script_takes(words: DataFrame, scripts: DataFrame) -> DataFrame:
     """rec_id, start, end, text, reason. scripts: rec_id, script."""
-    return _with_script(words, scripts, lambda w, s: script_takes_of(w, script_words(s)), _CUT)
+    return _with_script(words, scripts, lambda w, s, known: script_takes_of(w, script_words(s), known=known), _CUT)
 
 
 def script_keep(words: DataFrame, scripts: DataFrame) -> DataFrame:
     """rec_id, start, end, text, reason, needs_review."""
-    return _with_script(words, scripts, script_keep_of, _CUT + ", needs_review boolean")
+    return _with_script(words, scripts, lambda w, s, known: script_keep_of(w, s, known=known), _CUT + ", needs_review boolean")
 
 
 def script_attempts(words: DataFrame, scripts: DataFrame, pause: float = 0.8) -> DataFrame:
     """rec_id, start, end, text, reason; blocks of speech are words less than ``pause`` apart."""
 
-    def kernel(w: list[dict], s: str):
+    def kernel(w: list[dict], s: str, known: dict):
         blocks: list[tuple[float, float]] = []
         for x in w:
             if blocks and x["start"] - blocks[-1][1] < pause:
                 blocks[-1] = (blocks[-1][0], max(blocks[-1][1], x["end"]))
             else:
                 blocks.append((x["start"], x["end"]))
-        return attempts_of(w, blocks, s)
+        return attempts_of(w, blocks, s, known)
 
     return _with_script(words, scripts, kernel, _CUT)

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from chronoweft.functions import text as X
 from chronoweft.functions import words as lists
 from chronoweft.operators.signal import per_recording
+from chronoweft.sources.folders import settle
 
 KEY = "rec_id"
 
@@ -72,93 +71,90 @@ def chapter_titles(cues: DataFrame, group: str = "part") -> DataFrame:
     return ranked.select(KEY, group, X.title_case(F.when(two, F.concat_ws(" ", "word1", "word2")).otherwise(F.col("word1"))).alias("title"))
 
 
-def _topic(text: str) -> list[str]:
-    import re
-
-    out = []
-    for w in (text or "").split():
-        t = re.sub("[^a-z0-9'ऀ-ॣ०-ॿ]", "", w.lower()).strip("'")
-        if t and t not in _STOP and "'" not in t and len(t) >= (4 if re.fullmatch("[a-z0-9']+", t) else 2):
-            out.append(t)
-    return out
-
-
-_STOP = frozenset(lists.TOPIC_STOP)
-
-
-def chapters_of(cues: list[dict], least: float = 30.0, most: int | None = None) -> list[tuple[float, str]]:
-    """Starts and titles of chapters: lines at which the words of the talk before and after differ most (a depth score over cosines of weighted bags), well apart and deep enough."""
-    cs = sorted((c for c in cues if c["text"] is not None), key=lambda c: c["start"])
-    if not cs:
-        return []
-    first, last = cs[0]["start"], cs[-1]["end"]
-    length = last - first
+#: Weights of words and times are whole numbers of these parts, so that sums don't depend on their order.
+_PARTS, _MICRO = 1_000_000, 1_000_000
+
+
+def _breaks(cues: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The lines, and each line at which a chapter can begin with the likeness of what is said before and after: rec_id, k, t, sim, and of the recording length, reach and first.
+
+    A word's weight on either side of a moment changes only where one of its lines enters or leaves the stretch there.
+    So each saying of a word gives three moments; between them the products of its weights stand still, and their
+    changes, summed up over all words and then over time, are the products of the whole bags at any moment.  No
+    recording's words or lines are gathered, and the rows are three for each saying.
+    """
+    order = Window.partitionBy(KEY).orderBy("start", "ord")
+    lines = cues.filter(F.col("text").isNotNull()).withColumn("k", F.row_number().over(order).cast("long") - 1)
+    of = lines.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.max_by("end", "k").alias("last"))
+    of = of.withColumn("length", F.col("last") - F.col("first")).withColumn("reach", F.greatest(F.lit(float(least)), F.least(F.lit(120.0), F.col("length") / 40)))
+    micro = lambda c: F.round(c * _MICRO).cast("long")
+    said = lines.select(KEY, "k", micro((F.col("start") + F.col("end")) / 2).alias("m"), F.explode(X.topic_words("text")).alias("word")).groupBy(KEY, "k", "m", "word").agg(F.count(F.lit(1)).alias("c"))
+    df = said.groupBy(KEY, "word").agg(F.count(F.lit(1)).alias("df"))
+    rare = df.join(of.select(KEY, "n", micro(F.col("reach")).alias("w")), KEY).withColumn("idf", F.log(F.col("n") / F.col("df"))).filter("idf > 0.05")
+    said = said.join(rare.select(KEY, "word", "w", F.round(F.col("idf") * _PARTS).cast("long").alias("idf")), [KEY, "word"]).withColumn("x", F.col("c") * F.col("idf"))
+    # behind each moment: the saying is ahead of what follows, behind it, out of reach
+    moves = F.array(*[F.struct(t.alias("at"), l.alias("l"), r.alias("r")) for t, l, r in ((F.col("m") - F.col("w"), F.lit(0), F.col("x")), (F.col("m"), F.col("x"), -F.col("x")), (F.col("m") + F.col("w"), -F.col("x"), F.lit(0)))])
+    moved = said.select(KEY, "word", F.explode(moves).alias("e")).groupBy(KEY, "word", "e.at").agg(F.sum("e.l").alias("l"), F.sum("e.r").alias("r"))
+    each = Window.partitionBy(KEY, "word").orderBy("at")
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    sums = moved.withColumns({"l": F.sum("l").over(each), "r": F.sum("r").over(each)})
+    sums = sums.withColumns({"dot": wide("l") * wide("r"), "ll": wide("l") * wide("l"), "rr": wide("r") * wide("r")})
+    step = lambda c: (F.col(c) - F.coalesce(F.lag(c).over(each), F.lit(0))).alias(c)
+    changed = sums.select(KEY, "at", *[step(c) for c in ("dot", "ll", "rr")]).groupBy(KEY, "at").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in ("dot", "ll", "rr")])
+    asked = lines.join(of.drop("n"), KEY).filter((F.col("k") >= 1) & (F.col("start") - F.col("first") >= least) & (F.col("last") - F.col("start") >= least))
+    asked = asked.select(KEY, "k", F.col("start").alias("t"), micro(F.col("start")).alias("at"), "length", "reach", "first")
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("k", "t", "length", "reach", "first")]
+    both = asked.select("*", *[F.lit(0).cast("decimal(38,0)").alias(c) for c in ("dot", "ll", "rr")], F.lit(0).alias("kind")).unionByName(changed.select(KEY, *none, "at", "dot", "ll", "rr", F.lit(1).alias("kind")))
+    # a moment counts for what comes after it
+    upto = Window.partitionBy(KEY).orderBy("at", "kind", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumns({c: F.sum(c).over(upto).cast("double") for c in ("dot", "ll", "rr")}).filter("kind = 0")
+    sim = F.when((F.col("ll") > 0) & (F.col("rr") > 0), F.col("dot") / F.sqrt(F.col("ll") * F.col("rr"))).otherwise(1.0)
+    return lines, summed.select(KEY, "k", "t", sim.alias("sim"), "length", "reach", "first")
+
+
+def _picked(rows: list[tuple], bar: float, length: float, reach: float, least: float, most: int | None) -> list[int]:
+    """The lines at which chapters begin: the deepest dips first, well apart, and at least two if the talk is long enough for them. rows: k, t, depth, sim."""
     most = most or max(2, min(15, math.floor(length / (150 if length <= 1200 else 300) + 0.5)))
-    reach = max(least, min(120.0, length / 40))
-    bags = [Counter(_topic(c["text"])) for c in cs]
-    df = Counter(w for b in bags for w in b)
-    vocab = {w: k for k, w in enumerate(w for w in df if math.log(len(cs) / df[w]) > 0.05)}
-    # running sums of weighted bags; any span of lines is a difference of two
-    total = np.zeros((len(cs) + 1, len(vocab)), np.float64)
-    for k, b in enumerate(bags):
-        total[k + 1] = total[k]
-        for w, c in b.items():
-            if w in vocab:
-                total[k + 1, vocab[w]] += c * math.log(len(cs) / df[w])
-    mid = np.array([(c["start"] + c["end"]) / 2 for c in cs])
-    order = np.argsort(mid, kind="stable")
-    if not (np.diff(mid) >= 0).all():
-        per = np.diff(total, axis=0)[order]
-        total = np.concatenate((np.zeros((1, len(vocab))), np.cumsum(per, axis=0)))
-    sorted_mid = mid[order]
-
-    def bag(lo: float, hi: float) -> np.ndarray:
-        return total[np.searchsorted(sorted_mid, hi)] - total[np.searchsorted(sorted_mid, lo)]
-
-    def cosine(a: np.ndarray, b: np.ndarray) -> float:
-        na, nb = float(a @ a), float(b @ b)
-        return float(a @ b) / math.sqrt(na * nb) if na > 0 and nb > 0 else 1.0
-
-    at = [k for k in range(1, len(cs)) if cs[k]["start"] - first >= least and last - cs[k]["start"] >= least]
-    if not at:
-        return [(0.0, title([bags])[0] or "Chapter")]
-    t = np.array([cs[k]["start"] for k in at])
-    sim = np.array([cosine(bag(x - reach, x), bag(x, x + reach)) for x in t])
-    depth = np.array([sim[np.searchsorted(t, x - 2 * reach) : g + 1].max() + sim[g : np.searchsorted(t, x + 2 * reach, "right")].max() - 2 * sim[g] for g, x in enumerate(t)])
-    deep = np.sort(depth[depth > 0])
-    bar = max(deep[len(deep) // 2], deep.mean() + 0.75 * deep.std()) if len(deep) else math.inf
-    ranked = np.lexsort((sim, -depth))
-    picked: list[int] = []
-
-    def pick(bar: float, apart: float, upto: int) -> None:
-        for g in ranked:
-            if len(picked) < upto and g not in picked and depth[g] >= 0.25 and depth[g] >= bar and all(abs(t[p] - t[g]) >= apart for p in picked):
-                picked.append(int(g))
-
-    pick(bar, max(least, reach), most - 1)
-    pick(0.0, least, min(most, 3 if length >= 3 * least + 10 else 1) - 1)
-    edges = [0, *sorted(at[g] for g in picked), len(cs)]
-    parts = [bags[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-    return [(cs[a]["start"] if a else 0.0, name or "Chapter") for a, name in zip(edges, title(parts), strict=False)]
-
-
-def title(parts: list[list[Counter]]) -> list[str]:
-    """A title for each part from the words it says more than the others."""
-    counts = [sum(p, Counter()) for p in parts]
-    df = Counter(w for c in counts for w in c)
-    out = []
-    for c in counts:
-        scored = sorted(((n * (math.log(len(parts) / df[w]) + 0.1), n, w) for w, n in c.items()), key=lambda x: (-x[0], -x[1]))
-        name = scored[0][2] if scored else ""
-        if len(scored) > 1 and scored[1][1] >= 2 and scored[1][0] >= 0.6 * scored[0][0]:
-            name += f" {scored[1][2]}"
-        out.append(" ".join(w[:1].upper() + w[1:] for w in name.split(" ")))
-    return out
+    ranked = sorted(rows, key=lambda r: (-r[2], r[3], r[0]))
+    taken: list[tuple] = []
+    for floor, apart, upto in ((bar, max(least, reach), most - 1), (0.0, least, min(most, 3 if length >= 3 * least + 10 else 1) - 1)):
+        for r in ranked:
+            if len(taken) < upto and r not in taken and r[2] >= floor and all(abs(r[1] - x[1]) >= apart for x in taken):
+                taken.append(r)
+    return [r[0] for r in taken]
 
 
 def chapters(cues: DataFrame, least: float = 30.0, most: int | None = None) -> DataFrame:
-    """rec_id, chapter, start, title. cues: rec_id, ord, start, end, text."""
-    return per_recording(cues, lambda f: [(k, s, n) for k, (s, n) in enumerate(chapters_of(f.sort_values(["start", "ord"]).to_dict("records"), least, most))], "chapter long, start double, title string")
+    """Chapters of a talk: rec_id, chapter, start, title. cues: rec_id, ord, start, end, text; lines without a text (null) are none.
+
+    Chapters begin where the words before and after differ most: cosines of weighted bags, and how deep each dips
+    below those around it.  A recording without lines has none, one without a dip has one.
+    """
+    lines, at = _breaks(cues, least)
+    at = settle(at, "breaks")
+    # lines as far apart as twice the reach are compared; that is a milliard here, with two for rounding
+    scaled = F.round(F.col("t") / (2 * F.col("reach")) * 1_000_000_000).cast("long")
+    near = Window.partitionBy(KEY).orderBy("_u")
+    back, ahead = (F.max("sim").over(near.rangeBetween(*r)) for r in ((-1_000_000_002, 0), (0, 1_000_000_002)))
+    deep = at.withColumn("_u", scaled).withColumn("depth", back + ahead - 2 * F.col("sim"))
+    real = deep.filter("depth > 0")
+    nth = Window.partitionBy(KEY).orderBy("depth", "k")
+    mid = real.withColumn("_r", F.row_number().over(nth) - 1).join(real.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n")), KEY).filter(F.col("_r") == F.expr("_n div 2")).select(KEY, F.col("depth").alias("median"))
+    bar = real.groupBy(KEY).agg((F.avg("depth") + 0.75 * F.stddev_pop("depth")).alias("usual")).join(mid, KEY).select(KEY, F.greatest("usual", "median").alias("bar"))
+    good = deep.filter("depth >= 0.25").join(bar, KEY).select(KEY, "k", "t", "depth", "sim", "bar", "length", "reach")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        one = frame.iloc[0]
+        taken = _picked(list(frame[["k", "t", "depth", "sim"]].itertuples(index=False, name=None)), one["bar"], one["length"], one["reach"], least, most)
+        return pd.DataFrame({KEY: [one[KEY]] * len(taken), "k": taken})
+
+    # four numbers of each dip
+    begins = good.groupBy(KEY).applyInPandas(run, f"{KEY} {cues.schema[KEY].dataType.simpleString()}, k long").withColumn("_b", F.lit(1))
+    parted = lines.join(begins, [KEY, "k"], "left").withColumn("part", F.coalesce(F.sum("_b").over(Window.partitionBy(KEY).orderBy("k")), F.lit(0)).cast("long"))
+    parted = settle(parted.select(KEY, "part", "k", "start", "text"), "chapters")
+    starts = parted.groupBy(KEY, F.col("part").alias("chapter")).agg(F.min_by("start", "k").alias("start")).withColumn("start", F.when(F.col("chapter") == 0, F.lit(0.0)).otherwise(F.col("start")))
+    titles = chapter_titles(parted).withColumnRenamed("part", "chapter")
+    return starts.join(titles, [KEY, "chapter"], "left").withColumn("title", F.when(F.coalesce("title", F.lit("")) == "", F.lit("Chapter")).otherwise(F.col("title")))
 
 
 def evenly(rows: DataFrame, keep: int, ord: str = "ord") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import text as X
 from chronoweft.functions import timecode as T
-from chronoweft.operators import captions, chapters, highlights, retakes, script, sequences, signal, speakers, takes
+from chronoweft.operators import captions, highlights, retakes, script, sequences, signal, speakers, takes
 
 
 def one(spark, value, *columns):
@@ -149,13 +149,6 @@ def test_speaker_activity():
     assert np.mean(right) >= 0.95
 
 
-def test_chapters():
-    topics = ["market stock shares trading", "cricket batting bowling wicket", "cooking recipe kitchen spices"]
-    cues = [{"start": 3.2 * k, "end": 3.2 * k + 3, "text": f"today {topics[k // 60].split()[k % 4]} and {topics[k // 60].split()[(k + 1) % 4]}"} for k in range(180)]
-    got = chapters.chapters_of(cues)
-    assert len(got) == 3 and all(abs(s - 192 * k) <= 30 for k, (s, _) in enumerate(got))
-
-
 def test_highlights_and_tighten():
     words = [{"text": "so", "start": 0.0, "end": 0.2}, {"text": "um", "start": 0.3, "end": 0.5}, {"text": "money", "start": 1.5, "end": 2.0}]
     got = highlights.tighten(words)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as words_
@@ -142,52 +142,15 @@ def _split(words: list[dict], a: int, b: int, most_words: int, fits: Callable[[i
     return out[::-1]
 
 
-def group(words: list[dict], most_words: int = 0, fits: Callable[[int, int], bool] | None = None, rules: dict | None = None, length: Callable[[int], float] | None = None, mixed: bool | None = None) -> list[tuple[int, int]]:
-    """Captions as word ranges. None runs over a sentence end, a pause or a change of speaker; stretches of over 300 words are cut at their best break first."""
-    rules = rules or RULES
-    mixed = hinglish([w["text"] for w in words]) if mixed is None else mixed
-    fits, length = fits or (lambda a, b: True), length or (lambda k: words_.visible(words[k]["text"]) + 1)
-    out, start = [], 0
-    for k, w in enumerate(words):
-        nxt = words[k + 1] if k + 1 < len(words) else None
-        if nxt is None or sentence_end(w["text"]) or nxt["start"] - w["end"] >= rules["pause"] - 1e-9 or (w.get("speaker") and nxt.get("speaker") and w["speaker"] != nxt["speaker"]):
-            while k + 1 - start > 300:
-                cut = min(range(start + 150, start + 251), key=lambda c: break_cost(words[c - 1]["text"], words[c]["text"], mixed))
-                out += _split(words, start, cut, most_words, fits, mixed, rules, length)
-                start = cut
-            out += _split(words, start, k + 1, most_words, fits, mixed, rules, length)
-            start = k + 1
-    return out
-
-
-def time_groups(words: list[dict], groups: list[tuple[int, int]], fps: float, rules: dict | None = None) -> list[dict]:
-    """Captions on frames: s, e and the frame of every word. Each starts on its first word, lasts long enough to see and to read, lingers into silence, and is two frames or at least half a second from the next."""
-    rules = rules or RULES
-    f = rate(fps)
-    half, gap, last, caps = _frame(0.5 * f), rules["gap_frames"], -math.inf, []
-    for a, b in groups:
-        at = []
-        for w in words[a:b]:
-            last = max(_frame(w["start"] * f), last + 1)
-            at.append(last)
-        caps.append({"a": a, "b": b, "words": at, "s": at[0], "spoken": max(last + 1, _frame(words[b - 1]["end"] * f))})
-        last += gap
-    for k, c in enumerate(caps):
-        text = " ".join(w["text"] for w in words[c["a"] : c["b"]])
-        many = c["b"] - c["a"] > 1
-        want = max(c["spoken"] + _frame(rules["linger"] * f), c["s"] + math.ceil((rules["least_many"] if many else rules["least_one"]) * f - 1e-6))
-        speed = rules["cps_deva"] if any("ऀ" <= x <= "ॿ" for x in text) else rules["cps"]
-        want = max(want, c["s"] + math.ceil(len(text) / speed * f))
-        most = _frame(rules["most"] * f)
-        end = min(want, max(c["spoken"], c["s"] + most))
-        if k + 1 < len(caps):
-            nxt = caps[k + 1]["s"]
-            end = min(end, nxt - gap)
-            if nxt - end < half:
-                chained, apart = nxt - gap, nxt - half
-                end = chained if chained - c["s"] <= max(most, c["spoken"] - c["s"]) or apart < c["words"][-1] + 1 else apart
-        c["e"] = max(end, c["words"][-1] + 1)
-    return caps
+def _stretch(words: list[dict], start: int, end: int, most_words: int, fits: Callable[[int, int], bool] | None, mixed: bool, rules: dict) -> list[tuple[int, int]]:
+    """Captions of the words between two hard breaks; those of over 300 words are cut at their best break first."""
+    fits, length = fits or (lambda a, b: True), lambda k: words_.visible(words[k]["text"]) + 1
+    out = []
+    while end - start > 300:
+        cut = min(range(start + 150, start + 251), key=lambda c: break_cost(words[c - 1]["text"], words[c]["text"], mixed))
+        out += _split(words, start, cut, most_words, fits, mixed, rules, length)
+        start = cut
+    return out + _split(words, start, end, most_words, fits, mixed, rules, length)
 
 
 def _records(frame: pd.DataFrame) -> list[dict]:
@@ -195,42 +158,130 @@ def _records(frame: pd.DataFrame) -> list[dict]:
     return [r | {"text": r["text"] or "", "speaker": r.get("speaker") or None} for r in frame.sort_values(["start", "end", "ord"])[cols].to_dict("records")]
 
 
-def caption_groups(words: DataFrame, most_words: int = 0, max_chars: int = 0) -> DataFrame:
-    """rec_id, caption, start, end, text, n. words: rec_id, ord, start, end, text, speaker (optional)."""
+#: Stretches between hard breaks that are dealt to one task together.
+DEALT = 64
 
-    def kernel(frame: pd.DataFrame):
-        ws = _records(frame)
-        fits = (lambda a, b: words_.visible(" ".join(w["text"] for w in ws[a:b])) <= max_chars) if max_chars else None
-        return [(k, ws[a]["start"], max(max(w["end"] for w in ws[a:b]), ws[a]["start"]), " ".join(w["text"] for w in ws[a:b]), b - a) for k, (a, b) in enumerate(group(ws, most_words, fits))]
 
-    return per_recording(words, kernel, "caption long, start double, end double, text string, n long")
+def width_test(words: list[dict], max_chars: int) -> Callable[[int, int], bool]:
+    """Do words a to b, with spaces between them, fit into so many letters."""
+    width, deva = [0.0], [0]
+    for w in words:
+        own = any("ऀ" <= c <= "ॿ" for c in w["text"])
+        deva.append(deva[-1] + own)
+        width.append(width[-1] + (0.0 if own else words_.visible(w["text"]) + 1))
+    # clusters that count 1.1 are summed as they stand, all others are whole numbers
+    return lambda a, b: (width[b] - width[a] - 1 if deva[a] == deva[b] else words_.visible(" ".join(w["text"] for w in words[a:b]))) <= max_chars
 
 
-def caption_frames(words: DataFrame, fps: float = 30.0, most_words: int = 0, max_chars: int = 0, mode: str = "static", case: str = "", censor: bool = False) -> DataFrame:
-    """Frames of captions: rec_id, caption, frame, start, end, words, active, reveal. mode: static (one frame), karaoke (the spoken word is active), reveal (words appear), build (they appear without one being active)."""
+def grouped(words: DataFrame, most_words: int = 0, max_chars: int = 0, rules: dict | None = None) -> DataFrame:
+    """Words with their captions: rec_id, k (the word's place), start, end, text, caption (from 0). words: rec_id, ord, start, end, text, speaker (optional).
 
-    def show(w: str) -> str:
-        w = {"lower": str.lower, "upper": str.upper, "title": lambda x: x[:1].upper() + x[1:].lower(), "sentence": str.lower}.get(case, lambda x: x)(w)
-        return w
+    No caption runs over a sentence end, a pause or a change of speaker, so what stands between two of those is
+    grouped by itself, and a recording of any length is spread over tasks.
+    """
+    rules = rules or RULES
+    order = Window.partitionBy(KEY).orderBy("start", "end", "ord")
+    speaker = F.when(F.col("speaker") != "", F.col("speaker")) if "speaker" in words.columns else F.lit(None).cast("string")
+    rows = words.select(KEY, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "ord", F.coalesce("text", F.lit("")).alias("text"), speaker.alias("speaker"))
+    other = F.coalesce(F.col("speaker") != F.lead("speaker").over(order), F.lit(False))
+    rows = rows.withColumn("k", F.row_number().over(order).cast("long") - 1).withColumn("room", F.lead("start").over(order))
+    rows = rows.withColumn("ends", words_.is_sentence_end("text") | (F.col("room") - F.col("end") >= rules["pause"] - 1e-9) | other)
+    rows = rows.withColumn("h", F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    key = words_.bare("text")
+    marks = [F.sum(key.isin(*names).cast("int")).alias(n) for n, names in (("hindi", lists.HINDI_MARKS), ("english", lists.ENGLISH_MARKS))]
+    mixed = rows.groupBy(KEY).agg(F.max(F.col("text").rlike(r"[\x{0900}-\x{097F}]")).alias("deva"), *marks)
+    mixed = mixed.select(KEY, (F.col("deva") | ((F.col("hindi") >= 2) & (F.col("hindi") >= 0.6 * F.col("english")))).alias("mixed"))
+    dealt = rows.join(mixed, KEY).select(KEY, "k", "start", "end", "text", "room", "h", "mixed").withColumn("_d", F.expr(f"h div {DEALT}"))
+    dealt = dealt.repartition(KEY, "_d").sortWithinPartitions(KEY, "k").drop("_d")
+
+    def cut(stretch: list[tuple]) -> list[tuple]:
+        """A stretch's rows with whether each begins a caption."""
+        ws = [{"start": r[2], "end": r[3], "text": r[4]} for r in stretch]
+        room = stretch[-1][5]
+        if room is not None and room == room:
+            ws.append({"start": room, "end": room, "text": ""})
+        fits = width_test(ws, max_chars) if max_chars else None
+        starts = {a for a, _ in _stretch(ws, 0, len(stretch), most_words, fits, stretch[0][7], rules)}
+        return [(*r[:5], k in starts) for k, r in enumerate(stretch)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, held = [KEY, "k", "start", "end", "text", "first"], []
+        for part in parts:
+            out: list[tuple] = []
+            for row in part.itertuples(index=False, name=None):
+                if held and (held[0][0], held[0][6]) != (row[0], row[6]):
+                    out += cut(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(cut(held), columns=names)
+
+    begun = dealt.mapInPandas(run, f"{KEY} {words.schema[KEY].dataType.simpleString()}, k long, start double, end double, text string, first boolean")
+    return begun.withColumn("caption", F.sum(F.col("first").cast("long")).over(Window.partitionBy(KEY).orderBy("k")) - 1).drop("first")
 
-    def kernel(frame: pd.DataFrame):
-        ws = _records(frame)
-        fits = (lambda a, b: words_.visible(" ".join(w["text"] for w in ws[a:b])) <= max_chars) if max_chars else None
-        f = rate(fps)
-        for k, c in enumerate(time_groups(ws, group(ws, most_words, fits), fps)):
-            shown = [show(w["text"]) for w in ws[c["a"] : c["b"]]]
-            if case == "sentence":
-                j = next((j for j, w in enumerate(shown) if any("a" <= x <= "z" for x in w.lower())), None)
-                if j is not None:
-                    shown[j] = shown[j][:1].upper() + shown[j][1:]
-            if mode == "static":
-                yield k, 0, c["s"] / f, c["e"] / f, shown, None, None
-                continue
-            edges = [*c["words"], c["e"]]
-            for j in range(len(shown)):
-                yield k, j, edges[j] / f, edges[j + 1] / f, shown, None if mode == "build" else j, j + 1 if mode in ("reveal", "build") else None
 
-    out = per_recording(words, kernel, "caption long, frame long, start double, end double, words array<string>, active long, reveal long")
+def caption_groups(words: DataFrame, most_words: int = 0, max_chars: int = 0) -> DataFrame:
+    """rec_id, caption, start, end, text, n. words: rec_id, ord, start, end, text, speaker (optional)."""
+    of = grouped(words, most_words, max_chars).groupBy(KEY, "caption").agg(F.min_by("start", "k").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("ws"), F.count(F.lit(1)).alias("n"))
+    return of.select(KEY, "caption", "start", F.greatest("end", "start").alias("end"), F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"), "n")
+
+
+def timed(groups: DataFrame, fps: float, rules: dict | None = None) -> DataFrame:
+    """Captions on frames: rec_id, caption, s, e, at (the frame of every word) and words. groups: as from grouped.
+
+    Each word is a frame or more behind the one before, captions some frames more, which is a running maximum once
+    those frames are taken off.  A caption starts on its first word, lasts long enough to see and to read, lingers
+    into silence, and is two frames or at least half a second from the next.
+    """
+    rules, f = rules or RULES, rate(fps)
+    gap, half, most = rules["gap_frames"], _frame(0.5 * f), _frame(rules["most"] * f)
+    frame = lambda t: F.floor(t * f + 0.5).cast("long")
+    order = Window.partitionBy(KEY).orderBy("k")
+    off = F.col("k") + gap * F.col("caption")
+    rows = groups.withColumn("_at", off + F.max(frame(F.col("start")) - off).over(order))
+    one = rows.groupBy(KEY, "caption").agg(F.array_sort(F.collect_list(F.struct("k", "text", F.col("_at").alias("at")))).alias("ws"), F.min("_at").alias("s"), F.max("_at").alias("last"), F.max_by("end", "k").alias("end"))
+    one = one.withColumn("words", F.transform("ws", lambda w: w["text"])).withColumn("at", F.transform("ws", lambda w: w["at"]))
+    one = one.withColumn("spoken", F.greatest(F.col("last") + 1, frame(F.col("end")))).withColumn("_t", F.array_join("words", " "))
+    seen = F.when(F.size("words") > 1, math.ceil(rules["least_many"] * f - 1e-6)).otherwise(math.ceil(rules["least_one"] * f - 1e-6))
+    speed = F.when(F.col("_t").rlike(r"[\x{0900}-\x{097F}]"), rules["cps_deva"]).otherwise(rules["cps"])
+    want = F.greatest(F.col("spoken") + _frame(rules["linger"] * f), F.col("s") + seen, F.col("s") + F.ceil(F.length("_t") / speed * f))
+    each = Window.partitionBy(KEY).orderBy("caption")
+    one = one.withColumn("nxt", F.lead("s").over(each)).withColumn("e", F.least(want, F.greatest("spoken", F.col("s") + most)))
+    one = one.withColumn("e", F.when(F.col("nxt").isNotNull(), F.least("e", F.col("nxt") - gap)).otherwise(F.col("e")))
+    chained, apart = F.col("nxt") - gap, F.col("nxt") - half
+    joined = F.when((chained - F.col("s") <= F.greatest(F.lit(most), F.col("spoken") - F.col("s"))) | (apart < F.col("last") + 1), chained).otherwise(apart)
+    one = one.withColumn("e", F.when(F.col("nxt").isNotNull() & (F.col("nxt") - F.col("e") < half), joined).otherwise(F.col("e")))
+    return one.select(KEY, "caption", "s", F.greatest("e", F.col("last") + 1).cast("long").alias("e"), "at", "words")
+
+
+def _cased(case: str) -> Column:
+    """The words of a caption in a case."""
+    words, upper_first = F.col("words"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+    if case == "lower":
+        return F.transform(words, F.lower)
+    if case == "upper":
+        return F.transform(words, F.upper)
+    if case == "title":
+        return F.transform(words, upper_first)
+    if case == "sentence":
+        low = F.transform(words, F.lower)
+        first = F.array_position(F.transform(low, lambda w: w.rlike("[a-z]")), True)
+        return F.transform(low, lambda w, k: F.when(k + 1 == first, upper_first(w)).otherwise(w))
+    return words
+
+
+def caption_frames(words: DataFrame, fps: float = 30.0, most_words: int = 0, max_chars: int = 0, mode: str = "static", case: str = "", censor: bool = False) -> DataFrame:
+    """Frames of captions: rec_id, caption, frame, start, end, words, active, reveal. mode: static (one frame), karaoke (the spoken word is active), reveal (words appear), build (they appear without one being active)."""
+    f = rate(fps)
+    caps = timed(grouped(words, most_words, max_chars), fps).withColumn("words", _cased(case))
+    none = F.lit(None).cast("long")
+    if mode == "static":
+        out = caps.select(KEY, "caption", F.lit(0).cast("long").alias("frame"), (F.col("s") / f).alias("start"), (F.col("e") / f).alias("end"), "words", none.alias("active"), none.alias("reveal"))
+    else:
+        each = caps.withColumn("edges", F.concat("at", F.array("e"))).select("*", F.posexplode("at").alias("j", "_a")).withColumn("j", F.col("j").cast("long"))
+        edge = lambda k: F.get("edges", k.cast("int")) / f
+        out = each.select(KEY, "caption", F.col("j").alias("frame"), edge(F.col("j")).alias("start"), edge(F.col("j") + 1).alias("end"), "words", (none if mode == "build" else F.col("j")).alias("active"), (F.col("j") + 1 if mode in ("reveal", "build") else none).alias("reveal"))
     return out.withColumn("words", F.transform("words", words_.censor)) if censor else out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators import intervals
+from chronoweft.operators.clusters import first_kept
 
 # Files that are pictures, graphics or projects, without sound.
 NOT_AUDIO = r"(?i)\.(aegraphic|mogrt|prproj|psd|ai|png|jpe?g|gif|tiff?|svg|eps|bmp|webp|heic)$"
@@ -30,10 +31,11 @@ def sources(clips: DataFrame, tracks: DataFrame) -> DataFrame:
     return both.withColumn("selection_start", F.min(F.when(chosen, F.col("start"))).over(span)).withColumn("selection_end", F.max(F.when(chosen, F.col("end"))).over(span))
 
 
-def flatten_nests(clips: DataFrame, tracks: DataFrame, sequence_id: str, sliver: float = 0.01) -> DataFrame:
-    """Audio of a sequence and of what is nested in it, on the sequence's clock: depth, path, track, clip_id, media, start, end, in_point, out_point, speed, reversed, disabled, muted.
+def flatten_nests(clips: DataFrame, tracks: DataFrame, sequence_id: str | None = None, sliver: float = 0.01) -> DataFrame:
+    """Audio of every sequence, or of one, and of what is nested in it, on its clock: sequence_id, depth, path, track, clip_id, media, start, end, in_point, out_point, speed, reversed, disabled, muted.
 
-    Nests are followed to a depth of four and never into a sequence that is already on the path.
+    Nests are followed to a depth of four and never into a sequence that is already on the path.  All nests of one
+    depth are opened by one join, those of all sequences together.
     """
     audio = clips.filter("kind = 'audio'").join(tracks.filter("kind = 'audio'").select("sequence_id", "track", F.coalesce("muted", F.lit(False)).alias("_muted")), ["sequence_id", "track"])
     audio = audio.filter((F.col("end") - F.col("start") > sliver) & (F.col("media").isNull() | ~F.col("media").rlike(NOT_AUDIO)))
@@ -43,8 +45,9 @@ def flatten_nests(clips: DataFrame, tracks: DataFrame, sequence_id: str, sliver:
         F.col("sequence_id").alias("_seq"), F.col("track").alias("_t"), F.col("clip_id").alias("_id"), F.col("media").alias("_media"), F.col("nested_id").alias("_nest"), F.col("start").alias("_s"), F.col("end").alias("_e"),
         F.col("in_point").alias("_i"), F.col("speed").alias("_v"), flag("reversed").alias("_r"), flag("disabled").alias("_d"), F.col("_muted").alias("_m"),
     )
-    level = audio.filter(F.col("sequence_id") == sequence_id).select(
-        F.lit(0).alias("depth"), F.array("sequence_id").alias("path"), "track", "clip_id", "media", "nested_id", "start", "end", "in_point", "speed", flag("reversed").alias("reversed"), flag("disabled").alias("disabled"), F.col("_muted").alias("muted")
+    roots = audio if sequence_id is None else audio.filter(F.col("sequence_id") == sequence_id)
+    level = roots.select(
+        "sequence_id", F.lit(0).alias("depth"), F.array("sequence_id").alias("path"), "track", "clip_id", "media", "nested_id", "start", "end", "in_point", "speed", flag("reversed").alias("reversed"), flag("disabled").alias("disabled"), F.col("_muted").alias("muted")
     )
     found = level.filter(F.col("media").isNotNull())
     for depth in range(1, MAX_DEPTH + 1):
@@ -53,7 +56,7 @@ def flatten_nests(clips: DataFrame, tracks: DataFrame, sequence_id: str, sliver:
         both = nests.withColumn("_out", last).join(inner, (F.col("nested_id") == F.col("_seq")) & (F.col("_e") > F.col("in_point")) & (F.col("_s") < F.col("_out")))
         vs, ve = F.greatest("_s", "in_point"), F.least("_e", "_out")
         level = both.filter(ve - vs > sliver).select(
-            F.lit(depth).alias("depth"), F.concat("path", F.array("nested_id")).alias("path"), F.col("_t").alias("track"), F.col("_id").alias("clip_id"), F.col("_media").alias("media"), F.col("_nest").alias("nested_id"),
+            "sequence_id", F.lit(depth).alias("depth"), F.concat("path", F.array("nested_id")).alias("path"), F.col("_t").alias("track"), F.col("_id").alias("clip_id"), F.col("_media").alias("media"), F.col("_nest").alias("nested_id"),
             (F.col("start") + (vs - F.col("in_point")) / F.col("speed")).alias("start"), (F.col("start") + (ve - F.col("in_point")) / F.col("speed")).alias("end"), (F.col("_i") + (vs - F.col("_s")) * F.col("_v")).alias("in_point"),
             (F.col("speed") * F.col("_v")).alias("speed"), (F.col("reversed") | F.col("_r")).alias("reversed"), (F.col("disabled") | F.col("_d")).alias("disabled"), (F.col("muted") | F.col("_m")).alias("muted"),
         )
@@ -117,13 +120,17 @@ def transcribe_source(flat: DataFrame) -> DataFrame:
 
 
 def free_name(name: str, taken: DataFrame) -> DataFrame:
-    """The first of "name", "name 2", ... that isn't taken (taken: name)."""
-    tried = taken.sparkSession.range(1, 10_001).select("id", F.when(F.col("id") == 1, F.lit(name)).otherwise(F.concat(F.lit(name + " "), F.col("id"))).alias("name"))
-    return tried.join(taken.select("name").distinct(), "name", "left_anti").orderBy("id").limit(1).select("name")
+    """The first of "name", "name 2", "name 3", ... that isn't taken (taken: name), however many are."""
+    number = F.when(F.col("name") == name, F.lit(1)).otherwise(F.expr(f"try_cast(substring(name, {len(name) + 2}) as bigint)"))
+    said = F.when(number == 1, F.lit(name)).otherwise(F.concat(F.lit(f"{name} "), number.cast("string")))
+    used = taken.filter(F.col("name").startswith(name)).select(number.alias("n"), "name").filter((F.col("n") >= 1) & (F.col("name") == said)).select("n").distinct()
+    # numbers without a gap from 1 on are their own ranks; one row for each such name
+    gapless = used.withColumn("_r", F.row_number().over(Window.orderBy("n"))).filter("n = _r").agg((F.coalesce(F.max("n"), F.lit(0)) + 1).alias("n"))
+    return gapless.select(F.when(F.col("n") == 1, F.lit(name)).otherwise(F.concat(F.lit(f"{name} "), F.col("n").cast("string"))).alias("name"))
 
 
 def mix_plan(clips: DataFrame, span: tuple[float, float] | None = None, tolerance: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """What a mix of the live tracks hears: pieces (rec_id, track, media, start, end, from, to, speed, reversed, streams) and inputs (rec_id, media, from, to, streams). Equal pieces are one with several streams; keys are rounded to the tolerance."""
+    """What a mix of the live tracks hears: pieces (rec_id, track, media, start, end, from, to, speed, reversed, streams) and inputs (rec_id, media, from, to, streams). A piece that starts, in the mix and in its media, within the tolerance of one before it (by track, start, end, from, to and speed) and plays at its speed is that one's further stream."""
     live = clips.filter(~F.coalesce("muted", F.lit(False)) & ~F.coalesce("disabled", F.lit(False)) & F.col("media").isNotNull() & ~F.col("media").rlike(NOT_AUDIO) & (F.col("end") - F.col("start") > 0.05))
     live = live.withColumn("speed", clip_speed(F.col("speed"), F.col("start"), F.col("end"), F.col("in_point"), F.col("out_point")))
     live = live.withColumn("out_point", F.when(F.col("out_point") > F.col("in_point"), F.col("out_point")).otherwise(F.col("in_point") + (F.col("end") - F.col("start")) * F.col("speed")))
@@ -132,8 +139,9 @@ def mix_plan(clips: DataFrame, span: tuple[float, float] | None = None, toleranc
     a = F.when(back, F.col("out_point") - (e - F.col("start")) * F.col("speed")).otherwise(F.col("in_point") + (s - F.col("start")) * F.col("speed"))
     b = F.when(back, F.col("out_point") - (s - F.col("start")) * F.col("speed")).otherwise(F.col("in_point") + (e - F.col("start")) * F.col("speed"))
     cut = live.select("rec_id", "track", "media", s.alias("start"), e.alias("end"), a.alias("from"), b.alias("to"), "speed", back.alias("reversed")).filter(F.col("end") - F.col("start") > 0.02)
-    key = ["rec_id", "media", "reversed", F.round(F.col("start") / tolerance).alias("_s"), F.round(F.col("from") / tolerance).alias("_f"), F.round(F.col("speed") * 1000).alias("_v")]
-    pieces = cut.groupBy(*key).agg(F.min("track").alias("track"), *[F.first(c).alias(c) for c in ("start", "end", "from", "to", "speed")], F.count(F.lit(1)).alias("streams")).drop("_s", "_f", "_v")
+    order = ["track", "start", "end", "from", "to", "speed"]
+    met = first_kept(cut, ["rec_id", "media", "reversed"], order, {"start": tolerance, "from": tolerance, "speed": 1e-3})
+    pieces = met.groupBy("rec_id", "media", "reversed", "leader").agg(F.count(F.lit(1)).alias("streams")).select("rec_id", "media", "reversed", "leader.*", "streams")
     inputs = pieces.groupBy("rec_id", "media").agg(F.greatest(F.lit(0.0), F.min("from") - 0.5).alias("from"), (F.max("to") + 0.5).alias("to"), F.max("streams").alias("streams"))
     return pieces, inputs
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as X
@@ -394,7 +394,7 @@ def caption_timing(spark, d):
 
 @_query()
 def overlay_plan(spark, d):
-    frames = captions.caption_frames(_seconds(spark, d), 30.0, max_chars=42, mode="karaoke").withColumn("ord", F.col("caption") * 1000 + F.col("frame"))
+    frames = captions.caption_frames(_seconds(spark, d), 30.0, max_chars=42, mode="karaoke").withColumn("ord", F.row_number().over(Window.partitionBy("rec_id").orderBy("caption", "frame")).cast("long"))
     return captions.overlay_plan(frames, 30.0)
 
 

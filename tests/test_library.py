@@ -89,17 +89,6 @@ def test_two_modes_and_runs():
     assert signal.speech_runs_of(t, np.full(100, -30.0)) == []
 
 
-def test_caption_groups_and_frames(spark):
-    words = timed(["This is a short line.", "Here is another one that is rather longer than the first line was"])
-    got = captions.group(words, fits=lambda a, b: len(" ".join(w["text"] for w in words[a:b])) <= 30)
-    assert got[0] == (0, 5) and [a for a, _ in got[1:]] == [b for _, b in got[:-1]]
-    for fps in (23.976, 25, 29.97, 60):
-        caps = captions.time_groups(words, got, fps)
-        assert all(c["e"] > c["s"] for c in caps) and all(n["s"] - c["e"] >= 2 for c, n in zip(caps, caps[1:], strict=False))
-    out = captions.caption_frames(frame(spark, words), 25.0, max_chars=30, mode="karaoke").collect()
-    assert len(out) == len(words)
-
-
 def test_retakes_and_stumbles(spark):
     words = timed(["so the main point of this video is", "so the main point of this video is saving money early.", "now we go to the next thing entirely"])
     got = retakes.repeated_takes(frame(spark, words)).collect()

@@ -355,8 +355,38 @@ def assign(pairs: DataFrame, least: float = 0.05) -> DataFrame:
     return per_recording(pairs, kernel, "mic string, person string")
 
 
-def listener_bursts_of(regions: list[tuple[int, float, float]], least: float = 0.15, most: float = 1.5, around: float = 2.5) -> list[tuple[int, float, float, int]]:
-    """Short regions inside another's talk: angle, start, end and who talks; the same one must be heard within ``around`` on both sides."""
+def _talkers(regions: list[tuple[int, float, float]], t: np.ndarray) -> np.ndarray:
+    """Who talks at each time, the lowest angle of several; -1: nobody."""
+    out = np.full(len(t), -1)
+    for a in sorted({r[0] for r in regions}, reverse=True):
+        for _, s, e in (r for r in regions if r[0] == a):
+            out[(t >= s - 1e-6) & (t < e - 1e-6)] = a
+    return out
+
+
+def _said_over(own: int, db: dict[int, np.ndarray], talks: np.ndarray, step: float, rise: float) -> list[tuple[float, float, int]]:
+    """Stretches in which a listener's level rises by ``rise`` against the talker's and against its own usual one meanwhile: start, end and who talks."""
+    padded = {a: np.concatenate((x, np.full(len(talks) - len(x), -np.inf))) for a, x in db.items()}
+    hit, mine = np.zeros(len(talks), bool), padded[own]
+    for who in sorted(set(db) - {own}):
+        at = (talks == who) & (mine > -99) & (padded[who] > -99)
+        if at.sum() < 20:
+            continue
+        against, alone = mine[at] - padded[who][at], mine[at]
+        usual, level = (np.sort(x)[len(x) // 2] for x in (against, alone))
+        hit[np.flatnonzero(at)[(against - usual >= rise) & (alone - level >= rise)]] = True
+    over = np.where(hit, talks, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate(([-1], over, [-1]))))
+    return [(a * step, b * step, int(over[a])) for a, b in zip(edge[:-1], edge[1:], strict=True) if over[a] >= 0]
+
+
+def listener_bursts_of(regions: list[tuple[int, float, float]], least: float = 0.15, most: float = 1.5, around: float = 2.5, levels: dict[int, np.ndarray] | None = None, step: float = 0.1, rise: float = 6.0) -> list[tuple[int, float, float, int]]:
+    """Small sounds of those who listen: angle, start, end and who talks.
+
+    Short regions inside another's talk, the same one heard within ``around`` on both sides; and, where the levels of
+    the microphones are known (by angle, one for each ``step``), short rises said over the talker, unless such a
+    region is within 0.3 s.
+    """
 
     def near(t: float, own: int, way: int) -> int | None:
         for d in np.arange(0.05, around + 1e-6, 0.1):
@@ -365,18 +395,38 @@ def listener_bursts_of(regions: list[tuple[int, float, float]], least: float = 0
                 return found[0]
         return None
 
+    fits = lambda s, e: least - 1e-6 <= e - s <= most + 1e-6
     out = []
     for a, s, e in sorted(regions, key=lambda r: (r[1], r[0])):
-        if least - 1e-6 <= e - s <= most + 1e-6:
+        if fits(s, e):
             before, after = near(s, a, -1), near(e, a, 1)
             if before is not None and before == after:
                 out.append((a, s, e, before))
-    return out
+    if levels:
+        n = max(len(x) for x in levels.values())
+        talks = _talkers(regions, np.arange(n) * step + step / 2)
+        for a in sorted(levels):
+            for s, e, over in _said_over(a, levels, talks, step, rise):
+                if fits(s, e) and not any(x[0] == a and x[1] < e + 0.3 and x[2] > s - 0.3 for x in out):
+                    out.append((a, s, e, over))
+    return sorted(out, key=lambda x: (x[0], x[1]))
+
+
+def listener_bursts(regions: DataFrame, levels: DataFrame | None = None, **options) -> DataFrame:
+    """rec_id, angle, start, end, over. regions: rec_id, angle, start, end; levels, where known: rec_id, angle, w (from 0, without gaps), db."""
+    schema = "angle long, start double, end double, over long"
+    of = lambda f: list(f[["angle", "start", "end"]].itertuples(index=False, name=None))
+    if levels is None:
+        return per_recording(regions, lambda f: listener_bursts_of(of(f), **options), schema)
+    kind = regions.schema[KEY].dataType.simpleString()
 
+    def run(r: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        db = {a: g.sort_values("w")["db"].to_numpy(float) for a, g in v.groupby("angle")}
+        out = pd.DataFrame(listener_bursts_of(of(r), levels=db, **options), columns=["angle", "start", "end", "over"])
+        out.insert(0, KEY, (r if len(r) else v)[KEY].iloc[0])
+        return out
 
-def listener_bursts(regions: DataFrame, **options) -> DataFrame:
-    """rec_id, angle, start, end, over. regions: rec_id, angle, start, end."""
-    return per_recording(regions, lambda f: listener_bursts_of(list(f[["angle", "start", "end"]].itertuples(index=False, name=None)), **options), "angle long, start double, end double, over long")
+    return regions.groupBy(KEY).cogroup(levels.groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, {schema}")
 
 
 def reaction_shots(plan: DataFrame, bursts: DataFrame, every: float, **options) -> DataFrame:

@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from chronoweft.plans import catalog, exchange, forms, labels, media, nests  # noqa: F401
+from chronoweft.plans import catalog, exchange, forms, labels, media, nests, observed  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-MODULES = ("chronoweft.plans.exchange", "chronoweft.plans.forms", "chronoweft.plans.nests", "chronoweft.plans.labels", "chronoweft.plans.media")
+MODULES = ("chronoweft.plans.exchange", "chronoweft.plans.forms", "chronoweft.plans.nests", "chronoweft.plans.observed", "chronoweft.plans.labels", "chronoweft.plans.media")
 NAMES = [n for n, q in catalog.QUERIES.items() if n in catalog.ORACLES and (q.__module__ in MODULES or n in ("chapter_titles", "parse_srt", "tfidf_keywords", "interval_overlap_join"))]
 
 

@@ -8,7 +8,7 @@ length bounds and not the corpus.  A round is a job over that table:
    document's successor, the smallest gap that holds it, among the gaps that no longer document took: gaps go on
    a stack, documents take from its top as many sequences as their number needs.  Which of the equal documents
    gets which of the equal sequences follows from their ranks.
-2. What finds nothing in its range is carried into ranges twice as wide, until one range is all.
+2. What finds nothing in its range is carried into one sweep over all that is left of the ranges.
 3. Documents longer than every gap are left over; of those whose length is within ``SPREAD`` of the longest,
    new sequences open for the longest ones, as many as their total length needs at least.
 4. Gaps that were filled in part are there again, smaller, in the next round.
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from chronoweft.llm.store import forget, settle
 from chronoweft.llm.tokens import ids_of
 
-#: Sizes of the narrowest range of a sweep; a task holds the runs of one range.
-RANGE = 1024
+#: Sizes of a range of a sweep; a task holds the runs of one range.
+RANGE = 128
 #: Sequences open in one round only for lengths of at least the longest one's divided by this.
 SPREAD = 1.5
 #: Rounds of a job, between two tables in the shared folder; a round without documents changes nothing.
-ROUNDS = 4
+ROUNDS = 6
 #: Rows of a round's table: documents, gaps, gaps of the next round, placements, and the number of sequences.
 DOCUMENT, GAP, FRESH, PLACED, OPENED = range(5)
 _STATE = "kind int, size int, first long, n long, sequence long, each long, offset int"
@@ -160,7 +160,7 @@ def plan(counts: DataFrame, capacity: int, width: int = RANGE) -> DataFrame:
     levels = max(0, -(-capacity // width) - 1).bit_length()
     while left:
         seen, step = Observation(), state.filter(F.col("kind") != PLACED)
-        for level in [*range(levels + 1)] * ROUNDS:
+        for level in ([0, levels] if levels else [0]) * ROUNDS:
             band = F.shiftright(F.expr(f"greatest(size - 1, 0) div {width}").cast("int"), level)
             step = step.groupBy(band).applyInArrow(_superstep(capacity, level == levels), _STATE)
         state = settle(step.observe(seen, F.count_if(F.col("kind") == DOCUMENT).alias("left")), "packing-rounds")

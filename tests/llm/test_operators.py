@@ -300,6 +300,22 @@ def test_plan_opens_as_many_sequences_as_best_fit(spark):
         assert len(held) == best_fit(lengths, capacity)
 
 
+def test_rounds_of_the_query_are_spread_over_ranges(spark, documents):
+    """At the query's capacity documents of several ranges are matched in tasks of their own."""
+    cut = packing.pieces(documents[1], queries.TOKENIZER, 1024, 2)
+    lengths = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("sequence", "long"), ("each", "long"), ("offset", "int"))]
+    docs = lengths.select(F.lit(packing.DOCUMENT).alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long"), *none)
+    gaps = spark.range(20, 1024, 7).select(F.lit(packing.GAP).alias("kind"), F.col("id").cast("int").alias("size"), F.col("id").alias("first"), F.lit(1).cast("long").alias("n"), *none)
+    state = docs.unionByName(gaps).repartition(2)
+    band = F.expr(f"greatest(size - 1, 0) div {packing.RANGE}")
+    step = state.groupBy(band).applyInArrow(packing._superstep(1024, False), packing._STATE)
+    placed = step.filter(F.col("kind") == packing.PLACED).withColumn("band", band)
+    assert placed.select("band").distinct().count() > 4
+    # a document went to a gap of its own range
+    assert placed.filter(F.expr(f"(1024 - offset - 1) div {packing.RANGE} <> band")).count() == 0
+
+
 def test_packing(documents, hostile, nothing):
     encode = tokens.encoder(queries.TOKENIZER)
     for rows, df in (documents, hostile):

@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions import timecode as T
-from chronoweft.operators import signal, timeline
+from chronoweft.operators import intervals, sequences, signal, speakers, timeline
 from chronoweft.plans import adapters as A
-from chronoweft.plans.catalog import _query
+from chronoweft.plans.catalog import MERGED, _query
 from chronoweft.plans.forms import _MIX, _lum
 from chronoweft.plans.labels import _crop
 
+WORDS, CUES = A.SQL["words"], A.SQL["cues"]
 #: Half a day.
 WINDOW = 43_200_000_000
 _CELLS = f"SELECT user_id AS rec_id, event_type AS mic, epoch_us(ts) // {WINDOW} AS w, CAST(sum(CAST(floor(value + 0.5) AS BIGINT)) AS BIGINT) AS db FROM events GROUP BY ALL"
@@ -106,3 +107,101 @@ def said_names(spark, d):
     pairs = w.withColumn("n", F.lead("text").over(Window.partitionBy("rec_id").orderBy("ord"))).filter("n is not null")
     return pairs.select("rec_id", "ord", signal.track_says(F.concat_ws(" ", "text", "n")).alias("says"))
 
+
+
+# ---- words, cues and cameras -------------------------------------------------------------------
+
+
+_MIDDLE = f"""SELECT rec_id, max(d) FILTER (k = n // 2) AS m FROM (SELECT rec_id, "end" - start AS d, row_number() OVER (PARTITION BY rec_id ORDER BY "end" - start) - 1 AS k, count(*) OVER (PARTITION BY rec_id) AS n FROM ({WORDS}) WHERE "end" > start) GROUP BY rec_id"""
+
+
+@_query(f"""WITH w AS (SELECT w.rec_id, ord, start, "end", least(1400, greatest(300, 1.25 * m)) AS cap, lag("end") OVER o AS prev, lead(start) OVER o AS next FROM ({WORDS}) w JOIN ({_MIDDLE}) m USING (rec_id) WINDOW o AS (PARTITION BY w.rec_id ORDER BY start, "end", ord)),
+ f AS (SELECT *, "end" - start > cap AS long, coalesce(next < "end", false) AS crowded, prev IS NULL OR start - prev > 100 AS alone FROM w)
+ SELECT rec_id, ord, CAST(CASE WHEN long AND NOT crowded AND alone THEN "end" - cap ELSE start END AS DOUBLE) AS start, CAST(CASE WHEN long AND crowded THEN least(start + cap, greatest(next, start + 50)) WHEN long AND NOT alone THEN start + cap ELSE "end" END AS DOUBLE) AS "end" FROM f""")
+def clamped_words(spark, d):
+    """Words longer than a quarter more than the middle one, cut on the side where there is silence."""
+    found = sequences.clamp_words(A.words(spark, d), 300.0, 1400.0, 1.25, 0.0, 100.0, 50.0)
+    return found.select("rec_id", "ord", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+
+
+@_query(f"""WITH c AS (SELECT rec_id, ord, start, "end", lead(start) OVER (PARTITION BY rec_id ORDER BY start, ord) AS next FROM ({CUES})) SELECT rec_id, ord, start, CASE WHEN next > "end" THEN least(next, "end" + 500) ELSE "end" END AS "end" FROM c""")
+def lingering_cues(spark, d):
+    """Turns held until the next one, for half a second at most."""
+    return sequences.fill_gaps(A.cues(spark, d), 500).select("rec_id", "ord", "start", "end")
+
+
+_CAMERAS = "SELECT unnest(['user', 'assistant', 'system']) AS speaker, unnest([1, 0, -1]) AS angle"
+
+
+@_query(f"SELECT rec_id, angle::BIGINT AS angle, start, \"end\" FROM ({CUES}) JOIN ({_CAMERAS}) USING (speaker) WHERE angle >= 0")
+def speaker_regions(spark, d):
+    cameras = spark.createDataFrame([("user", 1), ("assistant", 0), ("system", -1)], "speaker string, angle long")
+    return speakers.cues_to_regions(A.cues(spark, d), cameras)
+
+
+@_query(f"""WITH f AS (SELECT rec_id, speaker, row_number() OVER (PARTITION BY rec_id ORDER BY min(start), speaker) AS place FROM ({CUES}) GROUP BY rec_id, speaker)
+ SELECT rec_id, (place - 1)::BIGINT AS angle, start + 40 AS start, "end" + 40 AS "end" FROM ({CUES}) JOIN f USING (rec_id, speaker) WHERE place <= 2""")
+def voice_regions(spark, d):
+    """Turns on the camera of their speaker's place, two cameras, 40 ms later."""
+    cameras = spark.createDataFrame([(1, 0), (2, 1), (3, -1)], "place int, angle long")
+    found = speakers.voices_to_regions(A.cues(spark, d), cameras, 40)
+    return found.select("rec_id", "angle", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@_query(f"""WITH g AS ({GRIDS}), x AS (SELECT rec_id, a.mic, b.mic AS person, a.db::DOUBLE AS x, b.db::DOUBLE AS y FROM g a JOIN g b USING (rec_id, w) WHERE a.mic < b.mic)
+ SELECT rec_id, mic, person, CAST(round(CASE WHEN count(*) < 3 OR coalesce(var_pop(x), 0) = 0 OR coalesce(var_pop(y), 0) = 0 THEN 0 ELSE corr(x, y) END * 10000) AS BIGINT) AS r FROM x GROUP BY ALL""")
+def level_likeness(spark, d):
+    """How alike the levels of each two microphones of a user are, in ten thousandths."""
+    g = grids(spark, d)
+    a, b = g.select("rec_id", "w", "mic", F.col("db").cast("double").alias("x")), g.select("rec_id", "w", F.col("mic").alias("person"), F.col("db").cast("double").alias("y"))
+    pairs = a.join(b, ["rec_id", "w"]).filter("mic < person")
+    return speakers.pearson(pairs, "x", "y", ["rec_id", "mic", "person"]).select("rec_id", "mic", "person", F.round(F.col("r") * 10000).cast("long").alias("r"))
+
+
+_SECONDS = f'SELECT rec_id, start / 1000000::DOUBLE AS start, "end" / 1000000::DOUBLE AS "end" FROM ({A.SQL["ranges"]}) WHERE "end" / 1000000::DOUBLE - start / 1000000::DOUBLE > 0.02'
+
+
+@_query(f'SELECT rec_id, start, "end" FROM ({MERGED.format(gap=0.04, of=_SECONDS)})')
+def host_ranges(spark, d):
+    """A user's events as a timeline's host joins them."""
+    return timeline.merge_host(A.seconds(A.ranges(spark, d), 1_000_000.0)).select("rec_id", "start", "end")
+
+
+# ---- cuts ----------------------------------------------------------------------------------------
+
+
+def _less(cuts: str, keeps: str, least: int = 1) -> str:
+    """Pieces of cuts (rec_id, ord, start, end) outside keeps that don't overlap: rec_id, ord, start, end, s0 (the cut's start)."""
+    return f"""(WITH c AS ({cuts}), b AS (SELECT c.*, k.start AS ks, k."end" AS ke FROM c LEFT JOIN ({keeps}) k ON k.rec_id = c.rec_id AND k.start < c."end" AND k."end" > c.start),
+ p AS (SELECT rec_id, ord, start AS s0, greatest(start, coalesce(max(ke) OVER w, start)) AS f, ks AS t FROM b WHERE ks IS NOT NULL WINDOW w AS (PARTITION BY rec_id, ord ORDER BY ks ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+   UNION ALL SELECT rec_id, ord, min(start), greatest(min(start), coalesce(max(ke), min(start))), min("end") FROM b GROUP BY rec_id, ord)
+ SELECT rec_id, ord, f AS start, t AS "end", s0 FROM p WHERE t > f AND t - f >= {least})"""
+
+
+_PAUSES = f"""SELECT rec_id, ord, "end" - 300 AS start, next + 300 AS "end" FROM (SELECT rec_id, ord, cue, "end", lead(start) OVER o AS next, lead(cue) OVER o AS later FROM ({WORDS}) WINDOW o AS (PARTITION BY rec_id ORDER BY ord)) WHERE later <> cue"""
+_PADDED = f'SELECT rec_id, start - 200 AS start, "end" + 150 AS "end" FROM ({WORDS})'
+
+
+@_query(f"""WITH l AS (SELECT rec_id FROM ({WORDS}) GROUP BY rec_id HAVING count(*) >= 3), c AS ({_PAUSES})
+ SELECT rec_id, ord, start::BIGINT AS start, "end"::BIGINT AS "end" FROM {_less(f"SELECT * FROM ({_PAUSES}) WHERE rec_id IN (SELECT rec_id FROM l)", MERGED.format(gap=0, of=_PADDED), 200)}
+ UNION ALL SELECT rec_id, ord, start, "end" FROM c WHERE rec_id NOT IN (SELECT rec_id FROM l)""")
+def protected_pauses(spark, d):
+    """Cuts over the pauses between turns, less the words around them and what they need."""
+    w = A.words(spark, d)
+    o = Window.partitionBy("rec_id").orderBy("ord")
+    cuts = w.withColumn("next", F.lead("start").over(o)).withColumn("then", F.lead("cue").over(o)).filter("then <> cue").select("rec_id", "ord", (F.col("end") - 300).alias("start"), (F.col("next") + 300).alias("end"))
+    return intervals.protect_words(cuts, w, 200, 150, 200, 1000).select("rec_id", "ord", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+_CLICKS = f"""SELECT * FROM ({A.SQL['ranges']}) WHERE lane = 'click' AND "end" > start"""
+
+
+@_query(f"""WITH k AS ({MERGED.format(gap=0, of=_CLICKS)}), p AS (SELECT * FROM {_less(f"SELECT rec_id, ord, start, \"end\" FROM ({A.SQL['ranges']}) WHERE lane <> 'click'", MERGED.format(gap=0, of=_CLICKS))}),
+ g AS (SELECT p.*, (SELECT coalesce(sum(k."end" - k.start), 0) FROM k WHERE k.rec_id = p.rec_id AND k."end" <= p.start) AS gone FROM p)
+ SELECT rec_id, ord, (row_number() OVER (PARTITION BY rec_id, ord ORDER BY start))::INTEGER AS part, (start - gone)::BIGINT AS start, ("end" - gone)::BIGINT AS "end", (start - s0)::BIGINT AS in_point FROM g""")
+def cut_clips(spark, d):
+    """A user's other events as clips after its clicks are cut out: split, gaps closed, in points moved."""
+    r = A.ranges(spark, d)
+    clips = r.filter("lane <> 'click'").select("rec_id", "ord", "start", "end", F.lit(0).cast("long").alias("in_point"), F.lit(1).cast("long").alias("speed"))
+    found = timeline.razor_ripple(clips, r.filter("lane = 'click'").select("rec_id", "start", "end"))
+    return found.select("rec_id", "ord", F.col("part").cast("int").alias("part"), *[F.col(c).cast("long").alias(c) for c in ("start", "end", "in_point")])

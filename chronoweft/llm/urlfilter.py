@@ -2,9 +2,10 @@
 
 Lists change over time: an entry (a domain, a host, or a host with its first path segment) is added to a list
 and removed from it on given dates.  These events become validity intervals, and every capture is judged
-against the entries that were active when it was fetched.  This as-of join meets a capture with one row for each
-of its patterns, the pattern's history of intervals, and looks up its fetch time there, so that a capture is not
-joined to every interval, and captures of a frequent host can be dealt to many tasks.
+against the entries that were active when it was fetched.  A capture meets each list that ever held one of its
+patterns once, and a window over interval starts and fetch times finds the last interval of that entry which began
+by then, however many issues the list had.  Patterns of many captures are dealt to several windows, each with the
+pattern's intervals.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from chronoweft.llm.store import settle
 
 #: Scheme, optional user, host in group 1.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+#: Captures of a pattern in a window.
+DEALT = 20_000
 #: The first path segment in group 1.
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
@@ -60,22 +63,18 @@ def judge(captures: DataFrame, valid: DataFrame) -> DataFrame:
     """
     rows = settle(captures.select("capture_id", "url", "fetched_at"), "captures", numbered="_row")
     tries = rows.filter(F.col("fetched_at").isNotNull()).select("_row", "fetched_at", F.explode(patterns_of(F.col("url"))).alias("pattern"))
-    # a row for each pattern; its intervals are as many as its lists' issues
-    history = valid.groupBy("pattern").agg(F.collect_list(F.struct("list", "verdict", "valid_from", "valid_to")).alias("_history"))
-    at = F.col("fetched_at")
-    active = F.filter("_history", lambda e: (e["valid_from"] <= at) & (e["valid_to"].isNull() | (at < e["valid_to"])))
-    rank = F.transform(
-        active,
-        lambda e: F.struct(
-            (-F.length("pattern")).alias("short"),
-            (e["verdict"] != "allow").alias("blocks"),
-            e["list"].alias("list"),
-            e["valid_from"].alias("valid_from"),
-            e["valid_to"].alias("valid_to"),
-            F.col("pattern").alias("pattern"),
-        ),
-    )
-    found = tries.join(history, "pattern").select("_row", F.array_min(rank).alias("first")).filter(F.col("first").isNotNull())
+    entry = ["pattern", "list", "verdict"]
+    crowd = tries.groupBy("pattern").agg(F.ceil(F.count(F.lit(1)) / DEALT).cast("int").alias("parts"))
+    # a row for each list that holds a pattern of the captures
+    lists = settle(valid.select(*entry).distinct().join(crowd, "pattern"), "entries")
+    key = [*entry, "part"]
+    asked = tries.join(lists, "pattern").select(*entry, F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int").alias("part"), F.col("fetched_at").alias("at"), F.lit(1).alias("side"), "_row", F.lit(None).cast("struct<valid_from: bigint, valid_to: bigint>").alias("span"))
+    spans = valid.join(lists, entry).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    known = spans.select(*key, F.col("valid_from").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("_row"), F.struct(F.col("valid_from").cast("long").alias("valid_from"), F.col("valid_to").cast("long").alias("valid_to")).alias("span"))
+    upto = Window.partitionBy(*key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = asked.unionByName(known).withColumn("span", F.last("span", ignorenulls=True).over(upto)).filter("side = 1 and span is not null and (span.valid_to is null or at < span.valid_to)")
+    rank = F.struct((-F.length("pattern")).alias("short"), (F.col("verdict") != "allow").alias("blocks"), F.col("list").alias("list"), F.col("span.valid_from").alias("valid_from"), F.col("span.valid_to").alias("valid_to"), F.col("pattern").alias("pattern"))
+    found = last.select("_row", rank.alias("first"))
     best = found.groupBy("_row").agg(F.min("first").alias("best"))
     return rows.join(best, "_row", "left").select(
         "capture_id", "url", "fetched_at",

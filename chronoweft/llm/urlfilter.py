@@ -18,7 +18,7 @@ from chronoweft.llm.store import settle
 #: Scheme, optional user, host in group 1.
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 #: Captures of a pattern in a window.
-DEALT = 20_000
+DEALT = 500
 #: The first path segment in group 1.
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 

@@ -13,6 +13,7 @@ from chronoweft.functions import text as words_
 from chronoweft.functions import words as lists
 from chronoweft.functions.timecode import NTSC, half_up
 from chronoweft.operators.signal import per_recording
+from chronoweft.sources.folders import spread
 
 KEY = "rec_id"
 # What a caption may hold, in seconds, characters a second and frames.
@@ -192,7 +193,7 @@ def grouped(words: DataFrame, most_words: int = 0, max_chars: int = 0, rules: di
     mixed = rows.groupBy(KEY).agg(F.max(F.col("text").rlike(r"[\x{0900}-\x{097F}]")).alias("deva"), *marks)
     mixed = mixed.select(KEY, (F.col("deva") | ((F.col("hindi") >= 2) & (F.col("hindi") >= 0.6 * F.col("english")))).alias("mixed"))
     dealt = rows.join(mixed, KEY).select(KEY, "k", "start", "end", "text", "room", "h", "mixed").withColumn("_d", F.expr(f"h div {DEALT}"))
-    dealt = dealt.repartition(KEY, "_d").sortWithinPartitions(KEY, "k").drop("_d")
+    dealt = spread(dealt, KEY, "_d").sortWithinPartitions(KEY, "k").drop("_d")
 
     def cut(stretch: list[tuple]) -> list[tuple]:
         """A stretch's rows with whether each begins a caption."""

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from chronoweft.functions.text import sound, spoken_key
 from chronoweft.operators import joins, takes
 from chronoweft.operators.components import components
 from chronoweft.operators.takes import AGREE, BACK, EMPH, FIRST, FILL, GLUE, OPEN, SECOND, SENTENCE, STRONG, WEAK, Phrase
-from chronoweft.sources.folders import settle
+from chronoweft.sources.folders import settle, spread
 
 KEY = "rec_id"
 #: Phrases of a recording whose later retelling is looked for in one task, and phrases looked back at in one step.
@@ -34,6 +35,11 @@ FEATURES = {
 }
 
 
+_INNER = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string())]))
+_KINDS = {"double": pa.float64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_ARROW = [(n, _KINDS.get(t, _INNER)) for n, t in FEATURES.items()]
+
+
 @dataclass(frozen=True)
 class Rules:
     """``keep``: which take stays, the last, the last complete one (best) or the surest (confident). ``people``: one, many or None."""
@@ -112,18 +118,19 @@ def phrases(words: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
     if "speaker" in have:
         fresh = fresh | F.coalesce((before("speaker") != "") & (F.col("speaker") != "") & (before("speaker") != F.col("speaker")), F.lit(False))
     rows = rows.withColumn("r", F.sum(fresh.cast("int")).over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(KEY))).filter(F.col("_n") >= 2 * rules.least)
-    held = rows.groupBy(KEY, "r").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ord", "text", *have))).alias("ws"))
+    held = spread(rows, KEY, "r").groupBy(KEY, "r").agg(F.array_sort(F.collect_list(F.struct("start", "end", "ord", "text", *have))).alias("ws"))
+
+    schema = f"{KEY} {words.schema[KEY].dataType.simpleString()}, r long, part int, {', '.join(f'{n} {t}' for n, t in FEATURES.items())}"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clean = lambda w: {k: None if v is None or v != v else v for k, v in (w if isinstance(w, dict) else w.asDict()).items()}
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for rec, r, ws in zip(part[KEY], part["r"], part["ws"], strict=True):
-                for k, piece in enumerate(takes._split_asides([clean(w) for w in ws], rules.aside_words)):
+            out: list[dict] = []
+            for rec, r, ws in zip(*(part.column(c).to_pylist() for c in (KEY, "r", "ws")), strict=True):
+                for k, piece in enumerate(takes._split_asides(ws, rules.aside_words)):
                     out.append({KEY: rec, "r": r, "part": k} | _features(piece, rules))
-            yield pd.DataFrame(out, columns=[KEY, "r", "part", *FEATURES])
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(KEY, part.schema.field(KEY).type), ("r", pa.int64()), ("part", pa.int32()), *_ARROW]))
 
-    found = held.mapInPandas(run, f"{KEY} {words.schema[KEY].dataType.simpleString()}, r long, part int, {', '.join(f'{n} {t}' for n, t in FEATURES.items())}")
+    found = held.mapInArrow(run, schema)
     each = Window.partitionBy(KEY).orderBy("r", "part")
     found = found.withColumn("p", F.row_number().over(each).cast("long") - 1).withColumn("n_said", F.size("said").cast("long"))
     found = found.withColumn("next_start", F.lead("start").over(each)).withColumn("next_sure", F.lead("head_sure").over(each)).withColumn("cum", F.coalesce(F.sum("n_said").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
@@ -184,12 +191,15 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def links(p: DataFrame, rules: Rules) -> DataFrame:
     """Pairs of phrases that are takes of one line: rec_id, a, b."""
-    left, right = _sides(p, (*_LINE, "open_key", "open_all"))
-    left = left.filter((F.col("a_n_tokens") >= rules.least) & ~_a("nod") & (_a("n_said") > 0)).withColumn("b", F.explode(F.expr(f"sequence(a + 1, a + {rules.window})")))
-    right = right.filter((F.col("b_n_tokens") >= min(rules.least, 2)) & ~_b("nod") & (_b("n_said") > 0))
-    x, y = _a("open_all"), _b("open_all")
-    restarts = F.arrays_overlap(_a("open_key"), y) | ((F.size(x) >= 2) & (F.size(y) >= 2) & (F.get(x, F.lit(0)) == F.get(y, F.lit(0))) & (F.get(x, F.lit(1)) == F.get(y, F.lit(1))))
-    near = left.join(right, [KEY, "b"]).filter((_b("start") - _a("end") <= rules.max_gap) & restarts & _same_line(rules))
+    # both open with one sound, which is no mere joining word in a, or with the same two: they meet by that, in blocks of places
+    two = lambda: F.when(F.size("open_all") >= 2, F.array(F.concat_ws(" ", F.lit("="), F.get("open_all", F.lit(0)), F.get("open_all", F.lit(1))))).otherwise(F.array().cast("array<string>"))
+    block = F.expr(f"p div {rules.window}")
+    fit = p.filter(~F.col("nod") & (F.col("n_said") > 0))
+    first = fit.filter(F.col("n_tokens") >= rules.least).select(KEY, F.col("p").alias("a"), F.array(block, block + 1).alias("blocks"), F.explode(F.array_distinct(F.concat("open_key", two()))).alias("key")).select(KEY, "a", "key", F.explode("blocks").alias("block"))
+    second = fit.filter(F.col("n_tokens") >= min(rules.least, 2)).select(KEY, F.col("p").alias("b"), block.alias("block"), F.explode(F.array_distinct(F.concat("open_all", two()))).alias("key"))
+    met = first.join(second, [KEY, "block", "key"]).filter((F.col("a") < F.col("b")) & (F.col("b") <= F.col("a") + rules.window)).select(KEY, "a", "b").distinct()
+    left, right = _sides(p, _LINE)
+    near = met.join(left, [KEY, "a"]).join(right, [KEY, "b"]).filter((_b("start") - _a("end") <= rules.max_gap) & _same_line(rules))
     near = near.withColumn("strict", _strict(rules)).withColumn("apart", F.col("b") - F.col("a"))
     # words are compared for what is left
     words = p.select(KEY, "p", "said")
@@ -246,13 +256,16 @@ def _retold(rows: list[dict], rules: dict) -> Iterator[tuple[int, list[str], int
                 break
             if b["gone"] or (a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"]) or (b["agrees"] and not a["agrees"]):
                 continue
-            stream: list[str] = []
-            k = j
-            while k < n and len(stream) < size * 1.6 + 4 and (k == j or rows[k]["start"] - rows[k - 1]["end"] <= 3):
-                stream += rows[k]["said"]
+            k, total = j, 0
+            while k < n and total < size * 1.6 + 4 and (k == j or rows[k]["start"] - rows[k - 1]["end"] <= 3):
+                total += len(rows[k]["said"])
                 k += 1
             later = rows[j:k]
-            if len(stream) < size or any(x["negative"] for x in later) != a["negative"] or (a["question"] and not any(x["question"] for x in later)) or (a["asks"] and not any(x["asks"] for x in later)):
+            # no more of its words can be said again in order than are said at all
+            if total < size or sum(any(x in r["heard"] for r in later) for x in a["sounds"]) / size < need:
+                continue
+            stream = [x for r in later for x in r["said"]]
+            if any(x["negative"] for x in later) != a["negative"] or (a["question"] and not any(x["question"] for x in later)) or (a["asks"] and not any(x["asks"] for x in later)):
                 continue
             if takes.common(a["said"], stream) / size < need:
                 continue
@@ -264,7 +277,7 @@ def _retold(rows: list[dict], rules: dict) -> Iterator[tuple[int, list[str], int
 
 def _abandoned(p: DataFrame, gone: DataFrame, rules: Rules) -> DataFrame:
     """Takes whose words are said again later, split otherwise, and small phrases around them."""
-    marked = settle(p.select(KEY, "p", "start", "end", "said", "speaker", "agrees", "negative", "question", "asks", "ended", "nod", "n_said", "cum", "next_start").join(gone.select(KEY, "p", F.lit(True).alias("_g")), [KEY, "p"], "left").withColumn("gone", F.coalesce("_g", F.lit(False))).drop("_g"), "phrases")
+    marked = settle(p.select(KEY, "p", "start", "end", "said", "sounds", "speaker", "agrees", "negative", "question", "asks", "ended", "nod", "n_said", "cum", "next_start").join(gone.select(KEY, "p", F.lit(True).alias("_g")), [KEY, "p"], "left").withColumn("gone", F.coalesce("_g", F.lit(False))).drop("_g"), "phrases")
     # of each chunk: how far it has to see in time, and then in words
     seen = marked.withColumn("chunk", F.expr(f"p div {CHUNK}")).filter("not gone and not nod and n_said >= 5")
     chunks = seen.groupBy(KEY, "chunk").agg((F.max("end") + max(rules.max_gap, rules.far)).alias("t"), (F.max("n_said") * 2 + 8).alias("need"))
@@ -275,15 +288,16 @@ def _abandoned(p: DataFrame, gone: DataFrame, rules: Rules) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("p")
-        frame["said"] = frame["said"].map(list)
+        frame["said"], frame["sounds"] = frame["said"].map(list), frame["sounds"].map(list)
         rows = frame.to_dict("records")
         for r in rows:
             r["speaker"] = r["speaker"] if isinstance(r["speaker"], str) else None
+            r["heard"] = frozenset(r["sounds"])
         out = pd.DataFrame(list(_retold(rows, options)), columns=["i", "stream", "t"])
         out.insert(0, KEY, frame[KEY].iloc[0])
         return out.astype({"t": "Int64"})
 
-    told = settle(dealt.groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, i long, stream array<string>, t long"), "retold")
+    told = settle(spread(dealt, KEY, "chunk").groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, i long, stream array<string>, t long"), "retold")
     why = lambda rows, reason, rank: rows.select(KEY, "p", F.lit(reason).alias("why"), F.lit(rank).alias("rank"))
     cut = why(told.select(KEY, F.col("i").alias("p")), "abandoned take", 2).unionByName(why(told.filter("t is not null").select(KEY, F.col("t").alias("p")), "abandoned take", 2))
     behind = told.filter("t is not null").select(KEY, F.col("t").alias("p"), F.lit(True).alias("_t"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoweft.functions import text as X
 from chronoweft.functions import timecode as T
-from chronoweft.operators import captions, highlights, retakes, script, sequences, signal, speakers, takes
+from chronoweft.operators import highlights, retakes, script, sequences, signal, speakers, takes
 
 
 def one(spark, value, *columns):

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from chronoweft.llm import decontaminate, divergence, lexical, periodic, queries
-from tests.llm.test_operators import documents, hostile, nothing, plain  # noqa: F401
+from tests.llm.test_operators import documents, hostile, nothing  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

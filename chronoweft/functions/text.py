@@ -419,6 +419,18 @@ def visible(text: str) -> float:
     return sum(1.1 if re.search("[ऀ-ॿ]", c) else 1.0 for c in clusters(text))
 
 
+def visible_upto(text: str) -> list[float | None]:
+    """Width of what stands before each place of a text, its end included; None inside a cluster."""
+    if text.isascii():
+        return [float(k) for k in range(len(text) + 1)]
+    out: list[float | None] = [0.0]
+    width = 0.0
+    for c in clusters(text):
+        width += 1.1 if re.search("[ऀ-ॿ]", c) else 1.0
+        out += [None] * (len(c) - 1) + [width]
+    return out
+
+
 graphemes = F.pandas_udf(lambda s: s.map(clusters), T.ArrayType(T.StringType()))
 visible_length = F.pandas_udf(lambda s: s.map(visible).astype(float), T.DoubleType())
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -453,17 +454,26 @@ def respread(words: DataFrame, short: float = 0.07, long: float = 1.0, least: in
 def two_lines(text: str, per_line: int = 42) -> str:
     """A subtitle in at most two lines, broken where it reads best."""
     ws = (text or "").split()
-    if len(ws) < 2 or words_.visible(" ".join(ws)) <= per_line:
-        return " ".join(ws)
-    mixed = hinglish(ws)
-
-    def score(k: int) -> float:
-        top, low = words_.visible(" ".join(ws[:k])), words_.visible(" ".join(ws[k:]))
+    whole = " ".join(ws)
+    if len(ws) < 2 or words_.visible(whole) <= per_line:
+        return whole
+    mixed, upto, ends = hinglish(ws), words_.visible_upto(whole), list(accumulate(len(w) + 1 for w in ws))
+
+    def score(k: int, cost: float) -> float:
+        at = ends[k - 1]
+        # a mark that joins the space before it: measured as it stands
+        apart = upto[at - 1] is not None and upto[at] is not None
+        top, low = (upto[at - 1], upto[-1] - upto[at]) if apart else (words_.visible(whole[: at - 1]), words_.visible(whole[at:]))
+        return (max(0, top - per_line) + max(0, low - per_line)) * 10 + cost + abs(top - 0.95 * low) / per_line * 6 + (4 if k in (1, len(ws) - 1) and len(ws) >= 3 else 0)
+
+    best = (math.inf, 0)
+    # those that are best without their break's cost come first, so that few costs are needed
+    for least, k in sorted((score(k, 0), k) for k in range(1, len(ws))):
+        if least > best[0]:
+            break
         cost = break_cost(ws[k - 1], ws[k], mixed)
-        return (max(0, top - per_line) + max(0, low - per_line)) * 10 + (100 if cost == math.inf else 2 * cost) + abs(top - 0.95 * low) / per_line * 6 + (4 if k in (1, len(ws) - 1) and len(ws) >= 3 else 0)
-
-    k = min(range(1, len(ws)), key=score)
-    return " ".join(ws[:k]) + "\n" + " ".join(ws[k:])
+        best = min(best, (score(k, 100 if cost == math.inf else 2 * cost), k))
+    return " ".join(ws[: best[1]]) + "\n" + " ".join(ws[best[1] :])
 
 
 wrap_two = lambda per_line=42: F.pandas_udf(lambda s: s.map(lambda t: two_lines(t, per_line)), "string")
@@ -528,6 +538,7 @@ def native_subtitles(cues: DataFrame, fps: float = 25.0, per_line: int = 42) ->
     upto = F.least(want, nxt - gap)
     end = F.when(nxt.isNull(), want).when(nxt - upto < half, nxt - gap).otherwise(upto)
     out = rows.withColumn("e", F.greatest(end, F.col("s") + 1).cast("long")).withColumn("i", F.row_number().over(Window.partitionBy(KEY).orderBy("_p")).cast("long"))
+    out = spread(out.select(KEY, "i", "s", "e", "text"), KEY, "i")
     return out.select(KEY, "i", "s", "e", (F.col("s") / F.lit(f)).alias("start"), (F.col("e") / F.lit(f)).alias("end"), wrap_two(per_line)("text").alias("text"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -113,6 +114,21 @@ def strip_punctuation(word: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(word), r"""^[\s"'“”‘’(\[{¿¡]+""", ""), r"""[\s"'“”‘’.,!?;:)\]}…—–]+$""", "")
 
 
+#: Letters whose capital is written with several; alone they have a capital of one letter, or none.
+_WIDE = "".join(c for c in map(chr, range(0x110000)) if len(c.upper()) > 1)
+_NARROW = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _WIDE)
+
+
+def raised(letter: Column) -> Column:
+    """A letter's capital, one letter as well."""
+    return F.when(F.length(F.upper(letter)) > 1, F.translate(letter, _WIDE, _NARROW)).otherwise(F.upper(letter))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once for all its uses, those inside of lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def case_word(word: Column | str, mode: str) -> Column:
     w = _c(word)
     if mode in ("lower", "sentence"):
@@ -127,8 +143,9 @@ def case_words(array: Column, mode: str) -> Column:
     cased = F.transform(array, lambda w: case_word(w, mode))
     if mode != "sentence":
         return cased
-    first = F.array_position(F.transform(cased, lambda w: w.rlike("[A-Za-z]")), True)
-    return F.transform(cased, lambda w, k: F.when(k + 1 == first, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))).otherwise(w))
+    place = lambda ws: F.array_position(F.transform(ws, lambda w: w.rlike("[A-Za-z]")), True)
+    head = lambda w: F.concat(raised(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+    return _once(cased, lambda ws: _once(place(ws), lambda first: F.transform(ws, lambda w, k: F.when(k + 1 == first, head(w)).otherwise(w))))
 
 
 def censor(word: Column | str, listed: list[str] | None = None) -> Column:

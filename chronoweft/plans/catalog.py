@@ -75,10 +75,9 @@ SHORT = f"""SELECT rec_id, start - coalesce(sum(gone) OVER (PARTITION BY rec_id
 def shortened_timeline(spark, d):
     """What is left when every stretch of an hour or more without activity is cut: each active stretch on the new clock."""
     r = A.ranges(spark, d)
-    active = intervals.merge(r).withColumn("ord", F.col("start"))
-    dead = intervals.complement(r, _totals(r), HOUR)
-    moved = intervals.ripple(active, dead, kind="lines", floor=0, slack=0)
-    return moved.select("rec_id", F.col("start").cast("long").alias("new_start"), (F.col("end") - F.col("start")).cast("long").alias("length"), (F.col("ord") - F.col("start")).cast("long").alias("removed"))
+    # no cut reaches into an active stretch, so that both its ends slide alike, and one of no length between two cuts stays
+    moved = intervals.removed_before(intervals.merge(r), intervals.complement(r, _totals(r), HOUR), "start")
+    return moved.select("rec_id", (F.col("start") - F.col("removed")).cast("long").alias("new_start"), (F.col("end") - F.col("start")).cast("long").alias("length"), F.col("removed").cast("long").alias("removed"))
 
 
 @_query(f"""WITH r AS ({A.SQL['ranges']}), k AS ({_merged(f"SELECT * FROM ({A.SQL['ranges']}) WHERE lane = 'click'")}), c AS (SELECT * FROM r WHERE lane <> 'click'),

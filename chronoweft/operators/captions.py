@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -31,12 +32,14 @@ def _frame(x: float) -> int:
     return math.floor(x + 0.5)
 
 
+@lru_cache(1 << 16)
 def _bare(w: str) -> str:
     import re
 
     return re.sub("[^a-z0-9'ऀ-ॣ०-ॿ]", "", (w or "").lower())
 
 
+@lru_cache(1 << 16)
 def sentence_end(word: str) -> bool:
     import re
 
@@ -122,17 +125,33 @@ def _split(words: list[dict], a: int, b: int, most_words: int, fits: Callable[[i
     if groups == 1:
         return [(a, b)]
     mean = width[n] / groups
+    # steps from the start and to the end: a place takes part only in those counts of captions that can go on to both
+    ahead, behind = [0] + [n + 1] * n, [n + 1] * n + [0]
+    for y in range(1, n + 1):
+        ahead[y] = min(ahead[x] for x in allowed[y]) + 1
+    for y in range(n, 0, -1):
+        for x in allowed[y]:
+            behind[x] = min(behind[x], behind[y] + 1)
+
+    def terms(x: int, y: int) -> tuple[float, float, float]:
+        uneven = (width[y] - width[x] - mean) / max(1.0, mean)
+        return 2 * uneven * uneven, 4.0 if y - x == 1 and most_words != 1 else 0.0, reading(x, y)
+
+    parts = [[terms(x, y) for x in allowed[y]] if ahead[y] + behind[y] <= groups else [] for y in range(n + 1)]
     table: list[list[tuple | None]] = [[None] * (n + 1) for _ in range(groups + 1)]
     table[0][0] = (0, 0.0, -1)
+    takes_part: list[list[int]] = [[] for _ in range(groups + 1)]
+    for y in range(1, n + 1):
+        for g in range(ahead[y], min(groups - behind[y], y) + 1):
+            takes_part[g].append(y)
     for g in range(1, groups + 1):
-        for y in range(1, n + 1):
+        for y in takes_part[g]:
             best = None
-            for x in allowed[y]:
+            for x, (even, single, fast) in zip(allowed[y], parts[y], strict=True):
                 last = table[g - 1][x]
                 if last is None:
                     continue
-                uneven = (width[y] - width[x] - mean) / max(1.0, mean)
-                c = last[1] + (soft[x] if x else 0.0) + 2 * uneven * uneven + (4.0 if y - x == 1 and most_words != 1 else 0.0) + reading(x, y)
+                c = last[1] + (soft[x] if x else 0.0) + even + single + fast
                 f = last[0] + (wrong[x] if x else 0)
                 if best is None or f < best[0] or (f == best[0] and c < best[1] - 1e-12):
                     best = (f, c, x)
@@ -225,7 +244,7 @@ def grouped(words: DataFrame, most_words: int = 0, max_chars: int = 0, rules: di
 
 def caption_groups(words: DataFrame, most_words: int = 0, max_chars: int = 0) -> DataFrame:
     """rec_id, caption, start, end, text, n. words: rec_id, ord, start, end, text, speaker (optional)."""
-    of = grouped(words, most_words, max_chars).groupBy(KEY, "caption").agg(F.min_by("start", "k").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("ws"), F.count(F.lit(1)).alias("n"))
+    of = grouped(words, most_words, max_chars).groupBy(KEY, "caption").agg(F.min_by("start", "k").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("k", "text"))).alias("ws"), F.count(F.lit(1)).alias("n"))
     return of.select(KEY, "caption", "start", F.greatest("end", "start").alias("end"), F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"), "n")
 
 
@@ -242,7 +261,7 @@ def timed(groups: DataFrame, fps: float, rules: dict | None = None) -> DataFrame
     order = Window.partitionBy(KEY).orderBy("k")
     off = F.col("k") + gap * F.col("caption")
     rows = groups.withColumn("_at", off + F.max(frame(F.col("start")) - off).over(order))
-    one = rows.groupBy(KEY, "caption").agg(F.array_sort(F.collect_list(F.struct("k", "text", F.col("_at").alias("at")))).alias("ws"), F.min("_at").alias("s"), F.max("_at").alias("last"), F.max_by("end", "k").alias("end"))
+    one = rows.groupBy(KEY, "caption").agg(F.sort_array(F.collect_list(F.struct("k", "text", F.col("_at").alias("at")))).alias("ws"), F.min("_at").alias("s"), F.max("_at").alias("last"), F.max_by("end", "k").alias("end"))
     one = one.withColumn("words", F.transform("ws", lambda w: w["text"])).withColumn("at", F.transform("ws", lambda w: w["at"]))
     one = one.withColumn("spoken", F.greatest(F.col("last") + 1, frame(F.col("end")))).withColumn("_t", F.array_join("words", " "))
     seen = F.when(F.size("words") > 1, math.ceil(rules["least_many"] * f - 1e-6)).otherwise(math.ceil(rules["least_one"] * f - 1e-6))
@@ -542,23 +561,31 @@ def native_subtitles(cues: DataFrame, fps: float = 25.0, per_line: int = 42) ->
     return out.select(KEY, "i", "s", "e", (F.col("s") / F.lit(f)).alias("start"), (F.col("e") / F.lit(f)).alias("end"), wrap_two(per_line)("text").alias("text"))
 
 
+def look_key(look: list[str]) -> Column:
+    """32 bytes that tell looks apart."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*look)), 256))
+
+
 def overlay_plan(frames: DataFrame, fps: float = 30.0, look: list[str] | None = None, tail: float = 0.2) -> DataFrame:
     """Frames as a run-length timeline of distinct looks: rec_id, segment, state (-1: nothing), frames. A look is the columns ``look``; states are numbered as they first appear. An empty tail ends it."""
     look = look or ["words", "active", "reveal"]
     w = Window.partitionBy(KEY).orderBy("_s", "_o")
-    rows = frames.withColumn("_s", F.greatest(F.col("start"), F.lit(0))).withColumn("_o", F.col("ord")).withColumn("_key", F.to_json(F.struct(*look)))
+    # sorted and compared by the place and a digest of the look, not by the look itself
+    rows = frames.select(KEY, F.greatest(F.col("start"), F.lit(0)).alias("_s"), F.col("end"), F.col("ord").alias("_o"), look_key(look).alias("_key"))
     nxt = F.lead("_s").over(w)
     end = F.least(F.col("end"), F.coalesce(nxt, F.col("end")))
     end = F.when(end <= F.col("_s"), F.least(F.col("_s") + 0.04, F.coalesce(nxt, F.col("_s") + 0.04))).otherwise(end)
     rows = rows.withColumn("_a", half_up(F.col("_s") * fps)).withColumn("_b", half_up(end * fps))
     before = F.coalesce(F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shown = rows.withColumn("_cursor", before).withColumn("_a", F.greatest("_a", "_cursor")).filter("_b > _a")
-    first = F.min(F.struct("_a", "_o")).over(Window.partitionBy(KEY, "_key"))
+    # what is shown lies apart and in order, so that the one before ends where the gap begins, and the last one ends it all
+    shown = shown.withColumn("_c", F.coalesce(F.lag("_b").over(w), F.lit(0))).withColumn("_last", F.lead("_b").over(w).isNull()).select(KEY, "_key", "_a", "_b", "_c", "_last")
+    first = F.min("_a").over(Window.partitionBy(KEY, "_key"))
     shown = shown.withColumn("_first", first).withColumn("state", (F.dense_rank().over(Window.partitionBy(KEY).orderBy("_first")) - 1).cast("long"))
-    cursor = F.coalesce(F.max("_b").over(Window.partitionBy(KEY).orderBy("_a", "_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = shown.withColumn("_c", cursor).select(KEY, F.explode(F.array(F.struct(F.col("_c").alias("at"), F.lit(-1).cast("long").alias("state"), (F.col("_a") - F.col("_c")).alias("n")), F.struct(F.col("_a").alias("at"), F.col("state").alias("state"), (F.col("_b") - F.col("_a")).alias("n")))).alias("p")).select(KEY, "p.*").filter("n > 0")
-    last = shown.groupBy(KEY).agg(F.max("_b").alias("at")).select(KEY, "at", F.lit(-1).cast("long").alias("state"), F.lit(max(1, _frame(tail * fps))).cast("long").alias("n"))
-    all_ = parts.unionByName(last)
+    part = lambda at, state, n: F.struct(at.alias("at"), state.alias("state"), n.cast("long").alias("n"))
+    none = F.lit(-1).cast("long")
+    each = F.array(part(F.col("_c"), none, F.col("_a") - F.col("_c")), part(F.col("_a"), F.col("state"), F.col("_b") - F.col("_a")), part(F.col("_b"), none, F.when(F.col("_last"), F.lit(max(1, _frame(tail * fps))))))
+    all_ = shown.select(KEY, F.explode(each).alias("p")).select(KEY, "p.*").filter("n > 0")
     fresh = F.when(F.lag("state").over(Window.partitionBy(KEY).orderBy("at")) == F.col("state"), 0).otherwise(1)
     runs = all_.withColumn("_new", fresh).withColumn("segment", F.sum("_new").over(Window.partitionBy(KEY).orderBy("at")))
     return runs.groupBy(KEY, "segment", "state").agg(F.sum("n").cast("long").alias("frames")).select(KEY, F.col("segment").cast("long").alias("segment"), "state", "frames")

@@ -50,7 +50,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as cues."""
     w = words(spark, sf_dir)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ")
     return w.groupBy("rec_id", F.col("cue").alias("ord")).agg(F.min("start").alias("start"), F.max("end").alias("end"), text.alias("text"), F.min("speaker").alias("speaker"))
 
 

@@ -393,8 +393,10 @@ def caption_timing(spark, d):
 
 @_query()
 def overlay_plan(spark, d):
-    frames = captions.caption_frames(_seconds(spark, d), 30.0, max_chars=42, mode="karaoke").withColumn("ord", F.row_number().over(Window.partitionBy("rec_id").orderBy("caption", "frame")).cast("long"))
-    return captions.overlay_plan(frames, 30.0)
+    frames = captions.caption_frames(_seconds(spark, d), 30.0, max_chars=42, mode="karaoke")
+    frames = frames.select("rec_id", "caption", "frame", "start", "end", captions.look_key(["words", "active", "reveal"]).alias("look"))
+    frames = frames.withColumn("ord", F.row_number().over(Window.partitionBy("rec_id").orderBy("caption", "frame")).cast("long"))
+    return captions.overlay_plan(frames, 30.0, ["look"])
 
 
 @_query()

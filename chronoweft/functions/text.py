@@ -90,8 +90,10 @@ def topic_word(word: Column | str) -> Column:
 
 def topic_words(text: Column | str, stop: list[str] | None = None) -> Column:
     """Words that can name a topic: no glue words, no contractions, four Latin letters or two others at least."""
-    parts = F.transform(F.split(_c(text), r"\s+"), topic_word)
-    long = lambda t: F.when(t.rlike("^[a-z0-9']+$"), F.length(t) >= 4).otherwise(F.length(t) >= 2)
+    # all words are cleaned in one text: what is in none goes, then apostrophes at their ends
+    clean = F.regexp_replace(F.lower(_c(text)), rf"[^{_KEY}\s]+", "")
+    parts = F.split(F.regexp_replace(clean, r"(?<!\S)'++|(?<!')'++(?!\S)", ""), r"\s+")
+    long = lambda t: F.length(t) >= F.when(F.octet_length(t) == F.length(t), 4).otherwise(2)
     return F.filter(parts, lambda t: (t != "") & ~_among(t, stop or lists.TOPIC_STOP) & ~t.contains("'") & long(t))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from chronoweft.functions.text import sound, spoken_key
 from chronoweft.operators import joins, takes
 from chronoweft.operators.components import components
+from chronoweft.operators.signal import records
 from chronoweft.operators.takes import AGREE, BACK, EMPH, FIRST, FILL, GLUE, OPEN, SECOND, SENTENCE, STRONG, WEAK, Phrase
 from chronoweft.sources.folders import settle, spread
 
@@ -67,12 +68,15 @@ class Rules:
 def _inner(words: list[dict], rules: Rules) -> list[dict]:
     """Words of a phrase said twice in a row: the first saying of each."""
     t = [(x, k) for x, k in ((spoken_key(w["text"]), k) for k, w in enumerate(words)) if x and x not in FILL]
+    keys = [x for x, _ in t]
     out, at = [], 0
     while at < len(t):
         hit = 0
         for n in range(min(6, (len(t) - at - 1) // 2), max(2, rules.least - 1) - 1, -1):
-            unit = [x for x, _ in t[at : at + n]]
-            if unit != [x for x, _ in t[at + n : at + 2 * n]] or len(set(unit)) < 2 or all(x in EMPH or x in AGREE or x in BACK for x in unit):
+            if keys[at] != keys[at + n]:
+                continue
+            unit = keys[at : at + n]
+            if unit != keys[at + n : at + 2 * n] or len(set(unit)) < 2 or all(x in EMPH or x in AGREE or x in BACK for x in unit):
                 continue
             if not takes.is_remark(unit, words[t[at + n - 1][1]]["text"], words[t[at + 2 * n - 1][1]]["text"]):
                 hit = n
@@ -125,7 +129,7 @@ def phrases(words: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out: list[dict] = []
-            for rec, r, ws in zip(*(part.column(c).to_pylist() for c in (KEY, "r", "ws")), strict=True):
+            for rec, r, ws in zip(part.column(KEY).to_pylist(), part.column("r").to_pylist(), records(part.column("ws")), strict=True):
                 for k, piece in enumerate(takes._split_asides(ws, rules.aside_words)):
                     out.append({KEY: rec, "r": r, "part": k} | _features(piece, rules))
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(KEY, part.schema.field(KEY).type), ("r", pa.int64()), ("part", pa.int32()), *_ARROW]))
@@ -244,26 +248,38 @@ def _false_starts(p: DataFrame, gone: DataFrame, rules: Rules) -> DataFrame:
 
 
 def _retold(rows: list[dict], rules: dict) -> Iterator[tuple[int, list[str], int | None]]:
-    """Own phrases of a chunk (in order, with those that follow) that a later stretch says again: number, the stretch, and the small phrase behind that goes too."""
+    """Own phrases of a chunk (in order, with those that follow) that a later stretch says again: number, the stretch, and the small phrase behind that goes too.
+
+    Which of a phrase's words a later one says is one whole number, with a bit for each, found once for the two.
+    """
     n = len(rows)
     for i, a in enumerate(rows):
         if not a["own"] or a["gone"] or a["nod"] or len(a["said"]) < 5:
             continue
         size, need = len(a["said"]), 0.82 if a["ended"] else 0.75
+        bits: dict[str, int] = {}
+        for q, x in enumerate(a["sounds"]):
+            bits[x] = bits.get(x, 0) | 1 << q
+        met: dict[int, int] = {}
         for j in range(i + 1, n):
             b = rows[j]
             if b["start"] - a["end"] > max(rules["max_gap"], rules["far"]):
                 break
             if b["gone"] or (a["speaker"] and b["speaker"] and a["speaker"] != b["speaker"]) or (b["agrees"] and not a["agrees"]):
                 continue
-            k, total = j, 0
+            k, total, again = j, 0, 0
             while k < n and total < size * 1.6 + 4 and (k == j or rows[k]["start"] - rows[k - 1]["end"] <= 3):
                 total += len(rows[k]["said"])
+                if k not in met:
+                    met[k] = 0
+                    for x in bits.keys() & rows[k]["heard"]:
+                        met[k] |= bits[x]
+                again |= met[k]
                 k += 1
-            later = rows[j:k]
             # no more of its words can be said again in order than are said at all
-            if total < size or sum(any(x in r["heard"] for r in later) for x in a["sounds"]) / size < need:
+            if total < size or again.bit_count() / size < need:
                 continue
+            later = rows[j:k]
             stream = [x for r in later for x in r["said"]]
             if any(x["negative"] for x in later) != a["negative"] or (a["question"] and not any(x["question"] for x in later)) or (a["asks"] and not any(x["asks"] for x in later)):
                 continue
@@ -283,21 +299,18 @@ def _abandoned(p: DataFrame, gone: DataFrame, rules: Rules) -> DataFrame:
     chunks = seen.groupBy(KEY, "chunk").agg((F.max("end") + max(rules.max_gap, rules.far)).alias("t"), (F.max("n_said") * 2 + 8).alias("need"))
     chunks = joins.as_of(chunks, marked.select(KEY, "start", "p", "cum"), "t", "start", ["p", "cum"]).withColumn("upto", F.col("cum") + F.col("need")).drop("p", "cum", "t")
     chunks = joins.as_of(chunks, marked.select(KEY, F.col("cum").alias("at"), "p"), "upto", "at", ["p"])
-    dealt = chunks.select(KEY, "chunk", F.explode(F.expr(f"sequence(chunk * {CHUNK}, greatest(p, chunk * {CHUNK}))")).alias("p")).join(marked, [KEY, "p"]).withColumn("own", F.expr(f"p div {CHUNK} = chunk"))
+    dealt = chunks.select(KEY, "chunk", F.explode(F.expr(f"sequence(chunk * {CHUNK}, greatest(p, chunk * {CHUNK}))")).alias("p")).join(marked.drop("n_said", "cum", "next_start"), [KEY, "p"]).withColumn("own", F.expr(f"p div {CHUNK} = chunk"))
     kind, options = p.schema[KEY].dataType.simpleString(), asdict(rules)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("p")
-        frame["said"], frame["sounds"] = frame["said"].map(list), frame["sounds"].map(list)
-        rows = frame.to_dict("records")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        # by columns of Arrow: as pandas, a small chunk took longer to convert than to go through
+        rows = table.sort_by("p").to_pylist()
         for r in rows:
-            r["speaker"] = r["speaker"] if isinstance(r["speaker"], str) else None
             r["heard"] = frozenset(r["sounds"])
-        out = pd.DataFrame(list(_retold(rows, options)), columns=["i", "stream", "t"])
-        out.insert(0, KEY, frame[KEY].iloc[0])
-        return out.astype({"t": "Int64"})
+        found = list(zip(*_retold(rows, options), strict=True)) or [(), (), ()]
+        return pa.table({KEY: pa.array([key[0].as_py()] * len(found[0]), table.schema.field(KEY).type), "i": pa.array(found[0], pa.int64()), "stream": pa.array(found[1], pa.list_(pa.string())), "t": pa.array(found[2], pa.int64())})
 
-    told = settle(spread(dealt, KEY, "chunk").groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, i long, stream array<string>, t long"), "retold")
+    told = settle(spread(dealt, KEY, "chunk").groupBy(KEY, "chunk").applyInArrow(run, f"{KEY} {kind}, i long, stream array<string>, t long"), "retold")
     why = lambda rows, reason, rank: rows.select(KEY, "p", F.lit(reason).alias("why"), F.lit(rank).alias("rank"))
     cut = why(told.select(KEY, F.col("i").alias("p")), "abandoned take", 2).unionByName(why(told.filter("t is not null").select(KEY, F.col("t").alias("p")), "abandoned take", 2))
     behind = told.filter("t is not null").select(KEY, F.col("t").alias("p"), F.lit(True).alias("_t"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -370,6 +371,22 @@ def bursts_of(t: np.ndarray, db: np.ndarray, share: float = 0.4, offset: float =
     return starts
 
 
+def values(column: pa.Array | pa.ChunkedArray) -> list:
+    """A column as Python's values: null is None."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    plain = not c.null_count or pa.types.is_string(c.type)
+    return c.to_numpy(zero_copy_only=False).tolist() if plain and not pa.types.is_nested(c.type) and not pa.types.is_temporal(c.type) else c.to_pylist()
+
+
+def records(column: pa.ListArray) -> list[list[dict]]:
+    """Lists of structs as lists of dicts, made from the fields' columns instead of from each struct by itself. No list may be null."""
+    flat = column.flatten()
+    names = [f.name for f in flat.type]
+    rows = [dict(zip(names, v, strict=True)) for v in zip(*(values(x) for x in flat.flatten()), strict=True)]
+    ends = [0, *np.cumsum(column.value_lengths().to_numpy()).tolist()]
+    return [rows[a:b] for a, b in pairwise(ends)]
+
+
 def per_recording(rows: DataFrame, kernel, schema: str) -> DataFrame:
     """Apply a kernel on the frame of each recording; it returns a list of tuples without the key. The key's type stays."""
     kind = rows.schema[KEY].dataType.simpleString()

@@ -170,9 +170,9 @@ def _split_asides(words: list[dict], most: int) -> list[list[dict]]:
     """A phrase that turns into "wait, let me do that again", in two."""
     t = [spoken_key(w["text"]) for w in words]
     for k in range(2, len(t) - 1):
-        tail = t[k:]
-        if t[k] not in RETRY or len(tail) > most:
+        if t[k] not in RETRY or len(t) - k > most:
             continue
+        tail = t[k:]
         chat = sum(x in STRONG or x in WEAK for x in tail)
         if (any(x in AGAIN for x in tail) or _has_chat(tail)) and chat / len(tail) >= 0.75:
             return [words[:k], words[k:]]

@@ -20,6 +20,8 @@ from chronoweft.functions import words as lists
 
 LETTERS = r"A-Za-z0-9_\x{0900}-\x{0963}\x{0966}-\x{097F}"
 _KEY = r"a-z0-9'\x{0900}-\x{0963}\x{0966}-\x{097F}"
+#: The same in Python's patterns.
+PLAIN_KEY = "a-z0-9'\u0900-\u0963\u0966-\u097f"
 _CURLY = "‘’ʼ`"
 
 

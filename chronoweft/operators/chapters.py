@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +20,65 @@ from chronoweft.sources.folders import settle
 KEY = "rec_id"
 
 
+#: Different words counted together before they are passed on.
+COUNTED = 300_000
+
+
+def _counted(stop: list[str], min_length: int, numbers: bool, apart: bool) -> Callable:
+    """Keywords of cues (key, cue, lower-case text) as rows key, cue, word, tf, df: those of many cues added up, or with ``apart`` each cue by itself."""
+    left_out, cut = frozenset(stop), re.compile(f"[^{X.PLAIN_KEY}]+")
+
+    def word(raw: str) -> str | None:
+        w = raw.strip("'")
+        return w if w and w not in left_out and (numbers if "0" <= w[0] <= "9" else len(w.replace("'", "")) >= min_length) else None
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tf, df, known, kinds = Counter(), Counter(), {}, None
+
+        def rows() -> pa.RecordBatch:
+            keys, cues, words = zip(*tf, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(keys, kinds[0]), pa.array(cues, kinds[1]), pa.array(words, pa.string()), pa.array(tf.values(), pa.int64()), pa.array(map(df.__getitem__, tf), pa.int64())], names=[KEY, "cue", "word", "tf", "df"])
+            tf.clear(), df.clear(), known.clear()
+            return out
+
+        for part in parts:
+            kinds = part.schema.field(0).type, part.schema.field(1).type
+            for key, cue, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                at, own = cue if apart else None, {}
+                for raw, n in Counter(cut.split(text)).items():
+                    if raw not in known:
+                        known[raw] = word(raw)
+                    w = known[raw]
+                    if w is not None:
+                        own[w] = own.get(w, 0) + n
+                for w, n in own.items():
+                    tf[key, at, w] += n
+                    df[key, at, w] += 1
+                if len(tf) >= COUNTED or len(known) >= COUNTED:
+                    if tf:
+                        yield rows()
+                    known.clear()
+        if tf:
+            yield rows()
+
+    return run
+
+
 def keyword_scores(cues: DataFrame, stop: list[str] | None = None, min_length: int = 3, numbers: bool = True, cue: str = "cue") -> DataFrame:
-    """TF-IDF of a recording's keywords: rec_id, word, tf, df, score = tf * ln(1 + cues / df). cues: rec_id, cue, text; a repeated cue id counts once for df."""
-    n = cues.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    # trimmed and filtered as rows, in generated code, rather than in the array
-    said = cues.select(KEY, cue, F.explode(X.raw_tokens("text")).alias("word")).withColumn("word", F.btrim("word", F.lit("'"))).filter("word <> ''")
-    digit = F.col("word").rlike("^[0-9]")
-    long = F.length(F.translate("word", "'", "")) >= min_length
-    said = said.filter(~F.col("word").isin(*(stop or lists.STOP)) & F.when(digit, F.lit(numbers)).otherwise(long))
-    # counted by cue first, so that a frequent word doesn't gather its rows
-    per = said.groupBy(KEY, "word", cue).agg(F.count(F.lit(1)).alias("c")).groupBy(KEY, "word").agg(F.sum("c").cast("long").alias("tf"), F.count(F.lit(1)).alias("df"))
+    """TF-IDF of a recording's keywords: rec_id, word, tf, df, score = tf * ln(1 + cues / df). cues: rec_id, cue, text; a repeated cue id counts once for df.
+
+    Words are counted where their cues are read, so that a word goes to the shuffle once for many cues; only cues
+    whose ids are repeated go there by themselves.
+    """
+    ids = cues.groupBy(KEY, cue).agg(F.count(F.lit(1)).alias("c"))
+    n = ids.groupBy(KEY).agg(F.sum("c").alias("n"))
+    apart = not ids.filter("c > 1").isEmpty()
+    kinds = [cues.schema[c].dataType.simpleString() for c in (KEY, cue)]
+    texts = cues.select(KEY, F.col(cue).alias("cue"), X.straight("text").alias("text"))
+    per = texts.mapInArrow(_counted(stop or lists.STOP, min_length, numbers, apart), f"{KEY} {kinds[0]}, cue {kinds[1]}, word string, tf long, df long")
+    if apart:
+        per = per.groupBy(KEY, "word", "cue").agg(F.sum("tf").alias("tf")).withColumn("df", F.lit(1))
+    per = per.groupBy(KEY, "word").agg(F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
     return per.join(n, KEY).select(KEY, "word", "tf", "df", (F.col("tf") * F.log(1 + F.col("n") / F.col("df"))).alias("score"))
 
 

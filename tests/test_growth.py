@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import pyarrow as pa
+import pytest
 
-from chronoweft.operators import retakes, signal
+from chronoweft.functions import words as lists
+from chronoweft.operators import chapters, retakes, signal
 
 
 class Heard:
@@ -40,3 +45,22 @@ def test_lists_of_structs_by_columns():
     assert signal.records(pa.array(rows, kind)) == rows
     assert signal.records(pa.array([[], *rows], kind)[1:]) == rows
     assert signal.records(pa.array([], kind)) == []
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_keywords_leave_a_task_once_for_many_cues(spark, monkeypatch, again):
+    texts = ["Red' ‘Red’ blue 12 9a the नमस्ते", "red BLUE ab x''y", None, "", "''' - Ünder blue", "red"]
+    rows = [("a" if k % 3 else None, k // 2 if again else k, t) for k, t in enumerate(texts * 3)]
+    df = spark.createDataFrame(rows, "rec_id string, cue long, text string")
+    want = {}
+    for key, cue, text in rows:
+        for w in re.split("[^a-z0-9'ऀ-ॣ०-ॿ]+", (text or "").lower().translate(str.maketrans("‘’ʼ`", "''''"))):
+            w = w.strip("'")
+            if key and w and w not in lists.STOP and (w[0] in "0123456789" or len(w.replace("'", "")) >= 3):
+                want.setdefault((key, w), []).append(cue)
+    n = sum(key is not None for key, _, _ in rows)
+    scores = chapters.keyword_scores(df)
+    assert {(r.rec_id, r.word): (r.tf, r.df, round(r.score, 9)) for r in scores.collect()} == {k: (len(c), len(set(c)), round(len(c) * math.log(1 + n / len(set(c))), 9)) for k, c in want.items()}
+    part = pa.RecordBatch.from_pylist([{"rec_id": "a", "cue": k, "text": "red blue red"} for k in range(50)])
+    out = [r for b in chapters._counted(lists.STOP, 3, True, False)(iter([part, part])) for r in b.to_pylist()]
+    assert sorted((r["word"], r["tf"], r["df"]) for r in out) == [("blue", 100, 100), ("red", 200, 100)]

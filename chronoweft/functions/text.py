@@ -493,6 +493,9 @@ _LATIN_SOUNDS = [
 _SKELETONS: dict[str, str] = {}
 
 
+_LATIN_COMPILED = [(re.compile(pattern), sound) for pattern, sound in _LATIN_SOUNDS]
+
+
 def skeleton(word: str) -> str:
     """Consonants of a word's sound, alike in Latin and Devanagari."""
     if word not in _SKELETONS:
@@ -500,8 +503,8 @@ def skeleton(word: str) -> str:
             s = "".join(_DEVA_SOUNDS.get(c, "") for c in unicodedata.normalize("NFD", word))
         else:
             s = word
-            for pattern, sound in _LATIN_SOUNDS:
-                s = re.sub(pattern, sound, s)
+            for pattern, sound in _LATIN_COMPILED:
+                s = pattern.sub(sound, s)
         if len(_SKELETONS) > 100_000:
             _SKELETONS.clear()
         _SKELETONS[word] = re.sub(r"(.)\1+", r"\1", s.replace("m", "n"))
@@ -511,12 +514,16 @@ def skeleton(word: str) -> str:
 sound_key = F.pandas_udf(lambda s: s.map(skeleton, na_action="ignore"), T.StringType())
 
 
+_UNSPOKEN = regex.compile(r"[^\p{L}\p{M}\p{N}']")
+_STRAIGHT = str.maketrans(dict.fromkeys(_CURLY, "'"))
+
+
 @lru_cache(1 << 16)
 def spoken_key(word: str) -> str:
     """As ``spoken``, with composition, of one word."""
     w = unicodedata.normalize("NFC", word or "").lower()
-    w = regex.sub(r"[^\p{L}\p{M}\p{N}']", "", w.translate(str.maketrans(dict.fromkeys(_CURLY, "'"))))
-    return w.strip("'")
+    w = w.translate(_STRAIGHT)
+    return (w if w.isascii() and w.isalnum() else _UNSPOKEN.sub("", w)).strip("'")
 
 
 @lru_cache(1 << 16)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from chronoweft.functions.text import skeleton, spoken_key, word_likeness
 from chronoweft.operators.likeness import likeness_by_recording
 from chronoweft.operators.takes import SENTENCE, _words
+from chronoweft.sources.folders import spread
 
 KEY = "rec_id"
 _DIRECTION = re.compile(r"\[[^\]]*\]|\([^)]*\)")
@@ -21,10 +24,12 @@ _LABEL = re.compile(r"^\s*([A-Z][A-Z0-9 _.'-]{1,24}):\s*")
 _ROLE = re.compile(r"^(HOST|GUEST|SPEAKER|ANCHOR|INTERVIEWER|INTERVIEWEE|NARRATOR|VO|V\.O\.|Q|A|ME|YOU)\d*$")
 
 
+@lru_cache(1 << 16)
 def script_key(word: str) -> str:
     return re.sub(r"[^\wऀ-ॿ']+|[।॥]", "", (word or "").lower()).strip("'")
 
 
+@lru_cache(1 << 16)
 def sound_or_word(word: str) -> str:
     """A key that a word has in either script: its sound, or the word itself if that is too short."""
     s = skeleton(spoken_key(word))
@@ -49,7 +54,10 @@ def script_words(text: str, said: set[str] | None = None) -> list[str]:
 
 
 def match_pairs(a: list[str], b: list[str], cap: int = 1200) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence; texts of over ``cap`` words block by block, each starting after the last pair."""
+    """Pairs of a longest common subsequence; texts of over ``cap`` words block by block, each starting after the last pair.
+
+    Words that both end with are pairs however the rest is matched, so that only what stands before them needs a table.
+    """
     if not a or not b:
         return []
     if len(a) > cap or len(b) > cap:
@@ -64,6 +72,11 @@ def match_pairs(a: list[str], b: list[str], cap: int = 1200) -> list[tuple[int,
             ahead_a, ahead_b = len(match_pairs(a[i + cap : i + 2 * cap], y, cap)), len(match_pairs(x, b[j + cap : j + 2 * cap], cap))
             i, j = i + cap * (ahead_a >= ahead_b), j + cap * (ahead_b >= ahead_a)
         return out
+    tail = next((k for k, (v, w) in enumerate(zip(reversed(a), reversed(b), strict=False)) if v != w), min(len(a), len(b)))
+    ends = [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return ends
     codes = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
     y = np.array([codes[w] for w in b])
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
@@ -79,7 +92,7 @@ def match_pairs(a: list[str], b: list[str], cap: int = 1200) -> list[tuple[int,
             i -= 1
         else:
             j -= 1
-    return out[::-1]
+    return out[::-1] + ends
 
 
 def align_cues(cues: list[dict], script: str, least: float = 0.35) -> tuple[list[str], float, bool]:
@@ -126,12 +139,15 @@ def align_to_script(cues: DataFrame, scripts: DataFrame, least: float = 0.35) ->
     """Cues with the script's words: rec_id, ord, start, end, text, matched, rate. cues: rec_id, ord, start, end, text; scripts: rec_id, script."""
     kind = cues.schema[KEY].dataType.simpleString()
 
-    def run(c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("ord")
-        texts, rate, ok = align_cues(c.to_dict("records"), s["script"].iloc[0] if len(s) else "", least)
-        return c.assign(text=texts, matched=ok, rate=rate)[["rec_id", "ord", "start", "end", "text", "matched", "rate"]]
+    def run(c: pa.Table, s: pa.Table) -> pa.Table:
+        c = c.sort_by("ord")
+        script = s.column("script")[0].as_py() if len(s) else None
+        texts, rate, ok = align_cues([{"text": t} for t in c.column("text").to_pylist()], script or "", least)
+        more = {"text": pa.array(texts, pa.string()), "matched": pa.array([ok] * len(c), pa.bool_()), "rate": pa.array([rate] * len(c), pa.float64())}
+        return pa.table({n: c.column(n) for n in (KEY, "ord", "start", "end")} | more)
 
-    return cues.groupBy(KEY).cogroup(scripts.groupBy(KEY)).applyInPandas(run, f"{KEY} {kind}, ord long, start double, end double, text string, matched boolean, rate double")
+    rows = cues.select(KEY, F.col("ord").cast("long").alias("ord"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text")
+    return spread(rows, KEY).groupBy(KEY).cogroup(spread(scripts.select(KEY, "script"), KEY).groupBy(KEY)).applyInArrow(run, f"{KEY} {kind}, ord long, start double, end double, text string, matched boolean, rate double")
 
 
 # ---- takes of a script ---------------------------------------------------------------

@@ -13,6 +13,7 @@ from chronoweft.functions import words as lists
 from chronoweft.operators import captions, chapters, highlights, intervals, joins, sequences, signal, takes
 from chronoweft.operators import retakes as retakes_
 from chronoweft.plans import adapters as A
+from chronoweft.sources.folders import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,7 +465,7 @@ def layout_plan(spark, d):
 def script_align(spark, d):
     from chronoweft.operators import script
 
-    cues = A.seconds(A.cues(spark, d))
+    cues = settle(A.seconds(A.cues(spark, d)), "cues")
     scripts = cues.groupBy("rec_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: F.upper(x["text"])), "\n").alias("script"))
     return script.align_to_script(cues, scripts)
 

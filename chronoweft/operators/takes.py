@@ -8,17 +8,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft.functions import words as lists
 from chronoweft.functions.text import sound, sounds_same, spoken_key
-from chronoweft.operators.signal import per_recording
+from chronoweft.operators.signal import per_recording, values
+from chronoweft.sources.folders import spread
 
 KEY = "rec_id"
+_ARROW = {"double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 SENTENCE = re.compile("[.!?।॥۔؟？！…][\"'”’)\\]]*$")
 QUESTION = re.compile("[?؟？][\"'”’)\\]]*$")
 STATEMENT = re.compile("[.!।॥۔！][\"'”’)\\]]*$")
@@ -191,17 +196,38 @@ def _words(frame: pd.DataFrame) -> list[dict]:
     return [{k: clean(v) for k, v in r.items()} | {"text": r["text"] or ""} for r in rows]
 
 
+def _per_words(words: DataFrame, kernel: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Apply a kernel on the words of each recording, in order; it returns tuples without the key. Words go there by columns of Arrow, in as many tasks as the session shuffles to."""
+    key = words.schema[KEY].dataType.simpleString()
+    have = [c for c in ("speaker", "conf", "estimated", "cue_start", "cue_end") if c in words.columns]
+    rows = words.select(KEY, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "ord", "text", *have)
+    names, kinds = zip(*((c.strip().split(" ")[0], _ARROW[c.strip().split(" ")[1]]) for c in schema.split(",")), strict=True)
+
+    def run(of: tuple, table: pa.Table) -> pa.Table:
+        t = table.drop_columns([KEY]).sort_by([(c, "ascending") for c in ("start", "end", "ord")])
+        said = [dict(zip(t.column_names, v, strict=True)) for v in zip(*map(values, t.columns), strict=True)]
+        for w in said:
+            w["text"] = w["text"] or ""
+        found = list(zip(*kernel(said), strict=True)) or [()] * len(names)
+        own = pa.array([of[0].as_py()] * len(found[0]), table.schema.field(KEY).type)
+        return pa.table([own, *map(pa.array, found, kinds)], names=[KEY, *names])
+
+    return spread(rows, KEY).groupBy(KEY).applyInArrow(run, f"{KEY} {key}, {schema}")
+
+
 def stumbles(words: DataFrame, gap: float = 0.7) -> DataFrame:
     """One or two words said again at once by one speaker: the earlier saying, rec_id, start, end, text, needs_review. Only small joining words and pairs are sure; words that start with a digit are left alone."""
 
-    def kernel(frame: pd.DataFrame):
-        t = [(spoken_key(w["text"]), w) for w in _words(frame)]
+    def kernel(ws: list[dict]):
+        t = [(spoken_key(w["text"]), w) for w in ws]
         t = [x for x in t if x[0]]
         same = lambda i, j: t[i][0] == t[j][0] and (not t[i][1].get("speaker") or not t[j][1].get("speaker") or t[i][1]["speaker"] == t[j][1]["speaker"])
         i = 0
         while i < len(t):
             hit = 0
             for n in (2, 1):
+                if i + n < len(t) and t[i][0] != t[i + n][0]:
+                    continue
                 if i + 2 * n <= len(t) and all(same(i + k, i + n + k) and not t[i + k][0][0].isdigit() for k in range(n)) and not (n == 2 and t[i][0] == t[i + 1][0]) and t[i + n][1]["start"] - t[i + n - 1][1]["end"] <= gap:
                     hit = n
                     break
@@ -219,7 +245,7 @@ def stumbles(words: DataFrame, gap: float = 0.7) -> DataFrame:
             # the last saying may start another repetition
             i += times * hit
 
-    return per_recording(words, kernel, "start double, end double, text string, needs_review boolean")
+    return _per_words(words, kernel, "start double, end double, text string, needs_review boolean")
 
 
 # ---- fillers --------------------------------------------------------------------------------
@@ -242,17 +268,27 @@ def _guarded(run: list[dict], i: int, n: int) -> bool:
     return n == 2 and first == "you" and (before in lists.YOU_KNOW_AFTER or (not closed and after in lists.YOU_KNOW_BEFORE))
 
 
+@lru_cache
+def _filler_lists(extra: bool) -> tuple[set[str], set[str], set[str], dict[str, list[list[str]]], dict[str, list[list[str]]]]:
+    """Single fillers, those of them that only count between pauses, discourse words, and phrases of both kinds by their first words."""
+
+    def by_first(phrases: list[str]) -> dict[str, list[list[str]]]:
+        out: dict[str, list[list[str]]] = {}
+        for p in phrases:
+            out.setdefault(p.split()[0], []).append(p.split())
+        return out
+
+    single = set(lists.FILLERS) | (set(lists.EXTRA_FILLERS) if extra else set())
+    return single, set(lists.EXTRA_FILLERS) - set(lists.FILLERS), set(lists.DISCOURSE), by_first(lists.EXTRA_PHRASES if extra else []), by_first(lists.DISCOURSE_PHRASES)
+
+
 def fillers_of(run: list[dict], extra: bool = False, pause: float = 0.18, padding: float = 0.0, timed: bool = True) -> list[dict]:
     """Fillers of one run of words: the longest phrase first; discourse words only between pauses or where the whole run is filler."""
-    single = set(lists.FILLERS) | (set(lists.EXTRA_FILLERS) if extra else set())
-    soft = set(lists.EXTRA_FILLERS) - set(lists.FILLERS)
-    discourse = set(lists.DISCOURSE)
-    phrases = [p.split() for p in (lists.EXTRA_PHRASES if extra else [])]
-    spoken = [p.split() for p in lists.DISCOURSE_PHRASES]
+    single, soft, discourse, phrases, spoken = _filler_lists(extra)
     whole = all(w["tok"] in single or w["tok"] in discourse for w in run)
 
-    def longest(i: int, of: list[list[str]]) -> int:
-        return max((len(p) for p in of if [w["tok"] for w in run[i : i + len(p)]] == p), default=0)
+    def longest(i: int, of: dict[str, list[list[str]]]) -> int:
+        return max((len(p) for p in of.get(run[i]["tok"], ()) if [w["tok"] for w in run[i : i + len(p)]] == p), default=0)
 
     def free(i: int, n: int) -> bool:
         left = i == 0 or PAUSE.search(run[i - 1]["text"]) or (timed and run[i]["start"] - run[i - 1]["end"] >= pause)
@@ -284,9 +320,9 @@ def fillers_of(run: list[dict], extra: bool = False, pause: float = 0.18, paddin
 def fillers(words: DataFrame, extra: bool = False, pause: float = 0.18, padding: float = 0.0, gap: float = 0.5) -> DataFrame:
     """Filler ranges of timed words: rec_id, start, end, text. A run of words ends at a gap of ``gap``; fillers next to each other are one range."""
 
-    def kernel(frame: pd.DataFrame):
+    def kernel(said: list[dict]):
         run: list[dict] = []
-        ws = [w | {"text": w["text"].strip(), "tok": spoken_key(w["text"])} for w in _words(frame) if w["text"].strip() and w["end"] >= w["start"]]
+        ws = [w | {"text": w["text"].strip(), "tok": spoken_key(w["text"])} for w in said if w["text"].strip() and w["end"] >= w["start"]]
         for k, w in enumerate([*ws, None]):
             if run and (w is None or w["start"] - run[-1]["end"] >= gap):
                 found = fillers_of(run, extra, pause, padding)
@@ -301,7 +337,7 @@ def fillers(words: DataFrame, extra: bool = False, pause: float = 0.18, padding:
             if w is not None:
                 run.append(w)
 
-    return per_recording(words, kernel, "start double, end double, text string")
+    return _per_words(words, kernel, "start double, end double, text string")
 
 
 def review(takes: DataFrame, stumbled: DataFrame, filled: DataFrame, slack: float = 0.03) -> DataFrame:

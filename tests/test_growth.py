@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from chronoweft.functions import words as lists
-from chronoweft.operators import chapters, retakes, signal
+from chronoweft.operators import chapters, retakes, script, signal, takes
 
 
 class Heard:
@@ -64,3 +65,40 @@ def test_keywords_leave_a_task_once_for_many_cues(spark, monkeypatch, again):
     part = pa.RecordBatch.from_pylist([{"rec_id": "a", "cue": k, "text": "red blue red"} for k in range(50)])
     out = [r for b in chapters._counted(lists.STOP, 3, True, False)(iter([part, part])) for r in b.to_pylist()]
     assert sorted((r["word"], r["tf"], r["df"]) for r in out) == [("blue", 100, 100), ("red", 200, 100)]
+
+
+def test_common_ends_need_no_table(monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def by_table(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                table[i][j] = table[i - 1][j - 1] + 1 if x == y else max(table[i - 1][j], table[i][j - 1])
+        out, i, j = [], len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out.append((i - 1, j - 1))
+                i, j = i - 1, j - 1
+            elif table[i - 1][j] >= table[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
+
+    for _ in range(300):
+        a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(1, 14))] for _ in range(2))
+        assert script.match_pairs(a, b) == by_table(a, b)
+        assert script.match_pairs([*a, *b], b) == by_table([*a, *b], b)
+    monkeypatch.setattr(script.np, "zeros", lambda *a: pytest.fail("a table for equal words"))
+    said = [f"w{k}" for k in range(3000)]
+    assert script.match_pairs(said, said) == [(k, k) for k in range(3000)]
+
+
+def test_stumbles_and_fillers_by_columns(spark):
+    said = ["the", "the", "plan", None, "you", "know", ",", "um", "uh", "works", "we", "try", "we", "try", "we", "try", "7", "7"]
+    rows = [(r, k, k * 0.5, k * 0.5 + 0.4, t, ["A", None][r % 2]) for r in (2, 5) for k, t in enumerate(said)]
+    df = spark.createDataFrame(rows[::-1], "rec_id int, ord long, start double, end double, text string, speaker string")
+    for found, want in ((takes.stumbles(df), [(0.0, 0.5, "the", False), (5.0, 7.0, "we try we try", False)]), (takes.fillers(df), [(3.5, 4.4, "um uh")])):
+        assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in found.collect()) == [(r, *w) for r in (2, 5) for w in want]

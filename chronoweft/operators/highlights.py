@@ -6,12 +6,15 @@ import math
 import re
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.functions import text as X
 from chronoweft.functions import words as lists
 from chronoweft.operators.signal import per_recording
+from chronoweft.sources.folders import settle
 
 KEY = "rec_id"
 ENDS = "[.!?।॥۔؟…][\"'”’)\\]]*\\s*$"
@@ -31,8 +34,10 @@ def windows(sentences: DataFrame, least: float = 15, most: float = 60, gap: floa
     rows = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("_gap", F.coalesce(F.col("start") - F.lag("end").over(w), F.lit(0.0)))
     rows = rows.withColumn("_talk", F.sum(F.when(F.col("_gap") > gap, 1).otherwise(0)).over(w)).withColumn("_words", F.size(F.filter(F.split("text", r"\s+"), lambda t: t != "")))
     rows = rows.withColumn("_upto", F.sum("_words").over(w)).withColumn("_bucket", F.floor(F.col("start") / most))
-    opens = rows.select(KEY, "_talk", "i", F.col("start").alias("_s"), (F.col("_upto") - F.col("_words")).alias("_before"), X.hook_score("text").alias("_hook"), F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket")).filter("_hook >= 0")
-    closes = rows.select(KEY, "_talk", F.col("i").alias("j"), F.col("end").alias("_e"), "_upto", F.col("text").rlike(ENDS).alias("_clean"), "_bucket")
+    # each sentence is looked through once, and not again for every bucket and side
+    rows = settle(rows.select(KEY, "_talk", "i", "start", "end", "_words", "_upto", "_bucket", X.hook_score("text").alias("_hook"), F.col("text").rlike(ENDS).alias("_clean")), "sentences")
+    opens = rows.filter("_hook >= 0").select(KEY, "_talk", "i", F.col("start").alias("_s"), (F.col("_upto") - F.col("_words")).alias("_before"), "_hook", F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"))
+    closes = rows.select(KEY, "_talk", F.col("i").alias("j"), F.col("end").alias("_e"), "_upto", "_clean", "_bucket")
     both = opens.join(closes, [KEY, "_talk", "_bucket"]).filter("j >= i").withColumn("_d", F.col("_e") - F.col("_s")).filter(F.col("_d").between(least, most))
     pace = (F.col("_upto") - F.col("_before")) / F.greatest(F.lit(1.0), F.col("_d"))
     middle, spread = (least + most) / 2, max(1.0, (most - least) / 2)
@@ -43,22 +48,23 @@ def windows(sentences: DataFrame, least: float = 15, most: float = 60, gap: floa
 def best_apart(ranges: DataFrame, count: int = 6) -> DataFrame:
     """The best ranges that don't overlap, taken greedily by score, then start: rec_id, start, end, score and the other columns."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         picked: list[int] = []
-        f = frame.sort_values(["score", "start", "end"], ascending=[False, True, True]).reset_index(drop=True)
-        s, e = f["start"].to_numpy(), f["end"].to_numpy()
-        for k in range(len(f)):
+        order = pc.sort_indices(table, [("score", "descending"), ("start", "ascending"), ("end", "ascending")])
+        s, e = table.column("start").to_pylist(), table.column("end").to_pylist()
+        for k in order.to_pylist():
             if len(picked) >= count:
                 break
             if not any(s[k] < e[p] and s[p] < e[k] for p in picked):
                 picked.append(k)
-        return f.iloc[picked]
+        return table.take(pa.array(picked, pa.int64()))
 
-    return ranges.groupBy(KEY).applyInPandas(run, ranges.schema)
+    return ranges.groupBy(KEY).applyInArrow(run, ranges.schema)
 
 
 def highlights(sentences: DataFrame, least: float = 15, most: float = 60, count: int = 6) -> DataFrame:
     """The best moments of each recording: rec_id, rank, start, end, score, title, text."""
+    sentences = settle(sentences.select(KEY, "ord", "start", "end", "text"), "sentences")
     found = best_apart(windows(sentences, least, most), count)
     w = Window.partitionBy(KEY).orderBy("start", "ord")
     rows = sentences.filter((F.trim(F.coalesce("text", F.lit(""))) != "") & (F.col("end") > F.col("start"))).withColumn("_i", F.row_number().over(w) - 1).select(KEY, "_i", F.trim("text").alias("_t"))

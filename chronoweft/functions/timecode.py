@@ -5,7 +5,7 @@ Every function takes Columns (or their names) and returns a Column; a null argum
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Frame rates that are a whole number of thousandths over 1.001.
@@ -192,6 +192,28 @@ def face_crop(cx: Column, cy: Column, size: Column, width: Column, height: Colum
     return F.when(cx.isNull(), middle).otherwise(found)
 
 
+def face_crops(faces: DataFrame, min_height: float = 0.5, face_share: float = 0.34, fallback: float = 0.5) -> DataFrame:
+    """Adds ``c``, what ``face_crop`` makes of the columns cx, cy, size, width, height and aspect.
+
+    Step by step, each a projection of its own: as one expression, the window's size is computed anew wherever it is
+    named, and the code becomes too long to be compiled.
+    """
+    cx, cy, width, height, aspect = (F.col(n) for n in ("cx", "cy", "width", "height", "aspect"))
+    full_w, full_h = _full(width, height, aspect)
+    rows = faces.withColumns({"_fw": full_w, "_fh": full_h, "_want": F.col("size") * width / face_share})
+    less = F.col("_want") < F.col("_fw")
+    rows = rows.withColumn("_cw", F.when(less, F.least(F.col("_fw"), F.greatest(min_height * height * aspect, F.col("_want")))).otherwise(F.col("_fw")))
+    rows = rows.withColumn("_ch", F.when(less, F.col("_cw") / aspect).otherwise(F.col("_fh")))
+    blind = cx.isNull()
+    side = {"_cw": F.when(blind, F.col("_fw")).otherwise(F.col("_cw")), "_ch": F.when(blind, F.col("_fh")).otherwise(F.col("_ch"))}
+    left = F.when(blind, fallback * width - F.col("_fw") / 2).otherwise(cx * width - F.col("_cw") / 2)
+    top = F.when(blind, (height - F.col("_fh")) / 2).otherwise(clamp(cy * height - F.col("_ch") * 0.36, 0.0, height - F.col("_ch")))
+    rows = rows.withColumns({"_x": clamp(left, 0.0, width - side["_cw"]), "_y": top} | {k: v for k, v in side.items()})
+    whole = {n: half_up(F.col(n)) for n in ("_x", "_y", "_cw", "_ch")}
+    even = F.struct(*[(F.col(n) - F.pmod(n, F.lit(2))).alias(m) for n, m in (("_x", "x"), ("_y", "y"), ("_cw", "w"), ("_ch", "h"))])
+    return rows.withColumns(whole).select(*faces.columns, even.alias("c"))
+
+
 def mark_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, aspect: Column, min_height: float = 0.4) -> Column:
     """A window around a marked box with 8 % to spare, its top near the window's."""
     tall = F.least(height, F.greatest(min_height * height, h * height * 1.08, w * width * 1.08 / aspect))

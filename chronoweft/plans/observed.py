@@ -73,8 +73,9 @@ def line_crops(spark, d):
     """Upright windows around a face whose place, size and frame follow a line's discount, tax and quantity."""
     l = A.table(spark, d, "lineitem")  # noqa: E741
     q = F.col("l_quantity")
-    c = T.face_crop(F.col("l_discount") * 9 + 0.05, F.col("l_tax") * 10 + 0.1, q / 200, (320 + q * 32).cast("double"), (180 + q * 20).cast("double"), F.lit(0.5625))
-    rows = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.alias("c"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    faces = l.select(*keys, (F.col("l_discount") * 9 + 0.05).alias("cx"), (F.col("l_tax") * 10 + 0.1).alias("cy"), (q / 200).alias("size"), (320 + q * 32).cast("double").alias("width"), (180 + q * 20).cast("double").alias("height"), F.lit(0.5625).alias("aspect"))
+    rows = T.face_crops(faces).select(*keys, "c")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.col(f"c.{a}").cast("long").alias(b) for a, b in (("x", "x"), ("y", "y"), ("w", "cw"), ("h", "ch"))])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.operators import joins
+from chronoweft.sources.folders import settle
 
 KEY = "rec_id"
 
@@ -94,10 +95,11 @@ def is_word_level(words: DataFrame, limit: float = 1.0) -> DataFrame:
 
 def protect_words(cuts: DataFrame, words: DataFrame, before: float = 0.2, after: float = 0.15, min_cut: float = 0.2, limit: float = 1.0, id: str = "ord") -> DataFrame:
     """Cuts less the padded words, in recordings with real word times; elsewhere the cuts as they are."""
-    level = is_word_level(words, limit)
-    guarded = cuts.join(level.filter("word_level"), KEY, "left_semi")
+    # what costs as much as the words is computed once; below, each is read several times
+    level = is_word_level(words, limit).filter("word_level").select(KEY, F.lit(True).alias("_level"))
+    marked = settle(cuts.join(level, KEY, "left"), "cuts")
     padded = words.select(KEY, (F.col("start") - F.lit(before)).alias("start"), (F.col("end") + F.lit(after)).alias("end"))
-    return subtract(guarded, padded, min_cut, id).unionByName(cuts.join(level.filter("word_level"), KEY, "left_anti"))
+    return subtract(marked.filter("_level").drop("_level"), settle(merge(padded), "words"), min_cut, id).unionByName(marked.filter("_level is null").drop("_level"))
 
 
 def _prefix(cuts: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from chronoweft.plans import adapters as A
 from chronoweft.plans.catalog import MERGED, _query
 from chronoweft.plans.forms import _MIX, _lum
 from chronoweft.plans.labels import _crop
+from chronoweft.sources.folders import settle
 
 WORDS, CUES = A.SQL["words"], A.SQL["cues"]
 #: Half a day.
@@ -188,7 +189,7 @@ _PADDED = f'SELECT rec_id, start - 200 AS start, "end" + 150 AS "end" FROM ({WOR
  UNION ALL SELECT rec_id, ord, start, "end" FROM c WHERE rec_id NOT IN (SELECT rec_id FROM l)""")
 def protected_pauses(spark, d):
     """Cuts over the pauses between turns, less the words around them and what they need."""
-    w = A.words(spark, d)
+    w = settle(A.words(spark, d).select("rec_id", "ord", "cue", "start", "end"), "words")
     o = Window.partitionBy("rec_id").orderBy("ord")
     cuts = w.withColumn("next", F.lead("start").over(o)).withColumn("then", F.lead("cue").over(o)).filter("then <> cue").select("rec_id", "ord", (F.col("end") - 300).alias("start"), (F.col("next") + 300).alias("end"))
     return intervals.protect_words(cuts, w, 200, 150, 200, 1000).select("rec_id", "ord", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))

@@ -8,9 +8,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from chronoweft.functions import timecode
 from chronoweft.functions import words as lists
-from chronoweft.operators import chapters, retakes, script, signal, takes
+from chronoweft.operators import chapters, highlights, intervals, replies, retakes, script, signal, takes
 
 
 class Heard:
@@ -102,3 +104,45 @@ def test_stumbles_and_fillers_by_columns(spark):
     for found, want in ((takes.stumbles(df), [(0.0, 0.5, "the", False), (5.0, 7.0, "we try we try", False)]), (takes.fillers(df), [(3.5, 4.4, "um uh")])):
         assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
         assert sorted(tuple(r) for r in found.collect()) == [(r, *w) for r in (2, 5) for w in want]
+
+
+def source_is_read_again(df):
+    """Does a result's plan still hold the rows it was made from, which every branch would compute anew."""
+    return "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_protected_cuts_are_computed_once(spark):
+    words = spark.createDataFrame([(r, k, k * 10, k * 10 + 4) for r in (1, 2) for k in range(2 * r)], "rec_id long, ord long, start long, end long")
+    cuts = spark.createDataFrame([(1, 0, -5, 30), (2, 0, -5, 30), (2, 1, 12, 13), (3, 0, 1, 2)], "rec_id long, ord long, start long, end long")
+    found = intervals.protect_words(cuts, words, 1, 1, 2, 1000)
+    assert sorted(tuple(r) for r in found.select("rec_id", "ord", "start", "end").collect()) == [(1, 0, -5, 30), (2, 0, -5, -1), (2, 0, 5, 9), (2, 0, 15, 19), (2, 0, 25, 29), (3, 0, 1, 2)]
+    assert not source_is_read_again(found)
+
+
+def test_words_of_reply_cuts_are_computed_once(spark):
+    words = spark.createDataFrame([(1, k, float(k), k + 0.5, f"w{k}") for k in range(20)], "rec_id long, ord long, start double, end double, text string")
+    said = spark.createDataFrame([(1, '{"cuts":[{"from":3,"to":4,"words":"w5 w6","category":"filler"}]}')], "rec_id long, reply string")
+    found = replies.cleanup_cuts(words, said)
+    assert [(r.start, r.end, r.text, r.from_idx, r.to_idx) for r in found.collect()] == [(5.0, 6.5, "w5 w6", 5, 6)]
+    assert not source_is_read_again(found)
+
+
+def test_sentences_of_highlights_are_computed_once(spark):
+    rows = [(r, k, k * 4.0, k * 4.0 + 3.5, f"This is the number {k} you need to know.") for r in (1, 2) for k in range(8)]
+    found = highlights.highlights(spark.createDataFrame(rows, "rec_id long, ord long, start double, end double, text string"), 6, 30)
+    got = found.collect()
+    assert got and {r.rec_id for r in got} == {1, 2}
+    assert not source_is_read_again(found)
+    ranges = spark.createDataFrame([(1, 0.0, 5.0, 1.0), (1, 4.0, 6.0, 3.0), (1, 5.0, 9.0, 3.0), (1, 6.0, 9.0, 3.0), (1, 9.0, 9.5, 0.5)], "rec_id long, start double, end double, score double")
+    assert sorted(r.start for r in highlights.best_apart(ranges, 2).collect()) == [4.0, 6.0]
+
+
+def test_crops_step_by_step(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if k % 7 == 0 else float(rng.random()), float(rng.random()), float(rng.random() * 0.8), float(rng.integers(320, 1920)), float(rng.integers(180, 1080)), [0.5625, 1.0, 1.7][k % 3]) for k in range(120)]
+    df = spark.createDataFrame(rows, "cx double, cy double, size double, width double, height double, aspect double")
+    whole = df.select("*", timecode.face_crop(*(F.col(c) for c in df.columns)).alias("c"))
+    steps = timecode.face_crops(df)
+    assert sorted(map(str, steps.collect())) == sorted(map(str, whole.collect()))
+    cases = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN")
+    assert cases(steps) < 20 < cases(whole)

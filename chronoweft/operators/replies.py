@@ -15,6 +15,7 @@ from chronoweft.functions import words as lists
 from chronoweft.functions.text import category as cut_kind
 from chronoweft.operators.highlights import fit_clip
 from chronoweft.operators.takes import _words
+from chronoweft.sources.folders import settle
 
 KEY = "rec_id"
 _FROM = ("from", "start", "start_index", "startIndex", "start_idx", "from_index", "fromIndex", "begin", "first")
@@ -319,11 +320,12 @@ def cleanup_cuts(words: DataFrame, replies: DataFrame, least: float = 0.0, kinds
     cut = [KEY, "reply_no", "cut_no"]
     order = Window.partitionBy(KEY).orderBy("start", "end", "ord")
     w = words.select(KEY, "ord", "start", "end", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.row_number().over(order).cast("long") - 1).withColumn("e", _edged(F.col("text")))
-    w = w.withColumn("nth", F.sum((F.col("e") != "").cast("long")).over(order))
+    # read four times below, and the cuts twice
+    w = settle(w.withColumn("nth", F.sum((F.col("e") != "").cast("long")).over(order)), "words")
     sizes = w.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
     c = cut_rows(replies).join(sizes, KEY).filter("from >= 0 and from < n and to >= from and to <= n + 1").withColumn("to", F.expr("least(to, n - 1)"))
     quoted = F.coalesce(_trimmed(F.col("words")) != "", F.lit(False))
-    c = c.withColumn("_quoted", quoted).withColumn("said", F.filter(F.transform(F.split(F.coalesce("words", F.lit("")), r"\s+"), _edged), lambda x: x != ""))
+    c = settle(c.withColumn("_quoted", quoted).withColumn("said", F.filter(F.transform(F.split(F.coalesce("words", F.lit("")), r"\s+"), _edged), lambda x: x != "")), "cuts")
 
     # the first quoted word near its index, then the others after it
     near = c.filter("_quoted and size(said) > 0").select(*cut, "said", F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("off"), "from").withColumn("k", F.col("from") + F.col("off"))
@@ -333,6 +335,7 @@ def cleanup_cuts(words: DataFrame, replies: DataFrame, least: float = 0.0, kinds
     whole = after.join(spoken, [KEY, "nth"]).filter("x = y").groupBy(*cut, "off", "at", "size").agg(F.count(F.lit(1)).alias("n_met"), F.max("last").alias("last")).filter("n_met = size")
     place = whole.groupBy(*cut).agg(F.min(F.struct(F.abs("off").alias("far"), (-F.col("off")).alias("side"), "at", "last")).alias("p"))
     c = c.join(place, cut, "left").filter("not _quoted or p is not null").withColumn("a", F.coalesce("p.at", "from")).withColumn("b", F.coalesce("p.last", "to"))
+    c = settle(c.drop("p", "said", "words", "from", "to", "_quoted"), "placed")
 
     # the words of each cut and the one behind it
     held = c.select(*cut, "a", "b", F.explode(F.expr("sequence(a, b + 1)")).alias("k")).join(w.drop("ord", "nth"), [KEY, "k"])
